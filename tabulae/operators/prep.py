@@ -11,6 +11,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,9 +238,6 @@ def mixup(df: DataFrame, feature_cols: Sequence[str], label: str, key_cols: Sequ
     (1 when alpha <= 0), drawn in an Arrow UDF seeded by (seed, batch).
     Output keeps both labels and the mixed soft label.
     """
-    import numpy as np
-    import pandas as pd
-
     from .split import hash_rank
 
     ranked = hash_rank(df, key_cols, seed, (), "_pos")

@@ -107,7 +107,7 @@ def target_candidates(df: DataFrame) -> DataFrame:
     out = row.select(stacked.alias("column", "position", "n_distinct"))
     rank = F.create_map(*[x for i, n in enumerate(TARGET_NAMES) for x in (F.lit(n), F.lit(i))])
     return out.select("*", (F.col("n_distinct") == 2).alias("is_binary"),
-                      F.element_at(rank, F.col("column")).cast("long").alias("name_rank"))
+                      F.try_element_at(rank, F.col("column")).cast("long").alias("name_rank"))
 
 
 def detect_target(df: DataFrame) -> tuple[str, str]:

@@ -98,3 +98,40 @@ wide AS (SELECT {keys + ', ' if groups else ''}lm.accuracy, lm.precision, lm.rec
          FROM lm {join_kw} {join_br} {join_ex})
 SELECT {g}metric, round(CAST(value AS DOUBLE), {R}) AS value
 FROM wide UNPIVOT INCLUDE NULLS (value FOR metric IN ({unp}))"""
+
+
+def order_hash_expr(key_cols: Sequence[str], seed: int = 42, seed_col: str | None = None) -> str:
+    """DuckDB twin of ``functions.hashing.order_hash`` (optionally seeded by a column)."""
+    parts = ([f"CAST({seed_col} AS VARCHAR)"] if seed_col else []) + [
+        f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in key_cols]
+    joined = " || '|' || ".join(parts)
+    return f"('0x' || substr(md5('{seed}:' || {joined}), 1, 15))::BIGINT"
+
+
+def hash_rank_expr(key_cols: Sequence[str], groups: Sequence[str], seed: int = 42,
+                   seed_col: str | None = None, tie_cols: Sequence[str] = ()) -> str:
+    order = ", ".join([order_hash_expr(key_cols, seed, seed_col), *key_cols, *tie_cols])
+    return f"row_number() OVER ({part(groups)}ORDER BY {order})"
+
+
+def stratified_sql(src: str, label: str, key_cols: Sequence[str], test_size: float = 0.2,
+                   seed: int = 42, groups: Sequence[str] = (), seed_col: str | None = None,
+                   tie_cols: Sequence[str] = ()) -> str:
+    """Subquery: ``src`` plus a ``split`` column, as operators.split.stratified_split."""
+    g = gsel(groups)
+    pg = part(groups)
+    gl = [*groups, label]
+    using = ", ".join(gl)
+    return f"""(WITH base AS (SELECT * FROM {src}),
+  cnt AS (SELECT {g}{label}, count(*) AS n_class FROM base GROUP BY ALL),
+  a AS (SELECT *, sum(n_class) OVER ({pg}) AS n,
+               ceil(CAST({test_size} AS DOUBLE) * sum(n_class) OVER ({pg})) AS n_test FROM cnt),
+  b AS (SELECT *, floor(n_class * n_test / n) AS fl,
+               n_class * n_test / n - floor(n_class * n_test / n) AS rem FROM a),
+  c AS (SELECT *, n_test - sum(fl) OVER ({pg}) AS need,
+               row_number() OVER ({pg}ORDER BY rem DESC, {label}) AS pos FROM b),
+  alloc AS (SELECT {g}{label}, fl + CASE WHEN pos <= need THEN 1 ELSE 0 END AS n_test_class FROM c),
+  ranked AS (SELECT *, {hash_rank_expr(key_cols, gl, seed, seed_col, tie_cols)} AS rk_ FROM base)
+  SELECT ranked.* EXCLUDE (rk_),
+         CASE WHEN rk_ <= n_test_class THEN 'test' ELSE 'train' END AS split
+  FROM ranked JOIN alloc USING ({using}))"""
