@@ -116,3 +116,40 @@ def document_features_sql() -> str:
       sc AS (SELECT doc_id, lang, label, toxic, split, {scaled} FROM raw, st)
       SELECT *, {DOC_SCORER.proba_sql()} AS p,
              CAST({DOC_SCORER.proba_sql()} >= 0.5 AS INTEGER) AS pred FROM sc)"""
+
+
+# --------------------------------------------------------------------------- explanations
+# Explanations use the unrounded document model so Shapley sums are exact.
+EXPLAIN_SCORER = LinearScorer(dict(DOC_SCORER.coefs), DOC_SCORER.intercept, decimals=None, name="doc")
+N_BACKGROUND = 50
+
+
+def doc_explain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's four text features, standardised over all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    feats = docs.select(
+        "doc_id", "lang",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)).cast("double").alias("n_words"),
+        F.regexp_count(F.col("text"), F.lit(PUNCT_PATTERN)).cast("double").alias("n_punct"))
+    feats = label_encode(feats, ["lang"], suffix="_code").withColumn(
+        "lang_code", F.col("lang_code").cast("double")).drop("lang")
+    return standard_scale(feats, DOC_FEATURES)
+
+
+def doc_background(table: DataFrame) -> DataFrame:
+    from ..operators.prep import hash_sample
+    return hash_sample(table, N_BACKGROUND, ["doc_id"], seed=42)
+
+
+def doc_explain_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in DOC_FEATURES)
+    scaled = ", ".join(
+        f"({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END AS {c}" for c in DOC_FEATURES)
+    return f"""(WITH raw AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars,
+        CAST(len(regexp_extract_all(text, '{WORD_PATTERN}')) AS DOUBLE) AS n_words,
+        CAST(len(regexp_extract_all(text, '{PUNCT_PATTERN}')) AS DOUBLE) AS n_punct,
+        CAST(dense_rank() OVER (ORDER BY coalesce(lang, 'nan')) - 1 AS DOUBLE) AS lang_code
+      FROM documents),
+      st AS (SELECT {stats} FROM raw)
+      SELECT doc_id, {scaled} FROM raw, st)"""
