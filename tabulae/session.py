@@ -54,3 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="tabulae-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def reuse(df):
+    """Materialise a table that several jobs read: a reliable checkpoint in
+    the shared folder named by ``spark.checkpoint.dir`` (survives executor
+    loss, cuts lineage, holds no executor memory)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
