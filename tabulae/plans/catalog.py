@@ -50,4 +50,4 @@ def finish(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
 
 def load_all() -> None:
     """Import every query module so their registrations run."""
-    from . import q_eval, q_prep, q_explain, q_quality, q_ledger  # noqa: F401
+    from . import q_eval, q_prep, q_explain, q_quality, q_ledger, q_models  # noqa: F401
