@@ -66,14 +66,15 @@ def _pair(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def search_summary(cv: DataFrame, refit: str = "pr_auc", groups: Sequence[str] = (),
-                   higher_is_better: bool = True) -> DataFrame:
+                   higher_is_better: bool = True, decimals: int | None = None) -> DataFrame:
     """Per (groups, trial, metric): mean and population std over folds, plus
     ``best`` marking the trial with the best mean refit metric (ties: the
-    lower trial number)."""
+    lower trial number; ``decimals`` compares rounded means)."""
     summ = cv.groupBy(*groups, "trial", "metric").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     ref = summ.where(F.col("metric") == refit)
-    key = F.struct((F.col("mean") if higher_is_better else -F.col("mean")).alias("m"), (-F.col("trial")).alias("t"))
+    m = F.round("mean", decimals) if decimals is not None else F.col("mean")
+    key = F.struct((m if higher_is_better else -m).alias("m"), (-F.col("trial")).alias("t"))
     best = ref.groupBy(*groups).agg(F.max_by("trial", key).alias("_best"))
     if groups:
         j = summ.join(best, list(groups), "inner")

@@ -233,7 +233,7 @@ def search_cv_results(spark, d):
 
 _SUMM_SQL = f"""(WITH s AS (SELECT trial, metric, avg(value) AS mean, stddev_pop(value) AS std FROM {_cv_sql()}
                  GROUP BY trial, metric),
-  b AS (SELECT trial AS best_trial FROM s WHERE metric = '{REFIT}' ORDER BY mean DESC, trial LIMIT 1)
+  b AS (SELECT trial AS best_trial FROM s WHERE metric = '{REFIT}' ORDER BY round(mean, {R}) DESC, trial LIMIT 1)
   SELECT s.*, s.trial = b.best_trial AS best FROM s, b)"""
 
 
@@ -241,7 +241,7 @@ _SUMM_SQL = f"""(WITH s AS (SELECT trial, metric, avg(value) AS mean, stddev_pop
        round(std, {R}) AS std, best FROM {_SUMM_SQL}""")
 def search_multi_metric(spark, d):
     cv, _ = _cv_long(spark, d)
-    return finish(H.search_summary(cv, REFIT))
+    return finish(H.search_summary(cv, REFIT, decimals=R))
 
 
 @register("search_best_params", f"""SELECT CAST(s.trial AS BIGINT) AS trial, round(s.mean, {R}) AS best_score,
@@ -249,7 +249,7 @@ def search_multi_metric(spark, d):
 FROM {_SUMM_SQL} s JOIN {_cands_sql()} ON c.trial = s.trial WHERE s.best AND s.metric = '{REFIT}'""")
 def search_best_params(spark, d):
     cv, cands = _cv_long(spark, d)
-    return finish(H.best_params(H.search_summary(cv, REFIT), cands, REFIT))
+    return finish(H.best_params(H.search_summary(cv, REFIT, decimals=R), cands, REFIT))
 
 
 N_ITER = 4
@@ -273,7 +273,7 @@ def ledger_merge_params(spark, d):
     """default <- preset <- tuned: scorer defaults, a preset that sets the
     scale and a source tag, then the best parameters of the search."""
     cv, cands = _cv_long(spark, d)
-    best = H.best_params(H.search_summary(cv, REFIT), cands, REFIT)
+    best = H.best_params(H.search_summary(cv, REFIT, decimals=R), cands, REFIT)
     default = _scorer_params(LINEITEM_SCORER)
     preset = F.create_map(F.lit("scale"), F.lit("1.0"), F.lit("source"), F.lit("preset"))
     tuned = F.map_concat(F.col("best_params"), F.create_map(F.lit("source"), F.lit("tuned")))
