@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.running import group_totals, running_sums
+from ..session import reuse
 
 # Metric names and their report order.
 LABEL_METRICS = ["accuracy", "precision", "recall", "f1"]
@@ -96,10 +97,15 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "p",
 
 
 def binary_curve(df: DataFrame, label: str = "label", score: str = "p",
-                 groups: Sequence[str] = ()) -> DataFrame:
+                 groups: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """Per (group, threshold): counts at ``score >= threshold`` and the
-    running totals needed by ROC-AUC, average precision and the PR curve."""
-    h = score_counts(df, label, score, groups)
+    running totals needed by ROC-AUC, average precision and the PR curve.
+
+    The score histogram (one row per group and distinct score) is the only
+    thing read more than once, so it is checkpointed; the scored table is
+    scanned a single time. ``counts`` passes a histogram already built.
+    """
+    h = counts if counts is not None else reuse(score_counts(df, label, score, groups))
     cum = running_sums(h, score, ["pos", "neg"], groups)
     cum = group_totals(cum, ["pos", "neg"], groups)
     tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
@@ -186,25 +192,41 @@ def evaluate_by(df: DataFrame, groups: Sequence[str] = (), label: str = "label",
                 extra: Sequence[str] = ()) -> DataFrame:
     """All requested metrics per group as a long table (groups, metric, value).
 
-    ``extra`` may hold ``precision_at_recall`` and ``f1_max``. The scored
-    table is read by three jobs (confusion, curve, squared error); persist it
-    upstream when it is expensive to recompute.
+    One pass over the scored table builds a histogram per (group, score,
+    hard prediction) with positive / negative counts (map-side combined,
+    checkpointed); confusion counts, Brier score and the curve are all
+    derived from it. ``extra`` may hold ``precision_at_recall`` and ``f1_max``.
     """
-    base = df if pred else df.withColumn("_pred", threshold_labels(score, threshold))
-    pred_col = pred or "_pred"
+    yhat = F.col(pred) if pred else threshold_labels(score, threshold)
+    y = F.col(label) == 1
+    hist = reuse(df.groupBy(*groups, F.col(score).alias(score), (yhat == 1).alias("_yhat")).agg(
+        F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")))
     parts = []
     lab = [m for m in metrics if m in LABEL_METRICS]
     if lab:
-        lm = label_metrics(base, label, pred_col, groups)
+        yh = F.col("_yhat")
+        conf = hist.groupBy(*groups).agg(
+            F.sum(F.when(yh, F.col("pos")).otherwise(0)).alias("tp"),
+            F.sum(F.when(yh, F.col("neg")).otherwise(0)).alias("fp"),
+            F.sum(F.when(~yh, F.col("pos")).otherwise(0)).alias("fn"),
+            F.sum(F.when(~yh, F.col("neg")).otherwise(0)).alias("tn"))
+        tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
+        lm = conf.select(*groups, _safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+                         _safe_div(tp, tp + fp).alias("precision"), _safe_div(tp, tp + fn).alias("recall"),
+                         _safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
         parts.append(lm.select(*groups, *lab))
     sco = [m for m in metrics if m in ("pr_auc", "roc_auc")]
     curve = None
     if sco or extra:
-        curve = binary_curve(base, label, score, groups)
+        counts = hist.groupBy(*groups, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        curve = binary_curve(df, label, score, groups, counts=counts)
     if sco:
         parts.append(curve_metrics(curve, groups).select(*groups, *sco))
     if "brier_score" in metrics:
-        parts.append(brier_score(base, label, score, groups))
+        s = F.col(score).cast("double")
+        parts.append(hist.groupBy(*groups).agg(
+            (F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s)
+             / F.sum(F.col("pos") + F.col("neg"))).alias("brier_score")))
     if "f1_max" in extra:
         f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(F1_EPS))
         parts.append(curve.groupBy(*groups).agg(F.greatest(F.max(f1), F.lit(0.0)).alias("f1_max")))
@@ -231,10 +253,13 @@ def roc_auc_ovr_weighted(df: DataFrame, label: str, proba: str, n_classes: int,
     """
     ex = df.select(*groups, label, F.posexplode(F.col(proba)).alias("cls", "p_cls"))
     ex = ex.withColumn("y_cls", (F.col(label) == F.col("cls")).cast("int"))
-    per = curve_metrics(binary_curve(ex, "y_cls", "p_cls", [*groups, "cls"]), [*groups, "cls"])
-    prev = ex.groupBy(*groups, "cls").agg(F.sum("y_cls").alias("support"))
-    j = per.join(prev, [*groups, "cls"])
-    return j.groupBy(*groups).agg(
+    curve = binary_curve(ex, "y_cls", "p_cls", [*groups, "cls"])
+    per = curve.groupBy(*groups, "cls").agg(
+        F.max("tot_pos").alias("support"),
+        F.when((F.max("tot_pos") > 0) & (F.max("tot_neg") > 0),
+               F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg")))
+               / (F.max("tot_pos").cast("double") * F.max("tot_neg"))).alias("roc_auc"))
+    return per.groupBy(*groups).agg(
         (F.sum(F.col("roc_auc") * F.col("support")) / F.sum("support")).alias("roc_auc_ovr_weighted"))
 
 

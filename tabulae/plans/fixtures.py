@@ -20,6 +20,7 @@ from ..functions.scorers import LinearScorer
 from ..operators.metrics import threshold_labels
 from ..operators.prep import label_encode, standard_scale
 from ..operators.split import hash_split
+from ..session import reuse
 from ..sources.tables import read_table
 
 # Fixture model coefficients and split thresholds.
@@ -84,6 +85,9 @@ def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("n_chars"),
         F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)).cast("double").alias("n_words"),
         F.regexp_count(F.col("text"), F.lit(PUNCT_PATTERN)).cast("double").alias("n_punct"))
+    # Whole texts are scanned once; the small feature table feeds the
+    # encoder fit, the scaler fit and every metric job.
+    feats = reuse(feats)
     feats = label_encode(feats, ["lang"], suffix="_code").withColumn(
         "lang_code", F.col("lang_code").cast("double"))
     return hash_split(feats, ["doc_id"], DOC_TRAIN_SHARE)
@@ -132,6 +136,7 @@ def doc_explain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("n_chars"),
         F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)).cast("double").alias("n_words"),
         F.regexp_count(F.col("text"), F.lit(PUNCT_PATTERN)).cast("double").alias("n_punct"))
+    feats = reuse(feats)  # texts scanned once
     feats = label_encode(feats, ["lang"], suffix="_code").withColumn(
         "lang_code", F.col("lang_code").cast("double")).drop("lang")
     return standard_scale(feats, DOC_FEATURES)
