@@ -8,6 +8,7 @@ from ..functions.hashing import order_hash_sql
 from ..functions.scorers import SoftmaxScorer
 from ..operators import metrics as M
 from ..operators.split import repeated_splits, stratified_kfold
+from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (LINEITEM_ALT_SCORERS, LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_SCORER,
                        LINEITEM_TIES,
@@ -101,7 +102,7 @@ SOFTMAX = SoftmaxScorer(
 
 
 def _multiclass(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_linestatus", *LINEITEM_FEATURES)
+    li = read_table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", *LINEITEM_FEATURES)
     code = F.create_map(*[x for i, c in enumerate(CLASSES) for x in (F.lit(c), F.lit(i))])
     probs = li.select("l_linestatus", F.element_at(code, F.col("l_returnflag")).alias("label"),
                       SOFTMAX.proba_array().alias("proba"))
@@ -234,15 +235,14 @@ MODEL_METRICS = M.DEFAULT_METRICS
 
 
 def _models_long(spark, d):
-    parts = []
-    for sc in LINEITEM_ALT_SCORERS:
-        s = scored_lineitem(spark, d, scorer=sc).where(F.col("split") == "test")
-        parts.append(M.evaluate_by(s, pred="pred").select(
-            F.lit(sc.name).alias("model"), "metric", F.round("value", R).alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every model scores the same test rows: one scan, scores exploded as
+    (model, p), one evaluation grouped by model."""
+    li = scored_lineitem(spark, d, keep_features=True).where(F.col("split") == "test")
+    scores = F.array(*[F.struct(F.lit(sc.name).alias("model"), sc.proba().alias("p"))
+                       for sc in LINEITEM_ALT_SCORERS])
+    ex = li.select("label", F.inline(scores)).withColumn("pred", M.threshold_labels("p"))
+    long = M.evaluate_by(ex, ["model"], pred="pred")
+    return long.select("model", "metric", F.round("value", R).alias("value"))
 
 
 def _models_long_sql() -> str:

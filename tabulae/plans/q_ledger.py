@@ -19,6 +19,7 @@ from ..operators import search as H
 from ..operators.split import repeated_splits, stratified_kfold
 from ..session import ensure_checkpoint_dir, reuse
 from ..sources import results as S
+from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (DOC_SCORER, LINEITEM_ALT_SCORERS, LINEITEM_KEY, LINEITEM_SCORER, LINEITEM_TIES,
                        document_features, document_features_sql, scored_lineitem, scored_lineitem_sql)
@@ -31,29 +32,30 @@ DOC_SCORERS = [DOC_SCORER, DOC_FLIP]
 
 
 # ------------------------------------------------------------------ results
-def _runs_long(scored, key, ties):
+def _test_runs(scored, key, ties):
     runs = repeated_splits(scored, "label", key, n_runs=N_RUNS, test_size=0.2, seed=42, tie_cols=ties)
-    per = M.evaluate_by(runs.where(F.col("split") == "test"), ["run"], pred="pred")
-    return per.withColumn("value", F.round("value", R))
+    return runs.where(F.col("split") == "test").select("run", "label", "p", "pred")
 
 
 def results_long(spark, d):
+    """All (dataset, model) pairs are unioned first, so the evaluation is
+    one grouped job over (dataset, model, run) instead of one per pair."""
     parts = []
     for sc in LINEITEM_ALT_SCORERS:
         s = scored_lineitem(spark, d, scorer=sc).drop("split")
-        agg = M.aggregate_runs(_runs_long(s, LINEITEM_KEY, LINEITEM_TIES), "run")
-        parts.append(agg.select(F.lit("lineitem").alias("dataset"), F.lit(sc.name).alias("model"),
-                                "metric", "mean", "std"))
+        parts.append(_test_runs(s, LINEITEM_KEY, LINEITEM_TIES).select(
+            F.lit("lineitem").alias("dataset"), F.lit(sc.name).alias("model"), "*"))
     docs = document_features(spark, d).drop("split", "p", "pred")
     for sc in DOC_SCORERS:
         s = docs.withColumn("p", sc.proba()).withColumn("pred", M.threshold_labels("p"))
-        agg = M.aggregate_runs(_runs_long(s, ["doc_id"], []), "run")
-        parts.append(agg.select(F.lit("documents").alias("dataset"), F.lit(sc.name).alias("model"),
-                                "metric", "mean", "std"))
-    out = parts[0]
+        parts.append(_test_runs(s, ["doc_id"], []).select(
+            F.lit("documents").alias("dataset"), F.lit(sc.name).alias("model"), "*"))
+    tests = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        tests = tests.unionByName(p)
+    per = M.evaluate_by(tests, ["dataset", "model", "run"], pred="pred")
+    per = per.withColumn("value", F.round("value", R))
+    return M.aggregate_runs(per, "run", ["dataset", "model"]).select("dataset", "model", "metric", "mean", "std")
 
 
 def _runs_sql(src: str, key, ties) -> str:
@@ -92,9 +94,9 @@ MODEL_NAMES = ["base", "wide", "flip", "doc", "doc_flip"]
 
 
 def _datasets(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.count(F.lit(1)).alias("n_rows")).select(
+    li = read_table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("lineitem").alias("dataset"), "n_rows")
-    dc = spark.read.parquet(f"{d}/documents.parquet").agg(F.count(F.lit(1)).alias("n_rows")).select(
+    dc = read_table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit("documents").alias("dataset"), "n_rows")
     return li.unionByName(dc)
 

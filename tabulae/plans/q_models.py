@@ -18,6 +18,7 @@ from ..operators import surrogate as SG
 from ..operators.split import random_holdout
 from ..operators.treeshap import tree_shap
 from ..session import reuse
+from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (DOC_FEATURES, EXPLAIN_SCORER, doc_background, doc_explain_table, document_features)
 
@@ -83,7 +84,7 @@ EMB_DIMS = 8
 def model_multiclass_eval(spark, d):
     """10-class embeddings: network probabilities -> weighted metrics and
     one-vs-rest ROC-AUC."""
-    emb = spark.read.parquet(f"{d}/embeddings.parquet")
+    emb = read_table(spark, d, "embeddings")
     feats = [f"e{i}" for i in range(EMB_DIMS)]
     t = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)])
     model = MD.train_mlp(t, feats, "label", hidden=(16,), n_classes=10, max_iter=50)

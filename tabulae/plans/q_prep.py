@@ -8,6 +8,7 @@ from ..functions.hashing import hash_fraction_sql
 from ..operators import prep as FP
 from ..operators import profile as PR
 from ..operators import split as SP
+from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (DOC_FEATURES, LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_TIES,
                        document_table, document_table_sql, scored_lineitem, scored_lineitem_sql)
@@ -27,7 +28,7 @@ SELECT "column", count(value) AS count, round(avg(value), {R}) AS mean, round(st
        round(max(value), {R}) AS max
 FROM lg GROUP BY "column\"""")
 def profile_describe(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    li = read_table(spark, d, "lineitem")
     return finish(PR.describe_table(li, _LI_COLS))
 
 
@@ -36,7 +37,7 @@ SELECT CAST(quality AS BIGINT) AS quality, count(*) AS count,
        round(count(*) / sum(count(*)) OVER (), {R}) AS share
 FROM labels GROUP BY quality""")
 def profile_class_distribution(spark, d):
-    return finish(PR.class_distribution(spark.read.parquet(f"{d}/labels.parquet"), "quality"))
+    return finish(PR.class_distribution(read_table(spark, d, "labels"), "quality"))
 
 
 def _corr_sql() -> str:
@@ -50,7 +51,7 @@ def _corr_sql() -> str:
 
 @register("profile_correlation", _corr_sql())
 def profile_correlation(spark, d):
-    return finish(PR.correlation_matrix(spark.read.parquet(f"{d}/lineitem.parquet"), _LI_COLS))
+    return finish(PR.correlation_matrix(read_table(spark, d, "lineitem"), _LI_COLS))
 
 
 @register("profile_dataset_info", f"""
@@ -67,7 +68,7 @@ def profile_dataset_info(spark, d):
 @register("profile_value_frequency", """
 SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY o_orderpriority""")
 def profile_value_frequency(spark, d):
-    return finish(FP.value_frequency(spark.read.parquet(f"{d}/orders.parquet"), "o_orderpriority"))
+    return finish(FP.value_frequency(read_table(spark, d, "orders"), "o_orderpriority"))
 
 
 _LABEL_COLS = ["doc_id", "quality", "toxic"]
@@ -78,7 +79,7 @@ _LABEL_COLS = ["doc_id", "quality", "toxic"]
        count(DISTINCT {c}) = 2 AS is_binary, CAST(NULL AS BIGINT) AS name_rank FROM labels"""
     for i, c in enumerate(_LABEL_COLS)))
 def profile_target_candidates(spark, d):
-    return finish(PR.target_candidates(spark.read.parquet(f"{d}/labels.parquet").select(*_LABEL_COLS)))
+    return finish(PR.target_candidates(read_table(spark, d, "labels").select(*_LABEL_COLS)))
 
 
 # ============================================================== F: preparation
@@ -91,7 +92,7 @@ t AS (SELECT count(*) AS total FROM part)
 SELECT p.p_partkey, CASE WHEN c.n < CAST({RARE_SHARE_PART} AS DOUBLE) * t.total THEN 'other' ELSE p.p_brand END AS p_brand
 FROM part p LEFT JOIN c ON p.p_brand = c.p_brand, t""")
 def prep_bucket_rare(spark, d):
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_brand")
+    part = read_table(spark, d, "part").select("p_partkey", "p_brand")
     return finish(FP.bucket_rare(part, ["p_brand"], RARE_SHARE_PART))
 
 
@@ -101,7 +102,7 @@ SELECT o_orderkey,
        dense_rank() OVER (ORDER BY coalesce(o_orderpriority, 'nan')) - 1 AS o_orderpriority
 FROM orders""")
 def prep_label_encode(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return finish(FP.label_encode(o, ["o_orderstatus", "o_orderpriority"]))
 
 
@@ -109,7 +110,7 @@ def prep_label_encode(spark, d):
 SELECT c_custkey, dense_rank() OVER (ORDER BY coalesce(c_mktsegment, 'nan')) - 1 AS c_mktsegment
 FROM customer""")
 def prep_encode_target(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     return finish(FP.encode_target(c, "c_mktsegment"))
 
 
@@ -118,7 +119,7 @@ WITH a AS (SELECT p_partkey, dense_rank() OVER (ORDER BY coalesce(CAST(p_size AS
            FROM part)
 SELECT p_partkey, dense_rank() OVER (ORDER BY CAST(c1 AS VARCHAR)) - 1 AS p_size FROM a""")
 def prep_double_encode(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size")
+    p = read_table(spark, d, "part").select("p_partkey", "p_size")
     return finish(FP.double_encode(p, ["p_size"]))
 
 
@@ -141,7 +142,7 @@ def prep_standard_scale(spark, d):
 def prep_quantile_normal(spark, d):
     """Rows-only: landmarks come from a percentile sketch (the reference
     fits on a random subsample); shape properties are tested in tests/."""
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return finish(FP.quantile_normal_scale(c, ["c_acctbal"]))
 
 
@@ -159,7 +160,7 @@ def _noise_sql(col: str) -> str:
 @register("prep_gaussian_noise", f"""
 SELECT c_custkey, {_noise_sql('c_acctbal')} AS c_acctbal FROM customer""")
 def prep_gaussian_noise(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return finish(FP.gaussian_noise(c, ["c_acctbal"], NOISE_SIGMA, seed=7, key_cols=["c_custkey"]))
 
 
@@ -178,7 +179,7 @@ WITH e AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 A
 SELECT o_orderkey, list_transform(range(5), lambda k: round(CASE WHEN k = y THEN CAST({1 - SMOOTH_EPS} AS DOUBLE)
        ELSE CAST(0.0 AS DOUBLE) END + CAST({SMOOTH_EPS / 5} AS DOUBLE), {R})) AS soft_label FROM e""")
 def prep_smooth_labels(spark, d):
-    o = FP.label_encode(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority"),
+    o = FP.label_encode(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"),
                         ["o_orderpriority"])
     return finish(o.select("o_orderkey", FP.smooth_labels("o_orderpriority", 5, SMOOTH_EPS).alias("soft_label")))
 
@@ -209,7 +210,7 @@ SAMPLE_N = 50
 SELECT c_custkey, c_acctbal FROM customer
 ORDER BY {order_hash_expr(['c_custkey'], 43)}, c_custkey LIMIT {SAMPLE_N}""")
 def prep_sample_rows(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_acctbal")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_acctbal")
     return finish(FP.hash_sample(c, SAMPLE_N, ["c_custkey"], seed=43))
 
 
@@ -218,7 +219,7 @@ def prep_sample_rows(spark, d):
 SELECT c_custkey, CASE WHEN {hash_fraction_sql(['c_custkey', 'c_mktsegment'])} < 0.5
        THEN 'train' ELSE 'test' END AS split FROM customer""")
 def split_hash(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")
     return finish(SP.hash_split(c, ["c_custkey", "c_mktsegment"], 0.5).select("c_custkey", "split"))
 
 
@@ -274,7 +275,7 @@ def split_per_fold_scale(spark, d):
 WITH r AS (SELECT c_custkey, {hash_rank_expr(['c_custkey'], [], 42)} AS rk, count(*) OVER () AS n FROM customer)
 SELECT c_custkey, rk <= floor(n * CAST(0.2 AS DOUBLE)) AS holdout FROM r""")
 def split_holdout(spark, d):
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    c = read_table(spark, d, "customer").select("c_custkey")
     return finish(SP.random_holdout(c, ["c_custkey"], 0.2, seed=42))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -57,8 +58,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def reuse(df):
-    """Materialise a table that several jobs read: a reliable checkpoint in
-    the shared folder named by ``spark.checkpoint.dir`` (survives executor
-    loss, cuts lineage, holds no executor memory)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a table that several jobs read, in one pass: it is written
+    as parquet under the shared folder named by ``spark.checkpoint.dir`` and
+    read back (survives executor loss, cuts lineage, holds no executor
+    memory, and later reads get column pruning)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -18,7 +18,21 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it."""
+    """Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    A scan with fewer splits than the cluster has cores (a single small
+    file or row group) would run all per-row work up to the first shuffle
+    in a few tasks; it is spread round-robin. Large inputs already have
+    many splits and are left alone.
+    """
     if name not in TABLES:
         raise ValueError(f"Unknown table: {name}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
