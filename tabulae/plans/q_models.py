@@ -137,3 +137,64 @@ def explain_lime_maps(spark, d):
 
 
 _ = EXPLAIN_SCORER
+
+
+@register("experiment_documents")
+def experiment_documents(spark, d):
+    """The whole experiment (split, boosted trees, metrics, Shapley values,
+    surrogate, explanation quality) on the labelled documents: one result row."""
+    from .experiment import run_experiment
+    t = document_features(spark, d).drop("p", "pred", "split")
+    return run_experiment(t, DOC_FEATURES, "label", KEY, "documents", "gbt", preset=PRESET)
+
+
+@register("search_grid_ml")
+def search_grid_ml(spark, d):
+    """Exhaustive CV search with Spark ML's CrossValidator (class-balanced
+    hash folds) over a logistic-regression grid: mean ROC-AUC per candidate."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    from ..operators.search import grid_search_ml
+    from ..operators.split import stratified_kfold
+    train, _, _ = _train_test(spark, d)
+    folded = stratified_kfold(train, "label", ["doc_id"], k=3, seed=42)
+    data = VectorAssembler(inputCols=DOC_FEATURES, outputCol="features").transform(folded).withColumn(
+        "label", F.col("label").cast("double"))
+    lr = LogisticRegression(featuresCol="features", labelCol="label")
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1, 1.0]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
+    ev = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
+    cv = grid_search_ml(lr, grid, ev, data, fold_col="fold", parallelism=2)
+    rows = [(i, float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
+            for i, (pm, m) in enumerate(zip(grid, cv.avgMetrics))]
+    return finish(spark.createDataFrame(rows, "trial long, reg_param double, elastic_net double, roc_auc double"))
+
+
+@register("search_tune_all")
+def search_tune_all(spark, d):
+    """The same candidate search on two datasets at once (``dataset`` is
+    one more grouping key): best candidate per dataset by mean PR-AUC."""
+    from ..functions.scorers import LinearScorer
+    from ..operators import search as H
+    from ..operators.split import stratified_kfold
+    from .fixtures import DOC_SCORER, LINEITEM_KEY, LINEITEM_SCORER, LINEITEM_TIES, scored_lineitem
+
+    def margin(sc: LinearScorer):
+        return sc.margin() - F.lit(sc.intercept)
+    li = scored_lineitem(spark, d, keep_features=True).where(F.col("split") == "train")
+    li = stratified_kfold(li, "label", LINEITEM_KEY, k=3, seed=7, tie_cols=LINEITEM_TIES)
+    li = li.select(F.lit("lineitem").alias("dataset"), "label", "fold", margin(LINEITEM_SCORER).alias("z"))
+    dc, _, _ = _train_test(spark, d)
+    dc = stratified_kfold(dc, "label", ["doc_id"], k=3, seed=7)
+    dc = dc.select(F.lit("documents").alias("dataset"), "label", "fold", margin(DOC_SCORER).alias("z"))
+    rows = li.unionByName(dc)
+    cands = H.candidate_grid(spark, {"intercept": [-0.5, 0.0, 0.5, 1.5], "scale": [0.5, 1.0, 2.0]})
+
+    def score(params):
+        m = params["intercept"].cast("double") + params["scale"].cast("double") * F.col("z")
+        return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-m)), 6)
+    cv = H.cv_scores(rows, cands, score, groups=["dataset"])
+    summ = H.search_summary(cv, "pr_auc", groups=["dataset"], decimals=6)
+    return finish(H.best_params(summ, cands, "pr_auc", groups=["dataset"]))

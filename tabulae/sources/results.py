@@ -90,3 +90,18 @@ def write_feature_snapshot(df: DataFrame, path: str, label: str, fmt: str = "par
     """Features and target (renamed ``target``) as one table."""
     out = df.withColumnRenamed(label, "target")
     (out.write.mode("overwrite").option("header", True).format(fmt).save(path))
+
+
+# Fixed value: the file-name suffix of per-dataset summary tables.
+SUMMARY_SUFFIX = "_test_summary.csv"
+
+
+def read_summaries(spark: SparkSession, paths) -> DataFrame:
+    """Per-dataset summary CSVs (files, or Spark CSV folders) as one table;
+    a missing ``dataset`` column is taken from the file or folder name
+    without the ``_test_summary.csv`` suffix."""
+    df = spark.read.option("header", True).csv(paths)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_test_summary\.csv(/[^/]*)?$", 1)
+    if "dataset" not in df.columns:
+        df = df.withColumn("dataset", name)
+    return df

@@ -103,3 +103,24 @@ def test_dataset_registry_errors(spark):
         SF.dataset(spark, "adult_income", data_dir="/nonexistent")
     with pytest.raises(ValueError):
         SF.dataset(spark, "nope")
+
+
+def test_read_summaries_dataset_from_path(spark, tmpdir_path):
+    for ds in ("alpha", "beta"):
+        with open(os.path.join(tmpdir_path, f"{ds}_test_summary.csv"), "w") as f:
+            f.write("model,accuracy_mean,accuracy_std\nm1,0.5,0.1\n")
+    df = SR.read_summaries(spark, os.path.join(tmpdir_path, "*_test_summary.csv"))
+    assert sorted(r.dataset for r in df.collect()) == ["alpha", "beta"]
+    out = L.union_summaries([df.withColumn("accuracy_mean", F.col("accuracy_mean").cast("double"))])
+    assert out.first().accuracy == "0.5000 ± 0.1000"
+
+
+def test_snapshot_and_tuning_sinks(spark, tmpdir_path):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 1)], "x double, y int")
+    SR.write_feature_snapshot(df, os.path.join(tmpdir_path, "snap"), "y")
+    assert spark.read.parquet(os.path.join(tmpdir_path, "snap")).columns == ["x", "target"]
+    best = spark.createDataFrame([("ds", "gbt", 0.9, {"a": "1"})],
+                                 "dataset string, model string, best_score double, best_params map<string,string>")
+    SR.write_tuning_summary(best, os.path.join(tmpdir_path, "tune"))
+    back = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "tune")).first()
+    assert back.dataset == "ds" and json.loads(back.best_params) == {"a": "1"}
