@@ -55,8 +55,14 @@ def exact_quantiles(long: DataFrame, quantiles: dict[str, float], group: str = "
 def describe_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: count, mean, sample std, min, quartiles, max (long rows)."""
     long = long_values(df, cols)
+    # The mean is summed as DECIMAL(38,10): exact and independent of the
+    # summation order for decimal-valued data (falls back to the double
+    # average if the decimal sum would overflow).
+    dec = F.try_sum(F.col("value").try_cast("decimal(38,10)") if hasattr(F.col("value"), "try_cast")
+                    else F.expr("try_cast(value AS DECIMAL(38,10))"))
+    exact_mean = dec.cast("double") / F.count("value").cast("double")
     moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.count("value").alias("count"), F.coalesce(exact_mean, F.avg("value")).alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     qs = exact_quantiles(long, DESCRIBE_QUANTILES)

@@ -42,9 +42,15 @@ def _round_type(c, dt: T.DataType, decimals: int):
     return c
 
 
-def finish(df: DataFrame, decimals: int = DECIMALS) -> DataFrame:
-    """Round doubles (also inside double arrays) and widen ints to long."""
-    return df.select(*[_round_type(F.col(f"`{f.name}`"), f.dataType, decimals).alias(f.name)
+def finish(df: DataFrame, decimals: int = DECIMALS, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Round doubles (also inside double arrays) and widen ints to long.
+
+    Columns in ``exact`` are computed bit-identically by both engines (an
+    exact decimal sum and one IEEE division) and are left unrounded: a
+    rounded copy could differ only because the engines round ties in
+    different ways."""
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in exact
+                        else _round_type(F.col(f"`{f.name}`"), f.dataType, decimals)).alias(f.name)
                        for f in df.schema.fields])
 
 
