@@ -250,7 +250,9 @@ def apply_design(vals: DataFrame, design: Design, features: Sequence[str], key_c
                            lambda acc, j: acc + F.element_at(row, j) * F.element_at(F.col("v"), j))
 
     n_terms = len(design.terms)
-    out = vals.select(*key_cols, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_terms - 1)),
+    # _outer: an inner generator makes Catalyst infer size(...) > 0 and
+    # evaluate the whole term vector twice.
+    out = vals.select(*key_cols, F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.lit(n_terms - 1)),
                                                           term_value)).alias("_t", value_name))
     names_i = F.array(*[F.lit(features[t[0]]) for t in design.terms])
     names_j = F.array(*[F.lit(features[t[1]]) if len(t) > 1 else F.lit(None).cast("string")

@@ -251,7 +251,7 @@ def roc_auc_ovr_weighted(df: DataFrame, label: str, proba: str, n_classes: int,
     probabilities. Rows are exploded to (class, p_class) and the binary
     curve runs grouped by class.
     """
-    ex = df.select(*groups, label, F.posexplode(F.col(proba)).alias("cls", "p_cls"))
+    ex = df.select(*groups, label, F.posexplode_outer(F.col(proba)).alias("cls", "p_cls"))
     ex = ex.withColumn("y_cls", (F.col(label) == F.col("cls")).cast("int"))
     curve = binary_curve(ex, "y_cls", "p_cls", [*groups, "cls"])
     per = curve.groupBy(*groups, "cls").agg(

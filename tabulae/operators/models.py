@@ -120,7 +120,7 @@ def distillation_rows(df: DataFrame, teacher_proba: str, label: str, n_classes:
     t = float(temperature)
     q = F.transform(F.col(teacher_proba), lambda x: F.pow(x, F.lit(1.0 / t)))
     tot = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
-    ex = df.select("*", F.posexplode(q).alias("_cls", "_q"), tot.alias("_tot"))
+    ex = df.select("*", F.posexplode_outer(q).alias("_cls", "_q"), tot.alias("_tot"))
     w = F.lit(alpha) * F.col("_q") / F.col("_tot") + F.lit(1.0 - alpha) * (F.col(label) == F.col("_cls")).cast("double")
     return ex.select(*[c for c in df.columns if c != label], F.col("_cls").cast("double").alias(label),
                      w.alias("weight"))

@@ -147,7 +147,7 @@ def lime_explain(rows: DataFrame, train: DataFrame, features: Sequence[str], sco
     names = F.array(*[F.lit(f) for f in features])
     out = coef.select(*key_cols, F.element_at("_c", d + 1).alias("intercept"),
                       F.aggregate(F.slice("_c", 1, d), F.element_at("_c", d + 1), lambda a, x: a + x).alias("score"),
-                      F.posexplode(F.slice("_c", 1, d)).alias("_i", "weight"))
+                      F.posexplode_outer(F.slice("_c", 1, d)).alias("_i", "weight"))
     return out.select(*key_cols, F.element_at(names, F.col("_i") + 1).alias("feature"), "weight",
                       "intercept", "score")
 

@@ -240,7 +240,7 @@ def _models_long(spark, d):
     li = scored_lineitem(spark, d, keep_features=True).where(F.col("split") == "test")
     scores = F.array(*[F.struct(F.lit(sc.name).alias("model"), sc.proba().alias("p"))
                        for sc in LINEITEM_ALT_SCORERS])
-    ex = li.select("label", F.inline(scores)).withColumn("pred", M.threshold_labels("p"))
+    ex = li.select("label", F.inline_outer(scores)).withColumn("pred", M.threshold_labels("p"))
     long = M.evaluate_by(ex, ["model"], pred="pred")
     return long.select("model", "metric", F.round("value", R).alias("value"))
 
