@@ -68,7 +68,7 @@ def scored_lineitem_sql(scorer: LinearScorer = LINEITEM_SCORER, keep_features: b
     frac = hash_fraction_sql(["l_orderkey", "l_linenumber"])
     return f"""(SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS row_id, l_partkey, l_suppkey,
         CASE WHEN {frac} < {LINEITEM_TRAIN_SHARE} THEN 'train' ELSE 'test' END AS split,
-        CAST(l_returnflag = 'R' AS INTEGER) AS label,
+        CAST(l_returnflag = 'R' AS BIGINT) AS label,
         {scorer.proba_sql()} AS p,
         CAST({scorer.proba_sql()} >= 0.5 AS INTEGER) AS pred{feats}
       FROM lineitem)"""
@@ -102,7 +102,7 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_table_sql() -> str:
     frac = hash_fraction_sql(["d.doc_id"])
-    return f"""(SELECT d.doc_id, d.lang, CAST(l.quality AS INTEGER) AS label, l.toxic,
+    return f"""(SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS label, l.toxic,
         CAST(d.n_chars AS DOUBLE) AS n_chars,
         CAST(len(regexp_extract_all(d.text, '{WORD_PATTERN}')) AS DOUBLE) AS n_words,
         CAST(len(regexp_extract_all(d.text, '{PUNCT_PATTERN}')) AS DOUBLE) AS n_punct,

@@ -113,7 +113,7 @@ def _multiclass(spark, d):
 def _multiclass_sql() -> str:
     ps = SOFTMAX.proba_sql()
     label = "CASE l_returnflag " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES)) + " END"
-    return f"""(SELECT l_linestatus, {label} AS label, [{', '.join(ps)}] AS proba FROM lineitem)"""
+    return f"""(SELECT l_linestatus, CAST({label} AS BIGINT) AS label, [{', '.join(ps)}] AS proba FROM lineitem)"""
 
 
 MC = _multiclass_sql()
