@@ -57,21 +57,60 @@ def bucket_rare(df: DataFrame, cols: Sequence[str], min_share: float = RARE_SHAR
     return out
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
+# Largest category count whose label list may pass through the driver
+# (StringIndexer keeps it there and ships it to every task).
+MAX_DRIVER_LABELS = 100_000
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
+                 max_driver_labels: int = MAX_DRIVER_LABELS) -> DataFrame:
     """Code = 0-based position among the column's sorted distinct strings;
-    nulls become the category 'nan'. Spark ML StringIndexer (alphabetical)."""
+    nulls become the category 'nan'.
+
+    Columns whose (approximate) distinct count is within
+    ``max_driver_labels`` use Spark ML ``StringIndexer`` (alphabetical);
+    larger ones are ranked on the executors (``distributed_codes``) and
+    joined back, so no unbounded label list reaches the driver.
+    """
     from pyspark.ml.feature import StringIndexer
 
     tmp = {c: f"_le_in_{c}" for c in cols}
     outs = {c: f"_le_out_{c}" for c in cols}
     staged = df.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_CATEGORY)).alias(tmp[c])
                               for c in cols])
-    model = StringIndexer(inputCols=list(tmp.values()), outputCols=list(outs.values()),
-                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(staged)
-    enc = model.transform(staged)
-    res = enc.select(*[c for c in df.columns if not (c in cols and not suffix)],
-                     *[F.col(outs[c]).cast("long").alias(c + suffix) for c in cols])
-    return res
+    approx = staged.agg(*[F.approx_count_distinct(tmp[c], 0.05).alias(c) for c in cols]).first()
+    small = [c for c in cols if approx[c] <= max_driver_labels / 1.2]
+    large = [c for c in cols if c not in small]
+    enc = staged
+    if small:
+        model = StringIndexer(inputCols=[tmp[c] for c in small], outputCols=[outs[c] for c in small],
+                              stringOrderType="alphabetAsc", handleInvalid="keep").fit(staged)
+        enc = model.transform(staged)
+    for c in large:
+        codes = distributed_codes(staged.select(F.col(tmp[c]).alias("_v")), "_v")
+        enc = enc.join(codes.select(F.col("_v").alias(tmp[c]), F.col("_code").alias(outs[c])), tmp[c], "left")
+    return enc.select(*[c for c in df.columns if not (c in cols and not suffix)],
+                      *[F.col(outs[c]).cast("long").alias(c + suffix) for c in cols])
+
+
+def distributed_codes(values: DataFrame, col: str) -> DataFrame:
+    """(value, _code): dense 0-based rank of the distinct values, computed
+    without a global window. Distinct values are range-partitioned and the
+    partition ids are materialised (so the sampled bounds are fixed); the
+    per-partition counts (one row per partition) give offsets, and a window
+    inside each partition gives the local rank."""
+    from pyspark.sql import Window
+
+    from ..session import reuse
+
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    ranged = reuse(values.select(col).distinct().repartitionByRange(n, col)
+                   .withColumn("_pid", F.spark_partition_id()))
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(col)) - 1
+    return (ranged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
+            .select(col, (F.col("_off") + local).cast("long").alias("_code")))
 
 
 def encode_target(df: DataFrame, label: str) -> DataFrame:

@@ -88,3 +88,11 @@ def test_hash_sample_exact_size_and_partition_invariance(spark):
     b = sorted(r.id for r in P.hash_sample(df.repartition(11), 50, ["id"], seed=3).collect())
     assert len(a) == 50 and a == b
     assert P.hash_sample(df, 10_000, ["id"]).count() == 5000
+
+
+def test_label_encode_distributed_path_matches_indexer(spark):
+    rows = [(i, f"v{(i * 7919) % 997}" if i % 13 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, c string")
+    a = {r.id: r.c for r in P.label_encode(df, ["c"]).collect()}
+    b = {r.id: r.c for r in P.label_encode(df, ["c"], max_driver_labels=0).collect()}
+    assert a == b
