@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: up to 16g, at most
+    60% of the machine's memory."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, app: str = "tabulae",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests and benches.
@@ -32,7 +42,7 @@ def get_spark(master: str | None = None, app: str = "tabulae",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("TABULAE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("TABULAE_DRIVER_MEMORY", _driver_memory()))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
