@@ -343,8 +343,7 @@ def dependence_points(phi: DataFrame, x_long: DataFrame, feature: str, key_cols:
     """(keys, value, phi, color_feature, color_value) for one feature; the
     colour feature is the one whose values correlate most (abs) with the
     feature's phi (``auto``) or the one given."""
-    feats = [r[0] for r in x_long.select("feature").distinct().collect()]  # feature names only
-    if feature not in feats:
+    if not x_long.where(F.col("feature") == feature).limit(1).collect():  # stops at the first hit
         raise ValueError(f"Unknown feature: {feature}")
     ph = phi.where(F.col("feature") == feature).select(*key_cols, "phi")
     xs = x_long.where(F.col("feature") == feature).select(*key_cols, "value")
