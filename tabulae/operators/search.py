@@ -40,9 +40,19 @@ def candidate_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFra
     return spark.createDataFrame(rows, "trial long, params map<string,string>")
 
 
-def random_candidates(candidates: DataFrame, n_iter: int, seed: int = 42) -> DataFrame:
-    """``n_iter`` candidates without replacement, first in hash order."""
-    return candidates.orderBy(order_hash(["trial"], seed), "trial").limit(n_iter)
+def random_candidates(candidates: DataFrame, n_iter: int, seed: int = 42,
+                      replacement: bool = False) -> DataFrame:
+    """``n_iter`` candidates: without replacement the first in hash order;
+    with replacement (independent draws per parameter set, as a trial
+    sampler does) draw i picks trial hash(seed, i) mod n, with a ``draw``
+    column."""
+    if not replacement:
+        return candidates.orderBy(order_hash(["trial"], seed), "trial").limit(n_iter)
+    n = candidates.count()  # size of the user-given grid
+    spark = candidates.sparkSession
+    draws = spark.range(n_iter).select(F.col("id").alias("draw"),
+                                       F.pmod(order_hash(["id"], seed), F.lit(n)).alias("trial"))
+    return draws.join(F.broadcast(candidates), "trial").select("draw", "trial", "params")
 
 
 def cv_scores(folded: DataFrame, candidates: DataFrame, score_fn: Callable[[Column], Column],

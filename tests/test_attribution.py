@@ -135,3 +135,18 @@ def test_lime_surrogate_recovers_linear_direction(spark):
     assert out.groupby("id").size().eq(3).all()
     imp = out.assign(w=out.weight.abs()).groupby("feature").w.mean()
     assert imp["c"] < imp["a"] and imp["c"] < imp["b"]
+
+
+def test_interaction_reports_five_features(spark):
+    rng = np.random.default_rng(7)
+    feats = [f"feature_{i}" for i in range(5)]
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=5))) for i in range(110)],
+                                 "id long, " + ", ".join(f"{f} double" for f in feats))
+    sc = LinearScorer({f: 0.3 * (i + 1) for i, f in enumerate(feats)}, decimals=None)
+    inter = X.interaction_values(rows.where("id >= 100"), feats, sc, rows.where("id < 100").limit(20), ["id"])
+    top = X.interaction_strength(inter, 5).collect()
+    assert len(top) == 5 and all(a.interaction_strength >= b.interaction_strength for a, b in zip(top, top[1:]))
+    inst = X.instance_interactions(inter, ["id"], 5).where("id = 105").collect()
+    assert len(inst) == 5 and {r["rank"] for r in inst} == {1, 2, 3, 4, 5}
+    dev = X.deviation_interactions(rows, feats, ["id"])
+    assert dev.count() == 110 * 10

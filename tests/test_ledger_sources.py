@@ -124,3 +124,14 @@ def test_snapshot_and_tuning_sinks(spark, tmpdir_path):
     SR.write_tuning_summary(best, os.path.join(tmpdir_path, "tune"))
     back = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "tune")).first()
     assert back.dataset == "ds" and json.loads(back.best_params) == {"a": "1"}
+
+
+def test_candidate_grid_and_random_search(spark):
+    from tabulae.operators import search as H
+    grid = H.candidate_grid(spark, {"depth": [2, 3], "rate": [0.1, None]})
+    rows = {r.trial: r.params for r in grid.collect()}
+    assert len(rows) == 4 and rows[1] == {"depth": "2", "rate": None}
+    a = H.random_candidates(grid, 3, seed=1)
+    assert a.count() == 3 and a.select("trial").distinct().count() == 3
+    b = H.random_candidates(grid, 10, seed=1, replacement=True)
+    assert b.count() == 10 and b.select("trial").distinct().count() <= 4
