@@ -136,8 +136,6 @@ def explain_lime_maps(spark, d):
     return finish(SG.lime_maps(_lime(spark, d), KEY))
 
 
-_ = EXPLAIN_SCORER
-
 
 @register("experiment_documents")
 def experiment_documents(spark, d):

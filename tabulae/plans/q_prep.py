@@ -12,7 +12,7 @@ from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (DOC_FEATURES, LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_TIES,
                        document_table, document_table_sql, scored_lineitem, scored_lineitem_sql)
-from .q_eval import MC, SOFTMAX, _multiclass
+from .q_eval import MC, _multiclass
 from .sqlparts import R, hash_rank_expr, order_hash_expr, stratified_sql
 
 # ============================================================== E: profiling
@@ -299,5 +299,3 @@ def split_stratified_lineitem(spark, d):
     sp = SP.stratified_split(s, "label", LINEITEM_KEY, 0.2, 42, tie_cols=LINEITEM_TIES)
     return finish(sp.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n")))
 
-
-_ = SOFTMAX
