@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Tables written by ``reuse``: id of the frame -> (reference, folder).
+_PATHS: dict[int, tuple] = {}
 
 
 def _driver_memory() -> str:
@@ -53,8 +57,10 @@ def get_spark(master: str | None = None, app: str = "tabulae",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there; it is only set here when unset,
-    which happens in local tests.
+    The cluster names a shared folder there. Only a local master may leave it
+    unset (tests): driver and executors then share one machine's folder. On
+    any other master an unset folder is an error, because each executor would
+    write to its own disk and later reads would miss rows.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,17 +68,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="tabulae-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
-def reuse(df):
+def reuse(df: DataFrame) -> DataFrame:
     """Materialise a table that several jobs read, in one pass: it is written
     as parquet under the shared folder named by ``spark.checkpoint.dir`` and
     read back (survives executor loss, cuts lineage, holds no executor
-    memory, and later reads get column pruning)."""
+    memory, and later reads get column pruning). ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by ``reuse`` that no later job reads."""
+    for t in tables:
+        ref, path = _PATHS.pop(id(t), (None, None))
+        if ref is not None and ref() is t:
+            jvm = t.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
