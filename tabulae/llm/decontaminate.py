@@ -18,7 +18,9 @@ from .common import annotate, as_bytes, text_runs
 MAX_TERMS, RANK, OVERSAMPLE, POWER = 1 << 17, 96, 16, 2
 # Words of a block; passages are runs of blocks, one block apart.
 BLOCK = 8
-MIN_COSINE, MIN_COMMON, MIN_ANSWER = 0.45, 0.6, 0.5
+# A candidate's cosine, and the part of the item's length that its projection on
+# the item must have; then the checks' shares.
+MIN_COSINE, MIN_PART, MIN_COMMON, MIN_ANSWER = 0.45, 0.4, 0.6, 0.5
 SEED = 13
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -118,9 +120,9 @@ class Index:
     def __init__(self, ids: list[int], words: list[list[bytes]], terms: dict[bytes, int], idf: np.ndarray, space: np.ndarray):
         self.ids, self.words, self.terms = ids, words, terms
         self.space = (idf[:, None] * space).astype(np.float32)
-        self.weight = (idf * idf).astype(np.float32)
         vectors = np.array([self.space[[terms[w] for w in ws]].sum(axis=0) for ws in words])
-        self.items = (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))).astype(np.float32)
+        self.length = np.linalg.norm(vectors, axis=1)
+        self.items = (vectors / np.maximum(1e-9, self.length)[:, None]).astype(np.float32)
         self.blocks = np.array([max(1, round(len(w) / BLOCK)) for w in words])
         # The answer of an item: its rarest words, a quarter of the distinct ones.
         self.answers = [set(sorted(set(ws), key=lambda w: (-idf[terms[w]], w))[:max(1, len(set(ws)) // 4)]) for ws in words]
@@ -142,28 +144,29 @@ class Index:
             return
         block, term = np.array(block), np.array(term)
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums = np.zeros((n_blocks.sum() + 1, self.space.shape[1]), np.float32)
-        sums[block[first] + 1] = np.add.reduceat(self.space[term], first, axis=0)
-        sums = np.cumsum(sums, axis=0, dtype=np.float64)
+        block_sum = np.zeros((n_blocks.sum(), self.space.shape[1]), np.float32)
+        block_sum[block[first]] = np.add.reduceat(self.space[term], first, axis=0)
         text_of = np.repeat(np.arange(len(texts)), n_blocks)
-        end = begin + n_blocks
+        end = (begin + n_blocks)[text_of]
         found: dict[tuple[int, int], tuple[float, float]] = {}
+        passage, have = block_sum.copy(), 1
         for size in np.unique(self.blocks).tolist():
+            for have in range(have, size + 1):  # a block more than the item: it starts anywhere
+                inside = np.flatnonzero(np.arange(len(end)) + have < end)
+                passage[inside] += block_sum[inside + have]
+            have = size + 1
             items = np.flatnonzero(self.blocks == size)
-            start = np.arange(len(text_of))
-            stop = np.minimum(start + size + 1, end[text_of])  # a block more: items start anywhere
-            passage = (sums[stop] - sums[start]).astype(np.float32)
-            norm = np.linalg.norm(passage, axis=1, keepdims=True)
-            cosine = (passage @ self.items[items].T) / np.maximum(1e-6, norm)
-            for s, j in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
+            dot = passage @ self.items[items].T
+            enough = np.maximum(MIN_COSINE * np.linalg.norm(passage, axis=1)[:, None], MIN_PART * self.length[items][None, :])
+            for s, j in zip(*(x.tolist() for x in np.nonzero(dot >= enough)), strict=True):
                 d, k = int(text_of[s]), int(items[j])
-                at = int(start[s] - begin[d]) * BLOCK
+                at = (s - int(begin[d])) * BLOCK
                 part = words[d][max(0, at - BLOCK):at + (size + 2) * BLOCK]
-                common = common_subsequence(self.words[k], part) / len(self.words[k])
-                if common < MIN_COMMON:
+                answer = len(self.answers[k].intersection(part)) / len(self.answers[k])
+                if answer < MIN_ANSWER:
                     continue
-                answer = len(self.answers[k] & set(part)) / len(self.answers[k])
-                if answer >= MIN_ANSWER and found.get((d, k), (0, 0)) < (common, answer):
+                common = common_subsequence(self.words[k], part) / len(self.words[k])
+                if common >= MIN_COMMON and found.get((d, k), (0, 0)) < (common, answer):
                     found[d, k] = common, answer
         for (d, k), (common, answer) in found.items():
             yield d, k, common, answer
@@ -195,8 +198,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     The latent space is that of the benchmark's TF-IDF passages, idf counted
     over all documents. A document's passages, of each item length and one
-    block of words apart, are folded in; those at cosine ``MIN_COSINE`` or more
-    are candidates. A candidate is a leak when its longest common subsequence
+    block of words apart, are folded in; those at cosine ``MIN_COSINE`` or more,
+    whose projection on the item has ``MIN_PART`` of its length, are candidates. A candidate is a leak when its longest common subsequence
     with the item's words covers ``MIN_COMMON`` of them, and ``MIN_ANSWER`` of
     the item's answer words (its rarest) are found in it; so changed, missing
     and added words don't hide it. ``items`` lists the leaked items, sorted;
