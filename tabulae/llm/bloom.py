@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
-BITS_PER_KEY = 16
+BITS_PER_KEY = 8
 PROBES = 3
 BLOCK_BITS = 1 << 16
 
@@ -45,24 +44,29 @@ def contains(bitmap: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
 _PARTS = "block long, once binary, twice binary"
 
 
+def _set(bitmap: np.ndarray, positions: np.ndarray) -> None:
+    positions = np.unique(positions)
+    if len(positions):
+        byte = positions >> 3
+        first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        bitmap[byte[first]] |= np.bitwise_or.reduceat((1 << (positions & 7)).astype(np.uint8), first)
+
+
 def _parts(keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int):
     """A task's own once-seen and twice-seen filters, as bit positions per block."""
     def run(batches):
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for keys in keys_of(batches):
             keys, n = np.unique(keys, return_counts=True)
             p = probes(keys, bits)
-            again = once[p].all(axis=0) | (n > 1)
-            twice[p[:, again]] = True
-            once[p] = True
-        where, dup = np.flatnonzero(once), np.flatnonzero(twice)
-        cut = np.arange(0, bits + 1, BLOCK_BITS)
-        at, at2 = np.searchsorted(where, cut), np.searchsorted(dup, cut)
-        rows = [(b, (where[at[b]:at[b + 1]] - cut[b]).astype(np.uint16).tobytes(),
-                 (dup[at2[b]:at2[b + 1]] - cut[b]).astype(np.uint16).tobytes())
-                for b in range(len(cut) - 1) if at[b] < at[b + 1]]
-        if rows:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["block", "once", "twice"]), preserve_index=False)
+            _set(twice, p[:, contains(once, bits, keys) | (n > 1)])
+            _set(once, p)
+        width = BLOCK_BITS // 8
+        for b in range(bits // BLOCK_BITS):
+            seen = [np.flatnonzero(np.unpackbits(x[b * width:(b + 1) * width], bitorder="little")).astype(np.uint16).tobytes()
+                    for x in (once, twice)]
+            if seen[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array(seen[:1]), pa.array(seen[1:])], ["block", "once", "twice"])
     return run
 
 
