@@ -15,10 +15,10 @@ from tabulae.session import reuse
 from .common import annotate, as_bytes, hash_order, text_runs
 
 # Labelled rows that the classifier's fit may use: a documented bound.
-MAX_LABELLED = 4000
+MAX_LABELLED = 2000
 BUCKETS = 4096
 STEPS, RATE, L2 = 150, 0.05, 1e-4
-MAX_ROUNDS, TOLERANCE = 60, 1e-9
+MAX_ROUNDS, TOLERANCE = 30, 1e-5
 SEED = 17
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .common import annotate, as_bytes, hash_order, in_train, text_runs
 
 # Rows the fit may use: a documented bound; all else covers every row.
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 5000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 3000
 STEPS, RATE, L2 = 400, 0.02, 1e-4
 
 # Classes of bytes, by what a reader sees; every other byte of a multi-byte
@@ -85,8 +85,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), flat)
     center = unlabelled.mean(axis=0, dtype=np.float64)
     scale = unlabelled.std(axis=0, dtype=np.float64) + 0.02
-    p, u = ((x - center) / scale for x in (positive, unlabelled))
-    p, u = p.astype(np.float32), u.astype(np.float32)
+    p, u = ((x - center.astype(np.float32)) / scale.astype(np.float32) for x in (positive, unlabelled))
     w, m, v = (np.zeros(N_FEATURES + 1) for _ in range(3))
     w[-1] = flat
 
