@@ -251,8 +251,9 @@ FOUND = "row long, start int, size int, h1 long, h2 long, known boolean"
 
 def _findings(window: int, anchors: Filter, unproven: Filter, singles: Filter):
     """Intervals of windows proven by their span, or by an equal window in the
-    same run of texts (``known``); and for the other windows that a single one
-    may equal, their names, once per run of texts if they are proven here."""
+    same run of texts (``known``); and the names of the windows that a single
+    one may equal: of unproven windows with their place, of proven ones without
+    it, once per run of texts."""
     def run(batches: Iterator[pa.RecordBatch]):
         tokens = TokenNames()
         for part, texts in text_runs(batches):
@@ -275,16 +276,18 @@ def _findings(window: int, anchors: Filter, unproven: Filter, singles: Filter):
             at = np.concatenate([first[~open_], start[known & ~proven], start[lead | ~known]])
             many = len(at) - int((lead | ~known).sum())
             d = r.doc[at]
-            row = part.column(0).take(pa.array(d))
+            sent = lead | ~known
+            # A proven window's place is known already: its name alone goes out, as proof.
+            proof = np.concatenate([np.zeros(many, bool), proven[sent]])
+            row = pa.array(part.column(0).to_numpy(zero_copy_only=False)[d], mask=proof)
             length = np.concatenate([size[~open_], np.ones(len(at) - int((~open_).sum()), np.int64)])
             none = np.arange(len(at)) < many
             pad = np.zeros(many, np.uint64)
-            sent = lead | ~known
             yield pa.RecordBatch.from_arrays(
-                [row, pa.array((at - r.begin[d]).astype(np.int32)), pa.array(length.astype(np.int32)),
+                [row, pa.array((at - r.begin[d]).astype(np.int32), mask=proof), pa.array(length.astype(np.int32), mask=proof),
                  pa.array(np.concatenate([pad, h1[sent]]).view(np.int64), mask=none),
                  pa.array(np.concatenate([pad, h2[sent]]).view(np.int64), mask=none),
-                 pa.array(np.concatenate([np.ones(many, bool), known[sent]]))],
+                 pa.array(np.concatenate([np.ones(many, bool), (known | proven)[sent]]))],
                 ["row", "start", "size", "h1", "h2", "known"])
     return run
 
@@ -309,7 +312,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = (asked.groupBy("h1", "h2").agg((F.max("known") | (F.count("*") > 1)).alias("again"))
            .where("again").select("h1", "h2"))
     return (found.where("h1 is null").select("row", "start", "size")
-            .unionByName(asked.join(met, ["h1", "h2"], "left_semi").select("row", "start", "size")))
+            .unionByName(asked.where("row is not null").join(met, ["h1", "h2"], "left_semi").select("row", "start", "size")))
 
 
 def _cut(window: int):
