@@ -17,7 +17,8 @@ MAX_PER_CLASS = 2000
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIM = 8
-EPOCHS, BATCH, RATE = 6, 64, 0.3
+# Passes over the texts, more on few of them for at least so many minibatches.
+EPOCHS, UPDATES, BATCH, RATE = 6, 300, 64, 0.3
 # Words per window, every half window; averages are over this many subwords at least.
 WINDOW, LEAST_SUBWORDS = 12, 40
 CACHE_WORDS = 200_000
@@ -108,7 +109,7 @@ def embed(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarra
     bias = np.zeros(2)
     seen_e, seen_w, seen_b = np.full(emb.shape, 1e-12), np.full(soft.shape, 1e-8), np.full(2, 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = [i for i in order[at:at + BATCH] if len(bags[i][0])]
