@@ -361,14 +361,16 @@ def dependence_points(phi: DataFrame, x_long: DataFrame, feature: str, key_cols:
 
 
 def waterfall(phi: DataFrame, key_cols: Sequence[str], max_display: int = 10) -> DataFrame:
-    """Per row: base -> contributions by |phi| desc -> fx; the smallest
-    beyond ``max_display - 1`` are summed into ``other``. ``start``/``end``
+    """Per row: base -> contributions by |phi| desc -> fx; with more than
+    ``max_display`` features, the smallest beyond ``max_display - 1`` are summed
+    into ``other``. ``start``/``end``
     are the running totals drawn by the plot."""
     w = Window.partitionBy(*key_cols).orderBy(F.abs(F.col("phi")).desc(), F.col("feature"))
     ranked = phi.withColumn("_pos", F.row_number().over(w))
-    keep = max_display - 1
+    ranked = ranked.withColumn("_d", F.count("*").over(Window.partitionBy(*key_cols)))
+    keep = F.when(F.col("_d") > max_display, max_display - 1).otherwise(F.col("_d"))
     labelled = ranked.withColumn("feature", F.when(F.col("_pos") <= keep, F.col("feature")).otherwise("other")) \
-        .withColumn("_pos", F.least(F.col("_pos"), F.lit(keep + 1)))
+        .withColumn("_pos", F.least(F.col("_pos"), keep + 1))
     steps = labelled.groupBy(*key_cols, "feature", "_pos").agg(
         F.sum("phi").alias("phi"), F.first("base").alias("base"))
     cw = Window.partitionBy(*key_cols).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -28,16 +28,20 @@ GRID_WARN = 50
 
 
 def candidate_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
-    """All combinations, numbered in the product order of the grid keys."""
+    """All combinations, numbered in the product order of the grid keys. The
+    entries of a ``params`` map are in the order of their names."""
     keys = list(grid)
     n = 1
     for k in keys:
         n *= len(grid[k])
     if n > GRID_WARN:
         warnings.warn(f"grid has {n} candidates (> {GRID_WARN}); consider random search", stacklevel=2)
-    rows = [(i, {k: (None if v is None else str(v)) for k, v in zip(keys, combo)})
+    order = sorted(range(len(keys)), key=lambda i: keys[i])
+    rows = [(i, [None if combo[k] is None else str(combo[k]) for k in order])
             for i, combo in enumerate(itertools.product(*[grid[k] for k in keys]))]
-    return spark.createDataFrame(rows, "trial long, params map<string,string>")
+    names = F.array(*[F.lit(keys[k]) for k in order]) if keys else F.array().cast("array<string>")
+    return (spark.createDataFrame(rows, "trial long, vals array<string>")
+            .select("trial", F.map_from_arrays(names, F.col("vals")).alias("params")))
 
 
 def random_candidates(candidates: DataFrame, n_iter: int, seed: int = 42,

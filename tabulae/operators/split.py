@@ -10,6 +10,8 @@ third of all rows still spreads over many tasks. Only per-class counts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,7 +84,10 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
     hash order are test."""
     alloc = class_allocation(df, label, test_size, groups)
     ranked = hash_rank(df, key_cols, seed, [*groups, label], "_rank", seed_col, tie_cols)
-    j = ranked.join(alloc, [*groups, label])
+    on = [*groups, label]  # null-safe: rows with a null label or group are a class of their own
+    alloc = alloc.select(*[F.col(f"`{c}`").alias(f"_a_{c}") if c in on else F.col(f"`{c}`") for c in alloc.columns])
+    same = [ranked[c].eqNullSafe(alloc[f"_a_{c}"]) for c in on]
+    j = ranked.join(alloc, reduce(and_, same)).drop(*[f"_a_{c}" for c in on])
     return j.withColumn(out, F.when(F.col("_rank") <= F.col("n_test_class"), F.lit("test"))
                         .otherwise(F.lit("train"))).drop("_rank", "n_class", "n_test_class")
 
@@ -128,24 +133,30 @@ def repeated_splits(df: DataFrame, label: str, key_cols: Sequence[str], n_runs:
 def per_fold_scale(df: DataFrame, fold: str, cols: Sequence[str]) -> DataFrame:
     """Scale each row with mean / population std fitted on the *other* folds.
 
-    One pass gives per-fold sums; complement statistics are total minus
-    fold sums (a table of k rows), joined back on ``fold``.
+    One pass gives each fold's count, mean and sum of squared deviations; a
+    fold's statistics merge those of the others (a table of k rows, joined
+    back on ``fold``), so large offsets don't cancel. A null fold is one fold.
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.sum(x).alias(f"_s_{c}"), F.sum(x * x).alias(f"_q_{c}")]
-    per = df.groupBy(fold).agg(*aggs)
-    tot = Window.partitionBy()
-    comp = per.select(fold, *[(F.sum(F.col(c)).over(tot) - F.col(c)).alias(c) for c in per.columns if c != fold])
-    stats = [fold]
+        aggs += [F.avg(x).alias(f"_mean_{c}"), F.var_pop(x).alias(f"_var_{c}"), F.count(x).alias(f"_n_{c}")]
+    per = df.groupBy(F.col(fold).alias("_fold")).agg(*aggs)
+    rows = per.withColumn("_all", F.collect_list(F.struct(*per.columns)).over(Window.partitionBy()))
+    others = F.filter("_all", lambda r: ~r["_fold"].eqNullSafe(F.col("_fold")))
+    rows = rows.withColumn("_all", others)
+    stats = [F.col("_fold")]
     for c in cols:
-        n = F.col("_n")
-        mean = F.col(f"_s_{c}") / n
-        var = F.greatest(F.col(f"_q_{c}") / n - mean * mean, F.lit(0.0))
-        std = F.sqrt(var)
-        stats += [mean.alias(f"_m_{c}"), F.when(std > 0, std).otherwise(F.lit(1.0)).alias(f"_sd_{c}")]
-    st = comp.select(*stats)
-    j = df.join(st, fold)
+        def total(f):
+            return F.aggregate("_all", F.lit(0.0), lambda acc, r: acc + F.coalesce(f(r), F.lit(0.0)))
+
+        n = total(lambda r, c=c: r[f"_n_{c}"].cast("double"))
+        mean = total(lambda r, c=c: r[f"_n_{c}"] * r[f"_mean_{c}"]) / F.nullif(n, F.lit(0.0))
+        rows = rows.withColumn(f"_m_{c}", mean)
+        square = total(lambda r, c=c: r[f"_n_{c}"] * (r[f"_var_{c}"] + F.pow(r[f"_mean_{c}"] - F.col(f"_m_{c}"), F.lit(2.0))))
+        std = F.sqrt(square / F.nullif(n, F.lit(0.0)))
+        stats += [F.col(f"_m_{c}"), F.when(std > 0, std).otherwise(F.lit(1.0)).alias(f"_sd_{c}")]
+    st = rows.select(*stats)
+    j = df.join(F.broadcast(st), df[fold].eqNullSafe(st["_fold"])).drop("_fold")  # one row per fold
     return j.select(*[c for c in df.columns if c not in cols],
                     *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_sd_{c}")).alias(c) for c in cols])

@@ -77,15 +77,13 @@ def model_early_stop(spark, d):
                   .withColumn("n_trees", F.lit(n_trees).cast("long")))
 
 
-EMB_DIMS = 8
-
-
 @register("model_multiclass_eval")
 def model_multiclass_eval(spark, d):
     """10-class embeddings: network probabilities -> weighted metrics and
     one-vs-rest ROC-AUC."""
     emb = read_table(spark, d, "embeddings")
-    feats = [f"e{i}" for i in range(EMB_DIMS)]
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0]  # all of them
+    feats = [f"e{i}" for i in range(dims)]
     t = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)])
     model = MD.train_mlp(t, feats, "label", hidden=(16,), n_classes=10, max_iter=50)
     scored = MD.predict_proba(model, t, n_classes=10)

@@ -46,3 +46,14 @@ def test_oracle_matches(spark, con, name):
     assert sorted(dcols) == cols
     drows = sorted((tuple(_norm(dict(zip(dcols, r))[c]) for c in cols) for r in cur.fetchall()), key=repr)
     assert srows == drows
+
+
+@pytest.mark.parametrize("name", ["search_best_params", "ledger_merge_params"])
+def test_map_entries_are_in_the_oracles_order(spark, con, name):
+    """Rows collected as Python objects lose a map's order; Arrow keeps it."""
+    got = E.queries()[name](spark, SF001).toArrow()
+    want = con.execute(E.oracle_sql()[name]).to_arrow_table()
+    maps = [f.name for f in want.schema if str(f.type).startswith("map")]
+    assert maps
+    for c in maps:
+        assert sorted(map(str, got.column(c).to_pylist())) == sorted(map(str, want.column(c).to_pylist()))

@@ -53,3 +53,21 @@ def test_per_fold_scale_uses_other_folds(spark):
     out = sorted((r.fold, r.x) for r in S.per_fold_scale(df, "fold", ["x"]).collect())
     # fold 0 scaled with fold-1 stats (mean 12, std 2); fold 1 with fold-0 stats (mean 2, std 1)
     assert out == [(0, -5.5), (0, -4.5), (1, 8.0), (1, 12.0)]
+
+
+def test_null_labels_and_groups_keep_every_row(spark):
+    rows = [(i, None if i % 10 == 0 else i % 2, None if i % 7 == 0 else "g") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, y int, g string")
+    from tabulae.operators.split import stratified_split
+    assert stratified_split(df, "y", ["id"]).count() == 100
+    assert stratified_split(df, "y", ["id"], groups=["g"]).count() == 100
+
+
+def test_per_fold_scale_with_a_large_offset(spark):
+    from tabulae.operators.split import per_fold_scale
+    rows = [(i % 3 if i % 5 else None, 1e9 + (i * 7919 % 101) / 101.0) for i in range(300)]
+    out = per_fold_scale(spark.createDataFrame(rows, "fold int, x double"), "fold", ["x"]).collect()
+    xs = [r.x for r in out]
+    assert len(out) == 300
+    mean = sum(xs) / len(xs)
+    assert abs((sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5 - 1) < 0.02
