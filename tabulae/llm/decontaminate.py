@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -133,16 +134,13 @@ class Index:
         words = [words_of(t) for t in texts]
         n_blocks = np.array([-(-len(w) // BLOCK) for w in words], np.int64)
         begin = np.cumsum(n_blocks) - n_blocks
-        terms = self.terms
-        block, term = [], []
-        for b, ws in zip(begin.tolist(), words, strict=True):
-            for i, w in enumerate(ws):
-                if (k := terms.get(w)) is not None:
-                    block.append(b + i // BLOCK)
-                    term.append(k)
-        if not block:
+        size_of = np.array([len(w) for w in words], np.int64)
+        term = np.fromiter(map(self.terms.get, chain.from_iterable(words), repeat(-1)), np.int64, size_of.sum())
+        place = np.arange(len(term)) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+        block = place // BLOCK + np.repeat(begin, size_of)
+        block, term = block[term >= 0], term[term >= 0]
+        if not len(block):
             return
-        block, term = np.array(block), np.array(term)
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         block_sum = np.zeros((n_blocks.sum(), self.space.shape[1]), np.float32)
         block_sum[block[first]] = np.add.reduceat(self.space[term], first, axis=0)
