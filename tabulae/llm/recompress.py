@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulae.session import reuse
+from tabulae.session import discard, reuse
 
 from .bloom import Filter
 from .common import as_bytes, mix64, text_runs
@@ -88,16 +88,14 @@ class Passages:
     """Names of all passages of a token sequence, by prefix sums."""
 
     def __init__(self, tokens: np.ndarray):
-        size = 1 << max(16, int(len(tokens)).bit_length())
-        self.sums, self.down = [], []
-        for base in _BASES:
-            up, down = _powers(size, base)
-            self.sums.append(np.concatenate([[_U(0)], np.cumsum(tokens * up[:len(tokens)], dtype=_U)]))
-            self.down.append(down)
+        self.tokens, self.sums = tokens, {}
 
     def names(self, start: np.ndarray, stop: np.ndarray, k: int = 0) -> np.ndarray:
         """The k-th 64-bit name of tokens[start:stop], for arrays of both."""
-        total = (self.sums[k][stop] - self.sums[k][start]) * self.down[k][start]
+        up, down = _powers(1 << max(16, len(self.tokens).bit_length()), _BASES[k])
+        if k not in self.sums:
+            self.sums[k] = np.concatenate([[_U(0)], np.cumsum(self.tokens * up[:len(self.tokens)], dtype=_U)])
+        total = (self.sums[k][stop] - self.sums[k][start]) * down[start]
         return mix64(total + _U(k + 1) * (stop - start).astype(_U))
 
 
@@ -292,22 +290,23 @@ def _findings(window: int, anchors: Filter, unproven: Filter, singles: Filter):
     return run
 
 
-def _met_once(names: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """(met again, met once) keys of a table of names."""
-    counted = reuse(names.groupBy(*keys).agg((F.max("again") | (F.count("*") > 1)).alias("again")))
-    return counted.where("again").select(*keys), counted.where("not again").select(*keys)
+def _counted(names: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys of a table of names, and whether they are met again."""
+    return reuse(names.groupBy(*keys).agg((F.max("again") | (F.count("*") > 1)).alias("again")))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, start, size): starts of windows, ``size`` in a row, whose words
     also start elsewhere in ``docs`` (columns ``row`` long, ``text`` binary)."""
-    again, _ = _met_once(docs.select("text").mapInArrow(_anchor_names(window), "h1 long, again boolean"), "h1")
-    anchors = Filter.of(again)
-    _, once = _met_once(docs.select("text").mapInArrow(_span_names(window, anchors),
-                                                       "h1 long, h2 long, again boolean"), "h1", "h2")
-    unproven = Filter.of(once.select("h1"))
+    names = _counted(docs.select("text").mapInArrow(_anchor_names(window), "h1 long, again boolean"), "h1")
+    anchors = Filter.of(names.where("again").select("h1"))
+    spans = _counted(docs.select("text").mapInArrow(_span_names(window, anchors), "h1 long, h2 long, again boolean"),
+                     "h1", "h2")
+    unproven = Filter.of(spans.where("not again").select("h1"))
     single = reuse(docs.select("text").mapInArrow(_window_names(window, anchors, unproven), "h1 long").distinct())
-    found = reuse(docs.select("row", "text").mapInArrow(_findings(window, anchors, unproven, Filter.of(single)), FOUND))
+    singles = Filter.of(single)
+    discard(names, spans, single)  # the filters hold what the last pass needs
+    found = reuse(docs.select("row", "text").mapInArrow(_findings(window, anchors, unproven, singles), FOUND))
     asked = found.where("h1 is not null")
     met = (asked.groupBy("h1", "h2").agg((F.max("known") | (F.count("*") > 1)).alias("again"))
            .where("again").select("h1", "h2"))
