@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # coalition designs (driver side, size bounded by the feature count)
 
+# Above these feature counts the driver does not enumerate all coalitions (2^d)
+# or all feature orders (d!): the caller states how many to take.
+EXACT_MAX_FEATURES, MAX_ALL_ORDERS = 12, 8
+
 
 @dataclass
 class Design:
@@ -69,11 +73,17 @@ def shapley_design(d: int) -> Design:
     return Design(d, masks, [(i,) for i in range(d)], mat)
 
 
+def _require_orders(d: int) -> None:
+    if d > MAX_ALL_ORDERS:
+        raise ValueError(f"{d} features: all feature orders are for {MAX_ALL_ORDERS} at most; state n_samples")
+
+
 def permutation_design(d: int, n_perm: int | None = None, seed: int = 42) -> Design:
     """Average marginal contributions along feature orders: all d! orders
     when ``n_perm`` is None (exact Shapley), else ``n_perm`` seeded orders
     (each with its reverse, antithetic sampling)."""
     if n_perm is None:
+        _require_orders(d)
         perms = list(itertools.permutations(range(d)))
     else:
         rng = np.random.default_rng(seed)
@@ -103,6 +113,42 @@ def _kernel_weight(d: int, s: int) -> float:
     return (d - 1) / (math.comb(d, s) * s * (d - s))
 
 
+def _require_budget(d: int, name: str) -> None:
+    if d > EXACT_MAX_FEATURES:
+        raise ValueError(f"{d} features: enumerating everything is for {EXACT_MAX_FEATURES} at most; "
+                         f"state {name}")
+
+
+def _kernel_sample(d: int, budget: int, seed: int) -> dict[int, float]:
+    """At most ``budget`` proper coalitions with their regression weights.
+    Sizes s and d-s are taken whole, with the true kernel weight, from the
+    smallest s on as long as they fit; the rest of the budget is drawn with
+    replacement in complementary pairs, each draw carrying an equal part of
+    the kernel mass of the sizes left."""
+    weights: dict[int, float] = {}
+    s = 1
+    while 2 * s <= d:
+        sizes = {s, d - s}
+        if len(weights) + sum(math.comb(d, k) for k in sizes) > budget:
+            break
+        for k in sizes:
+            for c in itertools.combinations(range(d), k):
+                weights[sum(1 << i for i in c)] = _kernel_weight(d, k)
+        s += 1
+    draws = (budget - len(weights)) // 2
+    left = np.arange(s, d - s + 1)
+    if not len(left) or draws < 1:
+        return weights
+    mass = np.array([_kernel_weight(d, int(k)) * math.comb(d, int(k)) for k in left])
+    rng = np.random.default_rng(seed)
+    part = mass.sum() / (2 * draws)
+    for k in rng.choice(left, size=draws, p=mass / mass.sum()):
+        m = sum(1 << int(i) for i in rng.choice(d, size=int(k), replace=False))
+        for mask in (m, (1 << d) - 1 ^ m):
+            weights[mask] = weights.get(mask, 0.0) + part
+    return weights
+
+
 def kernel_design(d: int, n_samples: int | None = None, seed: int = 42,
                   max_order: int = 1) -> Design:
     """Weighted least squares on coalitions with the Shapley kernel, the
@@ -110,46 +156,42 @@ def kernel_design(d: int, n_samples: int | None = None, seed: int = 42,
 
     ``max_order=1``: kernel SHAP; ``max_order=2``: faithful Shapley
     interactions (FSI). Exact when all 2^d coalitions are used
-    (``n_samples`` None); otherwise ``n_samples`` paired coalitions drawn
-    by kernel size weights, plus the empty and full ones.
+    (``n_samples`` None, up to ``EXACT_MAX_FEATURES`` features); otherwise
+    at most ``n_samples`` coalitions, the empty and full ones included, as
+    ``_kernel_sample`` takes them.
     """
     full = (1 << d) - 1
-    if n_samples is None or n_samples >= (1 << d):
-        masks = _all_masks(d)
-        weights = [0.0 if m in (0, full) else _kernel_weight(d, _bits(m)) for m in masks]
-    else:
-        rng = np.random.default_rng(seed)
-        sizes = np.arange(1, d)
-        p = np.array([_kernel_weight(d, s) * math.comb(d, s) for s in sizes])
-        p = p / p.sum()
-        chosen = {0, full}
-        while len(chosen) < n_samples:
-            s = int(rng.choice(sizes, p=p))
-            idx = rng.choice(d, size=s, replace=False)
-            m = int(sum(1 << int(i) for i in idx))
-            chosen.update({m, full ^ m})
-        masks = sorted(chosen)
-        weights = [0.0 if m in (0, full) else 1.0 for m in masks]
+    if n_samples is None:
+        _require_budget(d, "n_samples")
+        n_samples = 1 << d
+    sampled = _kernel_sample(d, min(n_samples, 1 << d) - 2, seed) | {0: 0.0, full: 0.0}
+    masks = sorted(sampled)
+    weights = np.array([sampled[m] for m in masks])
     terms: list[tuple[int, ...]] = [()]
     for k in range(1, max_order + 1):
         terms += list(itertools.combinations(range(d), k))
     Z = np.array([[1.0 if all(m >> i & 1 for i in t) else 0.0 for t in terms] for m in masks])
-    W = np.diag(weights)
+    ZtW = Z.T * weights
     pick = [masks.index(0), masks.index(full)]
     C = Z[pick]
     E = np.zeros((2, len(masks)))
     E[0, pick[0]] = E[1, pick[1]] = 1.0
-    kkt = np.block([[2 * Z.T @ W @ Z, C.T], [C, np.zeros((2, 2))]])
-    rhs = np.vstack([2 * Z.T @ W, E])
+    kkt = np.block([[2 * ZtW @ Z, C.T], [C, np.zeros((2, 2))]])
+    rhs = np.vstack([2 * ZtW, E])
     mat = np.linalg.lstsq(kkt, rhs, rcond=None)[0][: len(terms)]
     return Design(d, masks, terms[1:], mat[1:])
 
 
-def interaction_design(d: int, index: str = "k-SII") -> Design:
-    """Order-1 and order-2 terms of SII, k-SII, STII or FSI (exact, 2^d)."""
+def interaction_design(d: int, index: str = "k-SII", budget: int | None = None, seed: int = 42) -> Design:
+    """Order-1 and order-2 terms of SII, k-SII, STII or FSI, exact from all
+    2^d coalitions up to ``EXACT_MAX_FEATURES`` features. FSI takes a
+    ``budget`` of coalitions for more; the other indices raise."""
     index = index.upper()
     if index == "FSI":
-        return kernel_design(d, None, max_order=2)
+        return kernel_design(d, budget, seed, max_order=2)
+    if budget is not None:
+        raise ValueError("only FSI takes a budget of coalitions")
+    _require_budget(d, "FSI with a budget")
     masks = _all_masks(d)
     full = (1 << d) - 1
     pairs = list(itertools.combinations(range(d), 2))
@@ -267,18 +309,22 @@ def apply_design(vals: DataFrame, design: Design, features: Sequence[str], key_c
 
 def shapley_values(df: DataFrame, features: Sequence[str], scorer, background: DataFrame,
                    key_cols: Sequence[str], method: str = "exact", n_samples: int | None = None,
-                   seed: int = 42, exact_max: int = 12) -> DataFrame:
+                   seed: int = 42) -> DataFrame:
     """Long (keys, feature, phi, base, fx): Sigma phi + base = fx.
 
-    method: ``exact`` (all coalitions; kernel least squares with sampled
-    coalitions above ``exact_max`` features), ``kernel`` or ``permutation``.
+    method: ``exact`` (all coalitions, up to ``EXACT_MAX_FEATURES``
+    features), ``kernel`` (least squares on ``n_samples`` coalitions) or
+    ``permutation`` (``n_samples`` feature orders). More features than that
+    (``MAX_ALL_ORDERS`` for orders) need ``n_samples``; ``exact`` with
+    ``n_samples`` is ``kernel``.
     """
     d = len(features)
     if method == "permutation":
         design = permutation_design(d, n_samples, seed)
-    elif method == "kernel" or d > exact_max:
-        design = kernel_design(d, n_samples if d > exact_max or n_samples else None, seed)
+    elif method == "kernel" or n_samples is not None:
+        design = kernel_design(d, n_samples, seed)
     else:
+        _require_budget(d, "n_samples")
         design = shapley_design(d)
     masks = list(design.masks)
     extra = [m for m in (0, (1 << d) - 1) if m not in masks]
@@ -293,9 +339,11 @@ def shapley_values(df: DataFrame, features: Sequence[str], scorer, background: D
 
 
 def interaction_values(df: DataFrame, features: Sequence[str], scorer, background: DataFrame,
-                       key_cols: Sequence[str], index: str = "k-SII") -> DataFrame:
-    """Long (keys, feature_i, feature_j, order, value) for order 1 and 2."""
-    design = interaction_design(len(features), index)
+                       key_cols: Sequence[str], index: str = "k-SII", budget: int | None = None,
+                       seed: int = 42) -> DataFrame:
+    """Long (keys, feature_i, feature_j, order, value) for order 1 and 2;
+    ``budget``: see ``interaction_design``."""
+    design = interaction_design(len(features), index, budget, seed)
     vals = coalition_values(df, features, scorer, background, design.masks, key_cols)
     return apply_design(vals, design, features, key_cols)
 

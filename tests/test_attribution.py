@@ -80,6 +80,36 @@ def test_sampled_kernel_efficiency(spark):
     assert np.allclose(g.s + g.base, g.fx, atol=1e-6)
 
 
+def _game(d, seed):
+    """Coalition values and exact Shapley values of a random game."""
+    v = np.random.default_rng(seed).normal(size=1 << d)
+    design = X.shapley_design(d)
+    return v, design.matrix @ v[design.masks]
+
+
+def test_sampled_kernel_converges_to_exact():
+    d = 8
+    v, exact = _game(d, 3)
+    errors = []
+    for n in (40, 120, 200, 256):
+        runs = [X.kernel_design(d, n, seed) for seed in range(30)]
+        assert all(len(r.masks) <= n for r in runs)
+        errors.append(np.mean([np.abs(r.matrix @ v[r.masks] - exact).max() for r in runs]))
+    assert errors[0] > errors[1] > errors[2] > errors[3]
+    assert errors[3] < 1e-9
+
+
+def test_many_features_need_a_stated_budget():
+    for make in (X.kernel_design, X.permutation_design, X.interaction_design):
+        with pytest.raises(ValueError):
+            make(30)
+    coefs = np.arange(1.0, 31.0)
+    for design in (X.kernel_design(30, 2000), X.permutation_design(30, 20), X.interaction_design(30, "FSI", 3000)):
+        v = np.array([coefs[[i for i in range(30) if m >> i & 1]].sum() for m in design.masks])
+        found = (design.matrix @ v)[:30]
+        assert np.allclose(found, coefs, atol=1e-5)
+
+
 def test_ksii_efficiency_and_stii(spark):
     sc = LinearScorer({"a": 1.0, "b": -2.0, "c": 0.5}, decimals=None)
     rows = _rows(spark)
