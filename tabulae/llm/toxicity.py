@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +26,25 @@ CACHE_WORDS = 200_000
 SEED = 11
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's character n-grams, its ends marked, and of the word
-    itself. Case and the ASCII signs around a word don't count."""
-    core = word.decode("utf-8", "replace").lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+def core_of(word: bytes) -> str:
+    """A word without its case and the ASCII signs around it."""
+    return word.decode("utf-8", "replace").lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def subwords(core: str) -> list[int]:
+    """Buckets of a core's character n-grams, its ends marked, and of the core
+    itself."""
     if not core:
         return []
     marked = f"<{core}>"
-    grams = {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    if marked.isascii():  # then characters are bytes
+        raw = marked.encode()
+        grams = {raw[i:i + n] for n in GRAMS for i in range(len(raw) - n + 1)}
+        grams.add(raw)
+    else:
+        grams = {marked[i:i + n].encode() for n in GRAMS for i in range(len(marked) - n + 1)}
+        grams.add(marked.encode())
+    return [b % BUCKETS for b in map(zlib.crc32, grams)]
 
 
 class _Cache(dict):
@@ -74,10 +84,23 @@ class Model:
         self.gain = gain.astype(np.float32)
         self.center, self.scale, self.weight, self.bias = center, scale, np.array(weight), float(bias)
 
+    @cached_property
+    def gains(self) -> list[float]:
+        """``gain`` as a list, as single look-ups are faster there."""
+        return self.gain.tolist()
+
+    @cached_property
+    def cores(self) -> _Cache:
+        """Words that differ in case and signs only share what is found here."""
+        return _Cache(self.core, CACHE_WORDS)
+
     def word(self, word: bytes) -> complex:
-        """Gain of a word's subwords (real part) and their number (imaginary)."""
-        found = subwords(word)
-        return complex(float(self.gain[found].sum()), len(found))
+        return self.cores[core_of(word)]
+
+    def core(self, core: str) -> complex:
+        """Gain of a core's subwords (real part) and their number (imaginary)."""
+        found = subwords(core)
+        return complex(sum(map(self.gains.__getitem__, found)), len(found))
 
     def logits(self, texts: list[bytes], cache: _Cache) -> np.ndarray:
         """(texts, 3): average logit, largest window's logit, log of windows."""
@@ -157,7 +180,7 @@ def fit(texts: list[bytes], y: np.ndarray, prior: float) -> Model:
     aside = np.array([zlib.crc32(t) % 4 == 0 for t in texts], bool)
     if len({*zip(y.tolist(), aside.tolist(), strict=True)}) < 4:
         return Model(np.zeros(BUCKETS), bias=np.log(prior / (1 - prior)))
-    cache = _Cache(subwords, CACHE_WORDS)
+    cache = _Cache(lambda word: subwords(core_of(word)), CACHE_WORDS)
     gain = embed([bag(t, cache) for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
     return calibrate(gain, [t for t, a in zip(texts, aside, strict=True) if a], y[aside], prior)
 
