@@ -109,3 +109,30 @@ def test_vectors_match_brute_force(spark):
         assert n <= len(links[i]) and kept == (comp == i)
         assert comp == i or n > 0
     assert embed_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_plan_follows_count_and_spread():
+    assert embed_dedup.plan(2000, 0.0) == (1, 0)  # one run: every pair
+    sizes = [embed_dedup.plan(10 ** k, 0.0) for k in (4, 5, 6, 7)]
+    assert sizes == sorted(sizes) and sizes[-1][0] > 2 * 24
+    assert embed_dedup.plan(10 ** 6, 0.8)[0] > embed_dedup.plan(10 ** 6, 0.0)[0]
+
+
+@pytest.mark.parametrize("max_run", [embed_dedup.MAX_RUN, 600])
+def test_off_centre_pairs_of_a_large_label_are_found(spark, max_run):
+    """Isolated pairs in one label whose vectors lie far off centre, against
+    brute force for the ids divisible by 50."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12_000, 64)) / 8
+    x[:, 0] += 1.7
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x[::50].copy()
+    away = rng.standard_normal(y.shape)
+    away -= (away * y).sum(axis=1, keepdims=True) * y
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.935 * y + (1 - 0.935 ** 2) ** 0.5 * away])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicate_vectors(df, max_run=max_run).where("vec_id % 50 = 0").collect()}
+    asked = np.arange(0, len(x), 50)
+    true = (x[asked] @ x.T >= 0.93).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.995 * true.sum() and true.sum() >= 240
