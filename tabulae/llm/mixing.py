@@ -18,7 +18,10 @@ from .common import annotate, as_bytes, hash_order, text_runs
 MAX_LABELLED = 2000
 BUCKETS = 4096
 STEPS, RATE, L2 = 150, 0.05, 1e-4
-MAX_ROUNDS, TOLERANCE = 30, 1e-5
+# Weights of the rates' change beside the gap, one after the other: the last keeps
+# a target out of reach from ending in a few documents used a thousand times.
+# Passes over the documents at most, and the slope left, as a part of the target's.
+EPSILONS, MAX_ROUNDS, TOLERANCE = (1e-2, 1e-3, 1e-4, 1e-6), 200, 1e-9
 SEED = 17
 
 
@@ -79,72 +82,110 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     return fit([bytes(r["text"]) for r in rows], np.array([domains.index(r["domain"]) for r in rows], np.int64), domains)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray], floor: float) -> np.ndarray:
-    """Document rates after the given steps: each starts at 1, goes down its
-    memberships' part of every step, and is put back to ``floor`` below it."""
-    r = np.full(len(p), max(1.0, floor))
-    for step in steps:
-        r = np.maximum(floor, r - p @ step)
-    return r
-
-
-def solve(members: DataFrame, target: np.ndarray, floor: float = 0.0, total: float | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """(steps, expected totals) of projected-gradient least squares: rates r >=
+def rates(p: np.ndarray, price: np.ndarray, floor: float) -> np.ndarray:
+    """Document rates at the domains' prices: each starts at 1, goes down by its
+    memberships' part of them, and is put back to ``floor`` below it."""
+    return np.maximum(floor, max(1.0, floor) - p @ price)
+
+
+def _figures(n: np.ndarray, p: np.ndarray, price: np.ndarray, floor: float) -> np.ndarray:
+    """What one pass sums up at given prices: the domains' tokens, sum(n p p')
+    of the documents above the floor, and the dual's part of the documents."""
+    r = rates(p, price, floor)
+    free = max(1.0, floor) - p @ price
+    above = free > floor
+    dual = np.where(above, r * r / 2, floor * free - floor * floor / 2)
+    return np.concatenate([(r * n) @ p, ((p * (n * above)[:, None]).T @ p).ravel(), [dual @ n]])
+
+
+def newton(figures, gram: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prices, domains' tokens) that minimise gap' inverse(gram) gap, and with
+    the last of ``EPSILONS`` as weight the rates' change, sum(n (r - 1)^2):
+    damped Newton steps on the dual, which has one variable a domain.
+    ``figures(price)`` is one pass. Raises when ``MAX_ROUNDS`` passes do not
+    settle it."""
+    k = len(goal)
+    value, axes = np.linalg.eigh(gram)
+    held = value > 1e-10 * max(value.max(), 1e-300)
+    white = axes[:, held] / np.sqrt(value[held])  # domains that no document has part in stay out
+    x, rounds = np.zeros(white.shape[1]), 0
+    slope_goal = TOLERANCE * max(1e-300, np.linalg.norm(white.T @ goal))
+
+    def at(x):
+        nonlocal rounds
+        if (rounds := rounds + 1) > MAX_ROUNDS:
+            raise RuntimeError(f"the mixture's rates did not settle in {MAX_ROUNDS} passes")
+        f = figures(white @ x)
+        return f[:k], white.T @ f[k:-1].reshape(k, k) @ white, f[-1] + goal @ (white @ x)
+
+    now, curve, dual = at(x)
+    for epsilon in EPSILONS:
+        slope = epsilon * x - white.T @ (now - goal)
+        while np.linalg.norm(slope) > slope_goal:
+            step = -np.linalg.solve(curve + epsilon * np.eye(len(x)), slope)
+            size, height = 1.0, dual + epsilon * x @ x / 2
+            while True:
+                y = x + size * step
+                there = at(y)
+                after = epsilon * y - white.T @ (there[0] - goal)
+                gain = there[2] + epsilon * y @ y / 2 - height
+                if gain <= 1e-4 * size * (slope @ step) or np.linalg.norm(after) < 0.5 * np.linalg.norm(slope):
+                    break
+                size /= 4
+            x, (now, curve, dual), slope = y, there, after
+    return white @ x, now
+
+
+def solve(members: DataFrame, target: np.ndarray, floor: float = 0.0, total: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prices, expected totals, remaining gap) of least squares: rates r >=
     ``floor`` whose expected domain tokens sum(r n p) come closest to ``target``
-    * ``total``. ``members`` has a document's ``n`` tokens and posteriors ``p``.
+    * ``total`` in the norm of the inverse of sum(n p p'), their change from
+    the start weighed in lightly (``EPSILONS``). ``members`` has a document's ``n`` tokens and
+    posteriors ``p``.
 
-    Each round is one pass of Spark that replays the steps so far and sums up
-    the domains' tokens; the gradient is scaled by the inverse of sum(n p p'),
-    so without active bounds one round is enough. Only the domains' sums reach
-    the driver. ``total`` is all tokens, or with a positive floor the least
-    one that all floors leave room for."""
+    Each round is one pass of Spark (``newton``). Only sums over the documents
+    reach the driver. ``total`` is all tokens, or with a positive floor the
+    least one that all floors leave room for."""
     k = len(target)
 
-    def sums(steps: list[np.ndarray], square: bool = False) -> np.ndarray:
+    def figures(price: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]):
-            out = np.zeros(k * k if square else k)
+            out = np.zeros(k + k * k + 1)
             for b in batches:
                 if b.num_rows:
-                    n = b.column(0).to_numpy().astype(float)
                     p = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(-1, k)
-                    out += ((p * n[:, None]).T @ p).ravel() if square else (rates(p, steps, floor) * n) @ p
+                    out += _figures(b.column(0).to_numpy().astype(float), p, price, floor)
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
 
         parts = members.select("n", "p").mapInArrow(run, "s array<double>")
         added = parts.select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s")).collect()
-        out = np.zeros(k * k if square else k)
+        out = np.zeros(k + k * k + 1)
         for r in added:
             out[r["k"]] = r["s"]
         return out
 
-    now = sums([])
+    start = np.zeros(k)
+    now = figures(start)[:k]
     if total is None:
         total = now.sum() if floor <= 0 else float(np.max(now[target > 0] / target[target > 0], initial=0.0))
-    gram = sums([], square=True).reshape(k, k)
-    inverse = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
-    steps: list[np.ndarray] = []
-    gap = now - target * total
-    for _ in range(MAX_ROUNDS):
-        if np.abs(gap).max() <= TOLERANCE * max(1.0, total):
-            break
-        steps.append(inverse @ gap)
-        now = sums(steps)
-        before, gap = np.abs(gap).max(), now - target * total
-        if np.abs(gap).max() > before * (1 - 1e-6):
-            break
-    return steps, now
+    # Far below any floor's price all documents are above it: the whole sum(n p p').
+    gram = figures(np.full(k, -2 * max(1.0, floor)))[k:-1].reshape(k, k)
+    price, now = newton(figures, gram, target * total)
+    return price, now, now - target * total
 
 
 def mix(df: DataFrame, classifier: Classifier, weights: dict[str, float], floor: float = 0.0, total: float | None = None,
         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and ``n_tokens``, ``posteriors`` (in the order of
-    the classifier's domains), ``rate`` and ``copies``.
+    the classifier's domains), ``rate``, ``copies`` and ``unmet``.
 
     ``rate`` is how often a document is to be used, on average: the expected
     tokens of the domains, in which a document has part by its posteriors, then
     match the ``weights`` (scaled to sum 1; a domain not named weighs 0) as
     closely as rates of at least ``floor`` can. ``copies`` is ``rate`` rounded
     up or down at random, by a hash of the id, so that it is right on average.
+    ``unmet`` is the same in all rows: by how much each domain's share of the
+    expected tokens still differs from its weight.
 
     Null, empty and wordless texts have no tokens and the rate that their
     posteriors give. Repeated rows count each; null ids share one hash. Input
@@ -153,7 +194,7 @@ def mix(df: DataFrame, classifier: Classifier, weights: dict[str, float], floor:
     """
     if not sum(weights.values()) > 0 or min(weights.values()) < 0:
         raise ValueError("weights must not be negative, and one must be positive")
-    new = ("n_tokens", "posteriors", "rate", "copies")
+    new = ("n_tokens", "posteriors", "rate", "copies", "unmet")
     df = df.drop(*new)
     target = np.array([weights.get(d, 0.0) for d in classifier.domains])
     target = target / target.sum()
@@ -166,16 +207,18 @@ def mix(df: DataFrame, classifier: Classifier, weights: dict[str, float], floor:
                                               pa.array([x.tobytes() for x in p])], ["n", "p"])
 
     members = reuse(df.select(as_bytes(F.col(text_col)).alias("text")).mapInArrow(member, "n long, p binary"))
-    steps, _ = solve(members, target, floor, total)
+    price, now, _ = solve(members, target, floor, total)
+    unmet = now / now.sum() - target if now.sum() > 0 else np.zeros(len(target))
 
     def make():
         def of(texts: list[bytes]) -> list[pa.Array]:
             p = held.value.posteriors(texts).astype(np.float64)
             return [pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64())),
-                    pa.array(rates(p, steps, floor))]
+                    pa.array(rates(p, price, floor))]
         return of
 
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 40)) / (1 << 40)
     kinds = (T.LongType(), T.ArrayType(T.DoubleType()), T.DoubleType())
     return (annotate(df, text_col, list(zip(new[:3], kinds, strict=True)), make)
-            .withColumn("copies", F.floor(F.col("rate") + chance).cast("int")))
+            .withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+            .withColumn("unmet", F.array(*[F.lit(float(x)) for x in unmet])))

@@ -104,6 +104,31 @@ def test_mixture_meets_its_targets(spark, floor):
     assert all(int(x.rate) <= x.copies <= int(x.rate) + 1 for x in rows)
 
 
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_mixing_reaches_the_least_gap(floor):
+    """A domain with 94 % of the rows and soft posteriors: no round stops early."""
+    rng = np.random.default_rng(2)
+    z = rng.standard_normal((30_000, 4))
+    z[np.arange(30_000), rng.choice(4, 30_000, p=[0.94, 0.02, 0.02, 0.02])] += 4
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n, target = rng.integers(1, 500, 30_000).astype(float), np.array([0.55, 0.15, 0.15, 0.15])
+    passes = []
+
+    def figures(price):
+        passes.append(price)
+        return mixing._figures(n, p, price, floor)
+
+    start = n @ p
+    goal = target * (start.sum() if floor == 0 else (start / target).max())
+    gram = (p * n[:, None]).T @ p
+    price, now = mixing.newton(figures, gram, goal)
+    r = mixing.rates(p, price, floor)
+    slope = p @ np.linalg.solve(gram, now - goal)  # of each rate's gap
+    assert np.allclose((r * n) @ p, now) and len(passes) <= 40 and r.max() < 100
+    assert np.allclose(r, np.maximum(floor, 1 - slope / mixing.EPSILONS[-1]), rtol=1e-2)
+    assert np.abs(now / now.sum() - target).max() < (1e-6, 1e-3)[int(floor)]
+
+
 def test_mixing_odd_rows(spark):
     df = _docs(spark, ODD).withColumnRenamed("score", "rate")
     model = mixing.fit([], np.array([], int), ["a", "b"])
