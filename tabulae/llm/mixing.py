@@ -15,7 +15,7 @@ from tabulae.session import reuse
 from .common import annotate, as_bytes, hash_order, text_runs
 
 # Labelled rows that the classifier's fit may use: a documented bound.
-MAX_LABELLED = 2000
+MAX_LABELLED = 4000
 BUCKETS = 4096
 STEPS, RATE, L2 = 150, 0.05, 1e-4
 # Weights of the rates' change beside the gap, one after the other: the last keeps

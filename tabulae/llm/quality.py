@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .common import annotate, as_bytes, hash_order, in_train, text_runs
 
 # Rows the fit may use: a documented bound; all else covers every row.
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 3000
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 5000
 STEPS, RATE, L2 = 400, 0.02, 1e-4
 
 # Classes of bytes, by what a reader sees; every other byte of a multi-byte
@@ -73,19 +73,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, center: np.ndarray, scale: np.ndarray) -> Model:
     """Minimise the non-negative unbiased risk of a linear scorer under the
     logistic loss: ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``. While
-    the second term is negative, the step goes up that term alone.
+    the second term is negative, the step goes up that term alone. Features are
+    taken less ``center`` and by ``scale``; both arrays of them are overwritten.
 
     Without positives, or without unlabelled rows, every score is the prior."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     flat = np.log(prior / (1 - prior))
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), flat)
-    center = unlabelled.mean(axis=0, dtype=np.float64)
-    scale = unlabelled.std(axis=0, dtype=np.float64) + 0.02
-    p, u = ((x - center.astype(np.float32)) / scale.astype(np.float32) for x in (positive, unlabelled))
+    p, u = positive, unlabelled
+    for x in (p, u):
+        x -= center.astype(np.float32)
+        x /= scale.astype(np.float32)
     w, m, v = (np.zeros(N_FEATURES + 1) for _ in range(3))
     w[-1] = flat
 
@@ -118,11 +120,29 @@ def _sample(df: DataFrame) -> np.ndarray:
     return np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
 
 
+def _moments(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the features of all rows (column ``text``)."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        out = np.zeros(2 * N_FEATURES + 1)
+        for _, texts in text_runs(batches):
+            x = features(texts).astype(np.float64)
+            out += np.concatenate([x.sum(axis=0), (x * x).sum(axis=0), [len(x)]])
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    parts = text.select("text").mapInArrow(run, "s array<double>")
+    total = np.zeros(2 * N_FEATURES + 1)
+    for r in parts.select(F.posexplode("s").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s")).collect():
+        total[r["k"]] = r["s"]
+    mean, square = total[:-1].reshape(2, -1) / max(1.0, total[-1])
+    return mean, np.sqrt(np.maximum(0, square - mean * mean))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on at most ``max_positive`` trusted positives (label 1) and
     ``max_unlabelled`` documents as unlabelled text, both in the hash order of
-    their ids, held-out ids left out. The class prior is the share of label 1
+    their ids, held-out ids left out; the features' centre and scale are those
+    of all documents not held out. The class prior is the share of label 1
     among all labelled training rows (add-one smoothed). Rows with null ids,
     null labels or labels other than 0 and 1 are not used; a repeated label row
     counts once."""
@@ -132,10 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text = docs.where(F.col(id_col).isNotNull() & in_train(F.col(id_col))).select(
         F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"))
     chosen = known.where("y = 1").orderBy(hash_order(F.col("id")), "id").limit(max_positive).select("id")
-    ids = text.select("id").orderBy(hash_order(F.col("id")), "id").limit(max_unlabelled).distinct()
+    ids = text.select("id").distinct().orderBy(hash_order(F.col("id")), "id").limit(max_unlabelled)
     positive = _sample(text.join(F.broadcast(chosen), "id"))  # at most max_positive ids
     unlabelled = _sample(text.join(F.broadcast(ids), "id"))  # at most max_unlabelled ids
-    return fit(positive, unlabelled, ((n_one or 0) + 1) / (n + 2))
+    center, deviation = _moments(text)
+    return fit(positive, unlabelled, ((n_one or 0) + 1) / (n + 2), center, deviation + 0.02)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulae.llm import decontaminate, mixing, quality, sharding, toxicity, url_filter
 from tabulae.llm.common import in_train, table
@@ -189,3 +190,16 @@ def test_longest_common_subsequence():
     for _ in range(200):
         a, b = (rng.choices("abcd", k=rng.randint(0, 12)) for _ in range(2))
         assert decontaminate.common_subsequence(a, b) == plain(a, b)
+
+
+def test_quality_sample_and_scale(spark, monkeypatch):
+    """A repeated id takes one place of the sample; centre and scale see all rows."""
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior, center, scale: seen.update(u=u, center=center))
+    rows = [(i, f"text {i} " * 5, "a", "b") for i in range(40)] * 3
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    quality.train(_docs(spark, rows), labels, max_unlabelled=20)
+    assert len({u.tobytes() for u in seen["u"]}) > 10 and len(seen["u"]) >= 20
+    ids = [r.doc_id for r in _docs(spark, rows).where(in_train(F.col("doc_id"))).collect()]
+    full = quality.features([(f"text {i} " * 5).encode() for i in ids]).mean(axis=0)
+    assert np.allclose(seen["center"], full, atol=1e-5)
