@@ -16,11 +16,13 @@ from .common import annotate, as_bytes, text_runs
 # Terms of the benchmark that the latent space may have (a bound of what is
 # broadcast: terms * RANK floats), its dimensions, and oversampling of the SVD.
 MAX_TERMS, RANK, OVERSAMPLE, POWER = 1 << 17, 96, 16, 2
+# Items that RANK is for, more of them get the more dimensions, and numbers of a
+# space with more than RANK dimensions at most.
+RANK_ITEMS, MAX_SPACE = 200, 1 << 25
 # Words of a block; passages are runs of blocks, one block apart.
 BLOCK = 8
-# A candidate's cosine, and the part of the item's length that its projection on
-# the item must have; then the checks' shares.
-MIN_COSINE, MIN_PART, MIN_COMMON, MIN_ANSWER = 0.45, 0.4, 0.6, 0.5
+# A candidate's cosine, then the checks' shares.
+MIN_COSINE, MIN_COMMON, MIN_ANSWER = 0.45, 0.6, 0.5
 SEED = 13
 
 # Lower-cases A-Z and turns all but digits, letters and bytes over 127 into spaces.
@@ -115,6 +117,12 @@ def latent_space(passages: DataFrame, terms: dict[bytes, int], idf: np.ndarray,
     return u[:, :rank]
 
 
+def space_rank(items: int, terms: int) -> int:
+    """Dimensions for a benchmark: with the square root of its items, from
+    ``RANK`` up, within ``MAX_SPACE`` numbers."""
+    return max(RANK, min(round(RANK * (items / RANK_ITEMS) ** 0.5), MAX_SPACE // terms))
+
+
 class Index:
     """The benchmark's items in the latent space, with what the checks need."""
 
@@ -122,8 +130,7 @@ class Index:
         self.ids, self.words, self.terms = ids, words, terms
         self.space = (idf[:, None] * space).astype(np.float32)
         vectors = np.array([self.space[[terms[w] for w in ws]].sum(axis=0) for ws in words])
-        self.length = np.linalg.norm(vectors, axis=1)
-        self.items = (vectors / np.maximum(1e-9, self.length)[:, None]).astype(np.float32)
+        self.items = (vectors / np.maximum(1e-9, np.linalg.norm(vectors, axis=1))[:, None]).astype(np.float32)
         self.blocks = np.array([max(1, round(len(w) / BLOCK)) for w in words])
         # The answer of an item: its rarest words, a quarter of the distinct ones.
         self.answers = [set(sorted(set(ws), key=lambda w: (-idf[terms[w]], w))[:max(1, len(set(ws)) // 4)]) for ws in words]
@@ -155,13 +162,17 @@ class Index:
             have = size + 1
             items = np.flatnonzero(self.blocks == size)
             dot = passage @ self.items[items].T
-            enough = np.maximum(MIN_COSINE * np.linalg.norm(passage, axis=1)[:, None], MIN_PART * self.length[items][None, :])
-            for s, j in zip(*(x.tolist() for x in np.nonzero(dot >= enough)), strict=True):
+            norm = np.linalg.norm(passage, axis=1)[:, None]
+            last = -1
+            for s, j in zip(*(x.tolist() for x in np.nonzero((dot >= MIN_COSINE * norm) & (norm > 0))), strict=True):
                 d, k = int(text_of[s]), int(items[j])
-                at = (s - int(begin[d])) * BLOCK
-                part = words[d][max(0, at - BLOCK):at + (size + 2) * BLOCK]
-                answer = len(self.answers[k].intersection(part)) / len(self.answers[k])
-                if answer < MIN_ANSWER:
+                if s != last:
+                    at = (s - int(begin[d])) * BLOCK
+                    part = words[d][max(0, at - BLOCK):at + (size + 2) * BLOCK]
+                    held, last = set(part), s
+                answer = len(self.answers[k] & held) / len(self.answers[k])
+                # No common subsequence is longer than the item's words found there.
+                if answer < MIN_ANSWER or sum(map(held.__contains__, self.words[k])) < MIN_COMMON * len(self.words[k]):
                     continue
                 common = common_subsequence(self.words[k], part) / len(self.words[k])
                 if common >= MIN_COMMON and found.get((d, k), (0, 0)) < (common, answer):
@@ -171,7 +182,7 @@ class Index:
 
 
 def build_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                item_text_col: str = "text", rank: int = RANK) -> Index | None:
+                item_text_col: str = "text", rank: int | None = None) -> Index | None:
     """Index of the benchmark; None when it has no words. Inverse document
     frequencies are counted over all of ``docs``. The benchmark is the stated
     query set: its items must have at most ``MAX_TERMS`` distinct words."""
@@ -185,20 +196,21 @@ def build_index(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         raise ValueError(f"the benchmark has more than {MAX_TERMS} distinct words or items; split it")
     count, n = document_counts(docs.select(as_bytes(F.col(text_col)).alias("text")), terms)
     idf = np.log((n + 1) / (count + 1)) + 1e-3
+    if rank is None:
+        rank = space_rank(len(items), len(terms))
     space = latent_space(benchmark.select(as_bytes(F.col(item_text_col)).alias("text")), terms, idf, rank)
     return Index([i for i, _ in items], [w for _, w in items], terms, idf, space)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK, keep: bool = False) -> DataFrame:
+               item_col: str = "item_id", item_text_col: str = "text", rank: int | None = None, keep: bool = False) -> DataFrame:
     """(id_col, contaminated, n_items, items, common, answer), one row per row
     of ``docs``; with ``keep`` its other columns too.
 
     The latent space is that of the benchmark's TF-IDF passages, idf counted
     over all documents. A document's passages, of each item length and one
-    block of words apart, are folded in; those at cosine ``MIN_COSINE`` or more,
-    whose projection on the item has ``MIN_PART`` of its length, are candidates. A candidate is a leak when its longest common subsequence
-    with the item's words covers ``MIN_COMMON`` of them, and ``MIN_ANSWER`` of
+    block of words apart, are folded in; those at cosine ``MIN_COSINE`` or more
+    are candidates. A candidate is a leak when its longest common subsequence with the item's words covers ``MIN_COMMON`` of them, and ``MIN_ANSWER`` of
     the item's answer words (its rarest) are found in it; so changed, missing
     and added words don't hide it. ``items`` lists the leaked items, sorted;
     ``common`` and ``answer`` are the best shares found, 0 without a leak.
@@ -208,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     (with ``keep``, those with the new names are replaced); an empty table gives no rows, an empty benchmark no leaks.
     """
     index = build_index(docs, benchmark, text_col, item_col, item_text_col, rank)
-    held = docs.sparkSession.sparkContext.broadcast(index)  # MAX_TERMS * rank numbers at most
+    held = docs.sparkSession.sparkContext.broadcast(index)  # MAX_SPACE numbers at most
 
     def make():
         def of(texts: list[bytes]) -> list[pa.Array]:

@@ -196,10 +196,30 @@ def test_quality_sample_and_scale(spark, monkeypatch):
     """A repeated id takes one place of the sample; centre and scale see all rows."""
     seen = {}
     monkeypatch.setattr(quality, "fit", lambda p, u, prior, center, scale: seen.update(u=u, center=center))
-    rows = [(i, f"text {i} " * 5, "a", "b") for i in range(40)] * 3
+    rows = [(i, "word " * (i + 1), "a", "b") for i in range(40)] * 3
     labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     quality.train(_docs(spark, rows), labels, max_unlabelled=20)
-    assert len({u.tobytes() for u in seen["u"]}) > 10 and len(seen["u"]) >= 20
+    assert len({u.tobytes() for u in seen["u"]}) > 15
     ids = [r.doc_id for r in _docs(spark, rows).where(in_train(F.col("doc_id"))).collect()]
-    full = quality.features([(f"text {i} " * 5).encode() for i in ids]).mean(axis=0)
+    full = quality.features([b"word " * (i + 1) for i in ids]).mean(axis=0)
     assert np.allclose(seen["center"], full, atol=1e-5)
+
+
+def test_matches_are_all_that_the_cosine_and_both_checks_accept():
+    """A passage whose other words point away from the item: a small projection,
+    but the cosine and both checks accept it."""
+    item = [f"w{i}".encode() for i in range(10)]
+    terms = {w: k for k, w in enumerate(item)}
+    space = np.zeros((10, 2))
+    space[:, 0] = 1.0
+    space[6:, 0] = 12.0  # w6 to w9 are not in the passage
+    index = decontaminate.Index([7], [item], terms, np.ones(10), space)
+    index.answers = [set(item[:2])]
+    found = list(index.matches([b" ".join(item[:6])]))
+    assert found == [(0, 0, 0.6, 1.0)]
+
+
+def test_rank_grows_with_the_items():
+    assert decontaminate.space_rank(200, 3000) == decontaminate.RANK
+    assert decontaminate.space_rank(5000, 30_000) > 4 * decontaminate.RANK
+    assert decontaminate.space_rank(100_000, 1 << 17) * (1 << 17) <= decontaminate.MAX_SPACE
