@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of all documents not held out. The class prior is the share of label 1
     among all labelled training rows (add-one smoothed). Rows with null ids,
     null labels or labels other than 0 and 1 are not used; a repeated label row
-    counts once."""
+    counts once, and of a repeated id's documents the smallest text."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & in_train(F.col(id_col)))
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")))
     n, n_one = known.agg(F.count("*"), F.sum("y")).first()
@@ -153,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"))
     chosen = known.where("y = 1").orderBy(hash_order(F.col("id")), "id").limit(max_positive).select("id")
     ids = text.select("id").distinct().orderBy(hash_order(F.col("id")), "id").limit(max_unlabelled)
-    positive = _sample(text.join(F.broadcast(chosen), "id"))  # at most max_positive ids
-    unlabelled = _sample(text.join(F.broadcast(ids), "id"))  # at most max_unlabelled ids
+    one = F.min("text").alias("text")  # of a repeated id the smallest text
+    positive = _sample(text.join(F.broadcast(chosen), "id").groupBy("id").agg(one))  # at most max_positive rows
+    unlabelled = _sample(text.join(F.broadcast(ids), "id").groupBy("id").agg(one))  # at most max_unlabelled rows
     center, deviation = _moments(text)
     return fit(positive, unlabelled, ((n_one or 0) + 1) / (n + 2), center, deviation + 0.02)
 

@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``max_per_class`` labelled texts of each class, in the
     hash order of their ids, held-out ids left out. Rows with null ids, null
     labels or labels other than 0 and 1 are not used; of a repeated id the
-    largest label counts."""
+    largest label and the smallest text count."""
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & in_train(F.col(id_col)))
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")))
     n, n_one = known.agg(F.count("*"), F.sum("y")).first()
@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .unionByName(known.where("y = 0").orderBy(order, "id").limit(max_per_class)))
     text = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"))
 
-    rows = (text.join(F.broadcast(chosen), "id").select("text", "y")  # at most 2 * max_per_class ids
+    rows = (text.join(F.broadcast(chosen), "id")  # at most 2 * max_per_class rows, one an id
+            .groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
             .orderBy("text", "y").collect())
     return fit([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], np.int64), ((n_one or 0) + 1) / (n + 2))
 

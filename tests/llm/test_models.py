@@ -1,5 +1,6 @@
 """Classifiers, filters, mixing, sharding and decontamination."""
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -223,3 +224,16 @@ def test_rank_grows_with_the_items():
     assert decontaminate.space_rank(200, 3000) == decontaminate.RANK
     assert decontaminate.space_rank(5000, 30_000) > 4 * decontaminate.RANK
     assert decontaminate.space_rank(100_000, 1 << 17) * (1 << 17) <= decontaminate.MAX_SPACE
+
+
+def test_fits_take_one_row_of_a_repeated_id(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda p, u, *rest: seen.update(p=len(p), u=len(u)))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, prior: seen.update(texts=texts))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = _docs(spark, [(i, f"b {i}", "a", "b") for i in ids] + [(ids[0], f"a {k}", "a", "b") for k in range(500)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in ids], "doc_id long, quality int, toxic int")
+    quality.train(docs, labels)
+    toxicity.train(docs, labels)
+    assert (seen["p"], seen["u"], len(seen["texts"])) == (20, 20, 20)
+    assert b"a 0" in seen["texts"]
