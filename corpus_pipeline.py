@@ -31,13 +31,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the
-    smallest id, and of different texts under that id the one with the smallest
-    hash. Rows that repeat it go. A group of null ids only keeps one row of
-    each of its texts."""
-    groups = simhash.near_duplicate_groups(docs)
-    chosen = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("other"))
-              .agg(F.min("text_hash").alias("text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("__row")))
+    smallest id (null ids last), and of different texts under that id the one
+    with the smallest hash. Rows that repeat it go."""
+    groups = simhash.near_duplicate_groups(docs, root=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    chosen = groups.groupBy("root").agg(first.alias("f")).select(F.xxhash64("f.doc_id", "f.text_hash").alias("__row"))
     rows = docs.withColumn("__row", F.xxhash64("doc_id", F.xxhash64("text"))).join(chosen, "__row", "left_semi")
     again = Window.partitionBy("__row").orderBy("__row")
     return rows.withColumn("__n", F.row_number().over(again)).where("__n = 1").select(*COLUMNS)

@@ -153,9 +153,10 @@ def near_fingerprints(classes: DataFrame, radius: int = RADIUS, tile_rows: int =
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           shingle: int = SHINGLE_WORDS, radius: int = RADIUS,
-                          tile_rows: int = TILE_ROWS) -> DataFrame:
+                          tile_rows: int = TILE_ROWS, root: bool = False) -> DataFrame:
     """(id_col, fingerprint, component_id, text_hash), one row per input row;
-    ``text_hash`` is Spark's xxhash64 of the text.
+    ``text_hash`` is Spark's xxhash64 of the text. With ``root`` also the
+    component's root, a fingerprint that tells components apart without ids.
 
     Equal fingerprints are one class before any comparison, so groups of
     copies cost one row. ``component_id`` is the smallest id reachable over
@@ -170,7 +171,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = reuse(classes.join(found, classes.fp == found.node, "left")
                    .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = rooted.join(ids, "root").select("fp", "component_id")
+    member = rooted.join(ids, "root").select("fp", "component_id", "root")
     return (rows.join(member, "fp")
             .select(F.col("id").alias(id_col),
-                    F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"))
+                    F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash",
+                    *(["root"] if root else [])))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tabulae.llm import simhash
 from tabulae.llm.common import table
 
@@ -62,3 +63,13 @@ def test_defined_results_for_odd_rows(spark):
     ab = f"{brute_fingerprint('a b'):016x}"
     assert got[(4, ab)] == got[(None, ab)] == 4
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_one_of_a_group_without_ids(spark):
+    words = [f"word{i}" for i in range(400)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"])]
+    assert (brute_fingerprint(near[0]) ^ brute_fingerprint(near[1])).bit_count() <= simhash.RADIUS
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (5, "far away text of its own"), (None, "one more text without an id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert len(got) == 3 and sum(t in near for _, t in got) == 1
