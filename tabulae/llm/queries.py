@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import (decontaminate, embed_dedup, line_dedup, mixing, quality, recompress, sharding, simhash, sql, toxicity,
-               url_filter)
+from . import (decontaminate, embed_dedup, filter_audit, line_dedup, mixing, quality, recompress, sharding, simhash, sql,
+               toxicity, url_filter)
 from .common import in_train, table
 
 MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
@@ -68,6 +68,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 def _judged(scored: DataFrame, cut: float) -> DataFrame:
     return scored.select("doc_id", (~in_train(F.col("doc_id"))).alias("held_out"), "score",
                          (F.col("score") >= cut).cast("int").alias("predicted"))
@@ -79,9 +83,10 @@ def _sha256(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_substring_dedup, op5_mixing, op6_embedding_dedup,
-                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination)
+                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination, op13_filter_audit)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_sharding": sql.SHARDING, "op9_line_dedup": sql.LINE_DEDUP,
+    "op13_filter_audit": sql.FILTER_AUDIT,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -68,3 +68,37 @@ dealt AS (
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY k, doc_id, size) - 1 AS slot, NULL::INTEGER AS grown_shard
 FROM dealt"""
+
+FILTER_AUDIT = r"""
+WITH raw AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+word AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM raw),
+lab AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels
+  WHERE doc_id IS NOT NULL GROUP BY doc_id),
+fail AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(doc_id > least, false) THEN 'E' ELSE '' END AS fails
+  FROM word LEFT JOIN lab USING (doc_id)),
+tally AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fail GROUP BY part, fails),
+letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+chain AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+place AS (SELECT o, unnest(range(1, 6))::INTEGER AS step FROM chain),
+step AS (
+  SELECT part, o AS filter_order, step, o[step] AS x,
+         coalesce(sum(n) FILTER (WHERE translate(fails, o[1:step], '') = fails), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE contains(fails, o[step]) AND NOT hit), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE fails = o[step]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE hit), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE hit), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, contains(fails, o[step]) AND translate(fails, o[1:step - 1], '') = fails AS hit FROM tally, place)
+  GROUP BY part, o, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM step"""
