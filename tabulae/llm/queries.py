@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
 
 from . import (decontaminate, embed_dedup, filter_audit, line_dedup, mixing, quality, recompress, sharding, simhash, sql,
-               toxicity, url_filter)
+               token_output, toxicity, url_filter)
 from .common import in_train, table
 
 MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
 N_SHARDS = 40
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +70,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -83,7 +89,7 @@ def _sha256(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_substring_dedup, op5_mixing, op6_embedding_dedup,
-                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination, op13_filter_audit)
+                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination, op11_token_output, op13_filter_audit)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
