@@ -24,7 +24,7 @@ import numpy as np
 # Blocks coded side by side, their least length, and symbols of a section, whose
 # blocks all fit in the lanes.
 LANES, MIN_BLOCK = 2048, 512
-MAX_SECTION = 1 << 23
+MAX_SECTION = 1 << 22
 # Bits of a proposal's confidence, of a decision's probability, and of the
 # digits that the coder puts out; its range stays above 2^LOW.
 TRUST, CHOICE, DIGIT, LOW = 3, 16, 12, 48

@@ -19,6 +19,9 @@ each other in one file.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -37,67 +40,126 @@ from . import range_coder
 from .common import RUN_BYTES
 
 MAGIC, VERSION = b"TIDS", 1
-# Words whose ids a task keeps.
+# Words, and parts of words, whose ids a Python worker keeps.
 MAX_WORDS = 1 << 19
 
 
+class _Numbers(dict):
+    """Number of each string; one not seen before gets the next."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class _Ids:
+    """Ids of numbered strings, one after the other."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.flat, self.size, self.start, self.uses = (np.zeros(0, np.int64) for _ in range(4))
+
+    def new(self) -> list[str]:
+        return list(itertools.islice(self.numbers, len(self.size), None))
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+        self.uses = np.append(self.uses, np.zeros(len(size), np.int64))
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings ``at``, one after the other; number of ids of each)."""
+        size = self.size[at]
+        first = np.cumsum(size) - size
+        return self.flat[np.repeat(self.start[at] - first, size) + np.arange(int(size.sum()))], size
+
+    def forget(self, most: int) -> None:
+        """Of more than ``most`` strings, keep those used more than once, or the
+        half that was used most."""
+        if len(self.size) <= most:
+            return
+        stay = self.uses > 1
+        if stay.sum() > most // 2:
+            stay = self.uses > np.sort(self.uses)[-(most // 2)]
+        keys, at = itertools.compress(self.numbers, stay.tolist()), np.flatnonzero(stay)
+        (flat, size), kept = self.of(at), _Ids()
+        kept.numbers.update(zip(keys, range(len(at))))
+        kept.add(flat, size)
+        self.__dict__ = kept.__dict__
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins text across a space or a
-    line feed (``splits_at_spaces`` tells): each different word between them is
-    encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space between words and
+    ignores case, as ``splits_at_spaces`` tells: each different word is encoded
+    once and remembered, up to ``MAX_WORDS``. Words that differ in ASCII capitals,
+    or in a comma or full stop after a last ASCII letter, share what is
+    encoded; words that may hold a special token are encoded as they are."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.end = [np.zeros(0, np.int32)], [0]
-        self.flat, self.start, self.size = None, None, None
-
-    def _learn(self, words: Sequence[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = len(self.ids)
-            self.ids.append(np.array(found.ids, np.int32))
-        self.size = np.array([len(x) for x in self.ids], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate(self.ids)
+        self.words, self.pieces = _Ids(), _Ids()
+
+    @staticmethod
+    def _split(word: str) -> list[str]:
+        if "<|" in word:
+            return [word]
+        word = word.lower() if word.isascii() else word.encode().lower().decode()
+        if word[-1:] in (",", ".") and "a" <= word[-2:-1] <= "z":
+            return [word[:-1], word[-1]]
+        return [word]
+
+    def _learn(self) -> None:
+        """Encode the words numbered since the last call."""
+        parts = [self._split(w) for w in self.words.new()]
+        at = np.fromiter(map(self.pieces.numbers.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
+        if new := self.pieces.new():
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.pieces.add(np.fromiter(itertools.chain.from_iterable(found), np.int64),
+                            np.fromiter(map(len, found), np.int64, len(found)))
+        self.pieces.uses += np.bincount(at, minlength=len(self.pieces.uses))
+        flat, size = self.pieces.of(at)
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.words.add(flat, np.add.reduceat(size, np.cumsum(n) - n))
 
     def encode(self, texts: Sequence[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each closed by ``end_id``;
         number of ids of each)."""
-        if self.flat is None or len(self.known) > MAX_WORDS:
-            self.forget()
-            self._learn([])
+        for known in (self.words, self.pieces):
+            known.forget(MAX_WORDS)
         words, until = [], []
         for text in texts:
             words += text.replace("\n", " ").split(" ")
             until.append(len(words))
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn(list({w for w, i in zip(words, at, strict=True) if i is None}))
-            at = list(map(self.known.get, words))
-        at = np.array(at, np.int64)
-        # A text's end id is a word of its own, of one id.
-        until = np.array(until, np.int64)
-        size, start = np.insert(self.size[at], until, 1), np.insert(self.start[at], until, len(self.flat))
-        first = np.cumsum(size) - size
-        ids = np.append(self.flat, np.int32(end_id))[np.repeat(start - first, size) + np.arange(int(size.sum()))]
-        ends = first[until + np.arange(len(until))] + 1
-        return ids, np.diff(ends, prepend=0)
+        at = np.fromiter(map(self.words.numbers.__getitem__, words), np.int64, len(words))
+        if len(self.words.numbers) > len(self.words.size):
+            self._learn()
+        self.words.uses += np.bincount(at, minlength=len(self.words.uses))
+        ids, size = self.words.of(at)
+        ends = np.concatenate([[0], np.cumsum(size)])[until]
+        return np.insert(ids, ends, end_id).astype(np.int32), np.diff(ends, prepend=0) + 1
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One a Python worker: its tasks share the tokenizer and the words."""
+    return WordEncoder(path)
 
 
 def splits_at_spaces(path: str) -> bool:
-    """True for tokenizers whose pre-tokenizer drops white space, so that words
-    can be encoded one by one: a text of two words gives the words' ids."""
+    """True for tokenizers that ``WordEncoder`` may use: texts of two words give
+    the words' ids, in any case."""
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
+
     def ids(x: str) -> list[int]:
         return t.encode(x, add_special_tokens=False).ids
 
-    return all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for gap in (" ", "\n", " \n ")
-               for a, b in (("one", "Two"), ("it's", "'s"), ("á", "́b"), ("x1", "2"), ("#", "##"), ("", "end")))
+    pairs = (("one", "Two"), ("it's", "'s"), ("á", "\u0301b"), ("x1", "2"), ("#", "##"), ("", "end"), ("ΑΣ", "Ω"))
+    return (all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for gap in (" ", "\n", " \n ") for a, b in pairs)
+            and all(ids(x) == ids(x[:-1]) + ids(x[-1]) for x in ("one.", "x's,", "'re,", "a.b.", "é,a,"))
+            and all(ids(x) == ids(x.encode().lower().decode()) for x in ("One", "E\u0301A", "IT'S", "KÉΣ", "Iİ")))
 
 
 def _varint(out: bytearray, value: int) -> None:
@@ -245,7 +307,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, id_col: str = "d
     empty table gives files without sections.
     """
     if not splits_at_spaces(tokenizer):
-        raise ValueError(f"{tokenizer} joins words across white space")
+        raise ValueError(f"{tokenizer} does not encode word by word")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"),
                      F.monotonically_increasing_id().alias("place"), text.alias("text"))
@@ -254,7 +316,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, id_col: str = "d
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         queue: deque[list] = deque()  # [doc_id, ids not yet written]
         held, size, number, before, goes_on = [], 0, 0, 0, False
 

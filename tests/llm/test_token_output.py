@@ -60,6 +60,19 @@ def test_sections_and_damage():
         to.Section(b"x" + data, 0)
 
 
+def test_words_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(to, "MAX_WORDS", 8)
+    rng = random.Random(6)
+    encoder, t = to.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["One", "one,", "ONE.", "two", "x\ty", f"w{rng.randrange(60)}.", ""]) for _ in range(rng.randrange(20)))
+                 for _ in range(rng.randrange(1, 4))]
+        ids, n = encoder.encode(texts, 2)
+        want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+        assert len(encoder.words.numbers) < 80
+
+
 def expected(rows):
     t = Tokenizer.from_file(PATH)
     out = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in rows]
@@ -71,7 +84,7 @@ def test_files_hold_the_tokenizer_s_ids(spark, tmpdir_path, monkeypatch):
     letters = "abcXYZ019 \n\t\r\x0b\x0c  ́éßΣς'#$.,!?<|>汉字😀‍"
     rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))) for i in range(60, 0, -1)]
     rows += [(61, None), (62, ""), (63, "<|endoftext|> it's we'LL <|startoftext|>x"), (64, "word " * 60000), (65, "x" * 5000),
-             (-9, "negative"), (10**17, "large"), (None, "no id"), (7, rows[0][1]), (7, rows[0][1])]
+             (-9, "Negative, A.B., x.,y.. it'S. <|ENDOFTEXT|>, É, KΣ. Σ,"), (10**17, "large"), (None, "no id"), (7, rows[0][1]), (7, rows[0][1])]
     df = spark.createDataFrame([(*r, "s", 3) for r in rows], "doc_id long, text string, ids string, start int").repartition(4)
     monkeypatch.setattr(to, "RUN_BYTES", 1 << 14)  # the long text comes in pieces
     to.write_token_files(df, f"{tmpdir_path}/out", PATH)
@@ -116,5 +129,5 @@ def test_empty_table_and_other_tokenizers(spark, tmpdir_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     to.write_token_files(df, f"{tmpdir_path}/none", PATH)
     assert to.read_token_files(spark, f"{tmpdir_path}/none").count() == 0
-    with pytest.raises(ValueError, match="joins words"):
+    with pytest.raises(ValueError, match="word by word"):
         to.write_token_files(df, f"{tmpdir_path}/other", public_tokenizers.path("byte_bpe_50k.json"))
