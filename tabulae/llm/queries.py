@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from . import (decontaminate, embed_dedup, filter_audit, line_dedup, mixing, quality, recompress, sharding, simhash, sql,
-               token_output, toxicity, url_filter)
+from . import (decontaminate, embed_dedup, filter_audit, hard_negatives, line_dedup, mixing, quality, recompress, sharding,
+               simhash, sql, token_output, toxicity, url_filter)
 from .common import in_train, table
 
 MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
@@ -74,6 +74,12 @@ def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -89,10 +95,11 @@ def _sha256(text: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_substring_dedup, op5_mixing, op6_embedding_dedup,
-                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination, op11_token_output, op13_filter_audit)
+                            op7_sharding, op8_quality, op9_line_dedup, op10_decontamination, op11_token_output,
+                            op12_hard_negatives, op13_filter_audit)
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op4_substring_dedup": sql.SUBSTRING_DEDUP, "op7_sharding": sql.SHARDING, "op9_line_dedup": sql.LINE_DEDUP,
-    "op13_filter_audit": sql.FILTER_AUDIT,
+    "op12_hard_negatives": sql.HARD_NEGATIVES, "op13_filter_audit": sql.FILTER_AUDIT,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -102,3 +102,23 @@ step AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
 FROM step"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+pair AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, x.r AS x, x.vec_id AS id, a.label = x.label AS same,
+         list_inner_product(a.q, x.q)::BIGINT AS score
+  FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.r <> x.r),
+pos AS (
+  SELECT a, anchor_id, x, id AS positive_id, score AS positive_score FROM pair WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) <= 5),
+neg AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY a, pos.x ORDER BY score DESC, id NULLS LAST) AS rank
+  FROM pos JOIN (SELECT a, id, score FROM pair WHERE NOT same) USING (a)
+  WHERE 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
