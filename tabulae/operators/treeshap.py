@@ -1,29 +1,39 @@
-"""Exact path-dependent Shapley values of Spark gradient-boosted trees.
-
-The fitted ensemble is saved to the shared checkpoint folder and its node
-table (``treeID``, ``nodeData`` with children, split and ``rawCount``
-cover) is read back -- bounded by the model size, not the data. Rows are
-explained in ``mapInPandas`` batches: for every coalition S the expected
-tree output given x_S follows x at splits on features in S and splits by
-cover elsewhere (vectorised over the batch), and the Shapley map of
-``attribution.shapley_design`` turns those values into attributions.
-Values are in log-odds units: Spark's probability is sigmoid(2 * margin),
-so sum(phi) + base = logit(p).
+"""Exact path-dependent Shapley values of tree ensembles.
+
+A fitted ensemble is saved to the shared checkpoint folder and its node table
+(``treeID``, ``nodeData`` with children, split and ``rawCount`` cover) is read
+back -- bounded by the model size, not the data -- and turned into a table of
+leaf paths: per leaf and per feature on its path the interval (or categories)
+that leads there and the share of cover that does. For a row, a leaf with
+value v is a game of its path's features alone: feature j multiplies by o_j (1
+if the row meets the condition, else 0) when it is known and by the share r_j
+when not. The Shapley value of j in that game is
+
+    v (o_j - r_j) * integral over t in [0, 1] of prod_{k != j} (r_k (1 - t) + o_k t),
+
+a polynomial in t of degree below the path's length, which Gauss-Legendre nodes
+integrate exactly. The cost is rows x leaves x (path length)^2 / 2, whatever the
+number of features. Rows are explained in ``mapInPandas`` batches.
+
+Values of Spark's boosted trees are in log-odds units: the probability is
+sigmoid(2 * margin), so sum(phi) + base = logit(p).
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .attribution import shapley_design
 
-MAX_EXACT_FEATURES = 12
+# Cells (rows x leaves x path slots) that a task computes at once.
+MAX_CELLS = 1 << 21
 
 
 def tree_tables(spark: SparkSession, gbt_model) -> list[dict]:
@@ -57,66 +67,124 @@ def tree_tables(spark: SparkSession, gbt_model) -> list[dict]:
     return out
 
 
-def _expected(tree: dict, X: np.ndarray, mask: int) -> np.ndarray:
-    n = X.shape[0]
-    w = {tree["order"][0]: np.ones(n)}
-    out = np.zeros(n)
-    for k in tree["order"]:
-        pred, left, right, cover, feat, thr, ncat = tree["nodes"][k]
-        wk = w.pop(k)
-        if left < 0:
-            out += wk * pred
-            continue
-        if mask >> feat & 1:
-            x = X[:, feat]
-            go_left = np.isin(x, thr) if ncat >= 0 else x <= thr[0]
-            w[left] = wk * go_left
-            w[right] = wk * ~go_left
-        else:
-            cl = tree["nodes"][left][3]
-            cr = tree["nodes"][right][3]
-            tot = cl + cr if cl + cr > 0 else 1.0
-            w[left] = wk * (cl / tot)
-            w[right] = wk * (cr / tot)
+@dataclass
+class LeafPaths:
+    """One row per leaf, one slot per feature of its path; leaves with shorter
+    paths have slots that any row meets (share 1, feature -1)."""
+
+    value: np.ndarray       # leaf value x tree weight
+    feature: np.ndarray     # (leaves, slots)
+    above: np.ndarray       # the row's value is above this ...
+    upto: np.ndarray        # ... and at most this
+    share: np.ndarray       # cover share of the slot's conditions
+    categories: list[tuple[int, int, frozenset]]  # (leaf, slot, categories that lead there)
+
+
+def leaf_paths(trees: Sequence[dict]) -> LeafPaths:
+    """Leaf paths of ``tree_tables``: conditions on one feature are merged."""
+    leaves: list[tuple[float, dict]] = []
+    for tree in trees:
+        nodes = tree["nodes"]
+        stack = [(tree["order"][0], {})]
+        while stack:
+            k, path = stack.pop()
+            value, left, right, _, feature, split, n_categories = nodes[k]
+            if left < 0:
+                leaves.append((tree["weight"] * value, path))
+                continue
+            cover = [nodes[left][3], nodes[right][3]]
+            total = sum(cover) or 1.0
+            for child, part, goes_left in ((left, cover[0], True), (right, cover[1], False)):
+                above, upto, share, allowed = path.get(feature, (-np.inf, np.inf, 1.0, None))
+                share *= part / total
+                if n_categories >= 0:
+                    here = frozenset(split) if goes_left else frozenset(map(float, range(n_categories))) - frozenset(split)
+                    allowed = here if allowed is None else allowed & here
+                elif goes_left:
+                    upto = min(upto, split[0])
+                else:
+                    above = max(above, split[0])
+                stack.append((child, {**path, feature: (above, upto, share, allowed)}))
+    slots = max([1, *[len(p) for _, p in leaves]])
+    shape = (len(leaves), slots)
+    out = LeafPaths(np.array([v for v, _ in leaves]), np.full(shape, -1), np.full(shape, -np.inf), np.full(shape, np.inf),
+                    np.ones(shape), [])
+    for i, (_, path) in enumerate(leaves):
+        for j, (feature, (above, upto, share, allowed)) in enumerate(path.items()):
+            out.feature[i, j], out.above[i, j], out.upto[i, j], out.share[i, j] = feature, above, upto, share
+            if allowed is not None:
+                out.categories.append((i, j, allowed))
     return out
 
 
-def tree_shap(pipeline_model, df: DataFrame, features: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
-    """Long (keys, feature, phi, base, fx) in log-odds units for a binary
-    GBT pipeline (assembler + GBTClassificationModel)."""
-    d = len(features)
-    if d > MAX_EXACT_FEATURES:
-        raise ValueError(f"exact tree Shapley values support up to {MAX_EXACT_FEATURES} features")
-    gbt = pipeline_model.stages[-1]
-    trees = tree_tables(df.sparkSession, gbt)
-    design = shapley_design(d)
-    masks = design.masks
-    mat = design.matrix.T.copy()
-    bc = df.sparkSession.sparkContext.broadcast((trees, mat, masks))
-    key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in key_cols}
-    schema = ", ".join([f"{k} {key_types[k]}" for k in key_cols]
-                       + ["feature string", "phi double", "base double", "fx double"])
-    feats = list(features)
-    keys = list(key_cols)
+def explain_batch(paths: LeafPaths, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """(phi per row and feature, base, margin per row). A missing value goes
+    right at every split, as the model sends it."""
+    n, d = x.shape
+    leaves, slots = paths.feature.shape
+    nodes, weights = np.polynomial.legendre.leggauss((slots + 1) // 2)
+    nodes, weights = (nodes + 1) / 2, weights / 2
+    used = paths.feature >= 0
+    base = float((paths.value * paths.share.prod(axis=1)).sum())
+    phi, margin = np.zeros((n, d)), np.zeros(n)
+    # Slots of one feature, for the sums over leaves.
+    order = np.argsort(paths.feature[used], kind="stable")
+    features, first = np.unique(paths.feature[used][order], return_index=True)
+    step = max(1, MAX_CELLS // max(1, leaves * slots))
+    for lo in range(0, n, step):
+        part = x[lo:lo + step]
+        v = part[:, np.maximum(paths.feature, 0)]
+        met = ~(v <= paths.above) & ((v <= paths.upto) | (paths.upto == np.inf))
+        for i, j, allowed in paths.categories:
+            met[:, i, j] = np.isin(v[:, i, j], list(allowed))
+        o = np.where(used, met, 1.0)
+        margin[lo:lo + step] = o.prod(axis=2) @ paths.value
+        rest = np.zeros_like(o)
+        for t, w in zip(nodes, weights, strict=True):
+            a = paths.share * (1 - t) + o * t
+            before, after = np.ones_like(a), np.ones_like(a)
+            before[:, :, 1:] = np.cumprod(a[:, :, :-1], axis=2)
+            after[:, :, :-1] = np.cumprod(a[:, :, :0:-1], axis=2)[:, :, ::-1]
+            rest += w * before * after
+        per = (rest * (o - paths.share) * paths.value[:, None])[:, used][:, order]
+        if len(features):
+            phi[lo:lo + step, features] = np.add.reduceat(per, first, axis=1)
+    return phi, base, margin
+
+
+def explain_trees(df: DataFrame, trees: Sequence[dict], features: Sequence[str], key_cols: Sequence[str],
+                  scale: float = 1.0) -> DataFrame:
+    """Long (keys, feature, phi, base, fx) of an ensemble given as
+    ``tree_tables``, for any number of features; all values times ``scale``.
+    No shuffle; what is broadcast is the model's leaf table."""
+    d, feats, keys = len(features), list(features), list(key_cols)
+    shared = df.sparkSession.sparkContext.broadcast(leaf_paths(trees))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "feature string, phi double, base double, fx double"])
 
     def explain(batches):
-        trees_, mat_, masks_ = bc.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            X = pdf[feats].to_numpy(dtype=float)
-            V = np.zeros((len(X), len(masks_)))
-            for t in trees_:
-                for j, m in enumerate(masks_):
-                    V[:, j] += t["weight"] * _expected(t, X, m)
-            V *= 2.0  # Spark: p = sigmoid(2 * margin)
-            phi = V @ mat_
-            n = len(X)
+            phi, base, margin = explain_batch(shared.value, pdf[feats].to_numpy(dtype=float))
+            n = len(pdf)
             out = {k: np.repeat(pdf[k].to_numpy(), d) for k in keys}
             out["feature"] = np.tile(np.array(feats, dtype=object), n)
-            out["phi"] = phi.reshape(-1)
-            out["base"] = np.repeat(V[:, 0], d)
-            out["fx"] = np.repeat(V[:, -1], d)
+            out["phi"] = scale * phi.reshape(-1)
+            out["base"] = np.full(n * d, scale * base)
+            out["fx"] = np.repeat(scale * margin, d)
             yield pd.DataFrame(out)
 
-    return df.select(*keys, *feats).mapInPandas(explain, schema)
+    return df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(explain, schema)
+
+
+def stump(feature: int, threshold: float, left: float, right: float, n_left: float, n_right: float) -> dict:
+    """A tree of one split, in the form of ``tree_tables``."""
+    return {"weight": 1.0, "order": [0, 1, 2],
+            "nodes": {0: (0.0, 1, 2, n_left + n_right, feature, [threshold], -1), 1: (left, -1, -1, n_left, -1, [], -1),
+                      2: (right, -1, -1, n_right, -1, [], -1)}}
+
+
+def tree_shap(pipeline_model, df: DataFrame, features: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
+    """Long (keys, feature, phi, base, fx) in log-odds units for a binary
+    GBT pipeline (assembler + GBTClassificationModel)."""
+    trees = tree_tables(df.sparkSession, pipeline_model.stages[-1])
+    return explain_trees(df, trees, features, key_cols, scale=2.0)

@@ -16,7 +16,7 @@ from ..operators import metrics as M
 from ..operators import models as MD
 from ..operators import surrogate as SG
 from ..operators.split import random_holdout
-from ..operators.treeshap import tree_shap
+from ..operators.treeshap import explain_trees, stump, tree_shap
 from ..session import reuse
 from ..sources.tables import read_table
 from .catalog import finish, register
@@ -100,6 +100,48 @@ def explain_tree_shap(spark, d):
     return finish(tree_shap(model, feats, DOC_FEATURES, KEY))
 
 
+def _embedding_table(spark, d):
+    """Every component of the vectors as a column, and a two-class label."""
+    emb = read_table(spark, d, "embeddings")
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0]
+    feats = [f"e{i}" for i in range(dims)]
+    return emb.select("vec_id", (F.col("label") < 5).cast("int").alias("label"),
+                      *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)]), feats
+
+
+@register("explain_tree_shap_wide")
+def explain_tree_shap_wide(spark, d):
+    """Exact tree Shapley values of boosted trees over all 64 components of
+    the vectors (far beyond what enumerating coalitions could do)."""
+    t, feats = _embedding_table(spark, d)
+    t = reuse(t)
+    model = MD.train_boosted_trees(t, feats, "label", preset="plain")
+    return finish(tree_shap(model, t, feats, ["vec_id"]))
+
+
+_STUMPS = [(-0.05, 0.3), (0.0, 1.0), (0.08, -0.4)]  # (threshold, height), once per component
+
+
+@register("explain_stump_shap", f"""
+WITH x AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+s(thr, h) AS (VALUES {', '.join(f'({t!r}::DOUBLE, {h!r}::DOUBLE)' for t, h in _STUMPS)}),
+y AS (SELECT vec_id, i, thr, CASE WHEN v <= thr THEN -h ELSE h END * (1 + i % 7) AS y FROM x, s),
+m AS (SELECT i, thr, avg(y) AS mu FROM y GROUP BY i, thr),
+f AS (SELECT vec_id, i, sum(y) AS y, sum(mu) AS mu FROM y JOIN m USING (i, thr) GROUP BY vec_id, i)
+SELECT vec_id, 'e' || i AS feature, round(y - mu, 6) AS phi, round(sum(mu) OVER (PARTITION BY vec_id), 6) AS base,
+       round(sum(y) OVER (PARTITION BY vec_id), 6) AS fx FROM f""")
+def explain_stump_shap(spark, d):
+    """Tree Shapley values of a fixed ensemble of stumps over all components,
+    three on each; covers are counted from the table in one aggregate."""
+    t, feats = _embedding_table(spark, d)
+    covers = t.agg(F.count("*").alias("n"), *[F.sum((F.col(f) <= thr).cast("long")).alias(f"{f}_{k}")
+                                               for f in feats for k, (thr, _) in enumerate(_STUMPS)]).first()
+    trees = [stump(i, thr, -h * (1 + i % 7), h * (1 + i % 7), covers[f"{f}_{k}"], covers["n"] - covers[f"{f}_{k}"])
+             for i, f in enumerate(feats) for k, (thr, h) in enumerate(_STUMPS)]
+    return finish(explain_trees(t, trees, feats, ["vec_id"]))
+
+
 @register("explain_model_shap")
 def explain_model_shap(spark, d):
     """Exact Shapley values of a trained GBT via the model-scorer path
