@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,16 +183,109 @@ def kernel_design(d: int, n_samples: int | None = None, seed: int = 42,
     return Design(d, masks, terms[1:], mat[1:])
 
 
+def _pair_weight(d: int, s: int, index: str) -> float:
+    """Weight of a pair's joint effect on a coalition of ``s`` others."""
+    if index in ("STII", "STI"):
+        return 2.0 / d / math.comb(d - 1, s)
+    return 1.0 / ((d - 1) * math.comb(d - 2, s))
+
+
+def _stratified_sample(d: int, budget: int, seed: int) -> dict[int, float]:
+    """Coalitions with the number of coalitions that each stands for. Sizes s
+    and d - s are taken whole, from the empty and full ones on, while they fit; each
+    size left gets its part of the others, by kernel mass and one at least, drawn
+    without repetition in complementary pairs that stand for the whole size."""
+    whole: dict[int, float] = {}
+    s = 0
+    while 2 * s <= d:
+        sizes = {s, d - s}
+        if len(whole) + sum(math.comb(d, k) for k in sizes) > budget:
+            break
+        for k in sizes:
+            whole |= {sum(1 << i for i in c): 1.0 for c in itertools.combinations(range(d), k)}
+        s += 1
+    left = [k for k in range(s, d // 2 + 1)]  # a pair of sizes each: k and d - k
+    if s < 2:
+        raise ValueError(f"a budget of {budget} coalitions does not cover the {2 * d + 2} smallest and largest of {d} features")
+    if not left:
+        return whole
+    mass = np.array([_kernel_weight(d, k) * math.comb(d, k) for k in left])
+    draws = np.maximum(1, np.floor((budget - len(whole)) / 2 * mass / mass.sum())).astype(int)
+    rng, sampled, full = np.random.default_rng(seed), {}, (1 << d) - 1
+    for k, n in zip(left, draws.tolist(), strict=True):
+        pairs = math.comb(d, k) // (2 if 2 * k == d else 1)
+        n = min(n, pairs)
+        if pairs <= 4 * n:
+            every = [m for c in itertools.combinations(range(d), k) if 2 * k < d or c[0] == 0 for m in [sum(1 << i for i in c)]]
+            drawn = {every[i] for i in rng.choice(pairs, n, replace=False)}
+        else:
+            drawn = set()
+            while len(drawn) < n:
+                m = sum(1 << int(i) for i in rng.choice(d, size=k, replace=False))
+                drawn.add(m if 2 * k < d or m & 1 else full ^ m)
+        sampled |= {mask: pairs / n for m in drawn for mask in (m, full ^ m)}
+    return whole | sampled
+
+
+def sampled_interaction_design(d: int, index: str, budget: int, seed: int = 42) -> Design:
+    """SII, k-SII or STII of all pairs from about ``budget`` coalitions shared
+    by them. Every coalition adds to every pair by its weight there times the
+    number of coalitions that it stands for (``_stratified_sample``). What a
+    weighted least-squares model of single features and pairs explains is
+    taken out first, and its index, which is known, added again: so the estimate is
+    exact for games of pairs at any budget, and for all games when no size is
+    left to sample."""
+    stands_for = _stratified_sample(d, budget, seed)
+    masks = sorted(stands_for)
+    member = np.array([[m >> i & 1 for i in range(d)] for m in masks], bool)
+    count, size = np.array([stands_for[m] for m in masks]), member.sum(axis=1)
+    pairs = list(itertools.combinations(range(d), 2))
+    a, b = np.array(pairs).T
+    in_both = member[:, a].astype(int) + member[:, b]
+    by_rest = np.array([_pair_weight(d, s, index) for s in range(d - 1)])
+    sign = np.where(in_both == 1, -1.0, 1.0)
+    pair_mat = (sign * by_rest[size[:, None] - in_both] * count[:, None]).T
+    if index in ("STII", "STI"):
+        single = np.zeros((d, len(masks)))
+        for i in range(d):
+            single[i, masks.index(1 << i)], single[i, masks.index(0)] = 1.0, -1.0
+    else:
+        joins = np.array([1.0 / (d * math.comb(d - 1, s)) for s in range(d)])
+        gain = np.where(member, joins[np.maximum(size - 1, 0)][:, None], -joins[np.minimum(size, d - 1)][:, None])
+        single = (gain * count[:, None]).T
+        if index == "K-SII":
+            for k, (i, j) in enumerate(pairs):
+                single[i] -= 0.5 * pair_mat[k]
+                single[j] -= 0.5 * pair_mat[k]
+    estimate = np.vstack([single, pair_mat])
+    if len(masks) < 1 << d:
+        z = np.hstack([np.ones((len(masks), 1)), member, member[:, a] & member[:, b]]).astype(float)
+        inner = (size > 0) & (size < d)
+        kernel = np.array([_kernel_weight(d, s) if 0 < s < d else 0.0 for s in range(d + 1)])[size] * count
+        kernel[~inner] = 1e3 * kernel.max()  # the ends count most
+        root = np.sqrt(kernel / kernel.max())
+        fit = np.linalg.lstsq(z * root[:, None], np.diag(root), rcond=None)[0]
+        known = fit[1:].copy()  # index of the model: its coefficients
+        if index == "SII":
+            for k, (i, j) in enumerate(pairs):
+                known[i] += 0.5 * fit[1 + d + k]
+                known[j] += 0.5 * fit[1 + d + k]
+        estimate = known + estimate - (estimate @ z) @ fit
+    return Design(d, masks, [*[(i,) for i in range(d)], *pairs], estimate)
+
+
 def interaction_design(d: int, index: str = "k-SII", budget: int | None = None, seed: int = 42) -> Design:
-    """Order-1 and order-2 terms of SII, k-SII, STII or FSI, exact from all
-    2^d coalitions up to ``EXACT_MAX_FEATURES`` features. FSI takes a
-    ``budget`` of coalitions for more; the other indices raise."""
+    """Order-1 and order-2 terms of SII, k-SII, STII or FSI: exact from all
+    2^d coalitions up to ``EXACT_MAX_FEATURES`` features, or estimated from
+    ``budget`` coalitions (see ``sampled_interaction_design``)."""
     index = index.upper()
+    if index not in ("SII", "K-SII", "STII", "STI", "FSI"):
+        raise ValueError(f"unknown index {index}")
     if index == "FSI":
         return kernel_design(d, budget, seed, max_order=2)
-    if budget is not None:
-        raise ValueError("only FSI takes a budget of coalitions")
-    _require_budget(d, "FSI with a budget")
+    if budget is not None and (d > EXACT_MAX_FEATURES or budget < 1 << d):
+        return sampled_interaction_design(d, index, budget, seed)
+    _require_budget(d, "budget")
     masks = _all_masks(d)
     full = (1 << d) - 1
     pairs = list(itertools.combinations(range(d), 2))
@@ -202,12 +296,7 @@ def interaction_design(d: int, index: str = "k-SII", budget: int | None = None,
             if S & ~rest:
                 continue
             s = _bits(S)
-            if index in ("SII", "K-SII"):
-                w = math.factorial(s) * math.factorial(d - s - 2) / math.factorial(d - 1)
-            elif index in ("STII", "STI"):
-                w = 2.0 / d / math.comb(d - 1, s)
-            else:
-                raise ValueError(f"unknown index {index}")
+            w = _pair_weight(d, s, index)
             for T, sign in ((S | 1 << i | 1 << j, 1), (S | 1 << i, -1), (S | 1 << j, -1), (S, 1)):
                 pair_mat[k, T] += sign * w
     if index in ("STII", "STI"):
@@ -307,6 +396,75 @@ def apply_design(vals: DataFrame, design: Design, features: Sequence[str], key_c
                       value_name)
 
 
+# Above this many matrix cells a design is no longer written into the plan; and
+# rows x coalitions x background rows that a task scores at once.
+LITERAL_CELLS, MAX_SCORED = 1 << 14, 1 << 22
+MAX_BACKGROUND = 1000
+
+
+def _rows_of_background(background: DataFrame, features: Sequence[str]) -> np.ndarray:
+    rows = background.select(*[F.col(f).cast("double") for f in features]).limit(MAX_BACKGROUND + 1).collect()
+    if not 0 < len(rows) <= MAX_BACKGROUND:
+        raise ValueError(f"a background has 1 to {MAX_BACKGROUND} rows; sample it first")
+    return np.array(rows, dtype=float)
+
+
+def design_in_batches(df: DataFrame, features: Sequence[str], scorer, background: DataFrame, design: Design,
+                      key_cols: Sequence[str], value_name: str = "value") -> DataFrame:
+    """``coalition_values`` and ``apply_design`` for designs too large for the
+    plan, with v of the empty and the full coalition as ``base`` and ``fx`` (both
+    must be in the design). The design is broadcast (its size is the budget's, not
+    the data's). A linear scorer's coalition values are matrix products inside
+    Arrow batches, with no shuffle; other scorers score exploded rows in batch."""
+    if design.d > 62:
+        raise ValueError("coalitions are kept as 64-bit masks: 62 features at most")
+    masks, feats, keys = design.masks, list(features), list(key_cols)
+    ends = (masks.index(0), masks.index((1 << design.d) - 1))
+    linear = hasattr(scorer, "coefs") and hasattr(scorer, "margin")
+    names = [[feats[t[0]], feats[t[1]] if len(t) > 1 else None, len(t)] for t in design.terms]
+    shared = df.sparkSession.sparkContext.broadcast({
+        "matrix": design.matrix.T.copy(), "in": np.array([[m >> i & 1 for i in range(design.d)] for m in masks], float),
+        "bg": _rows_of_background(background, feats) if linear else None})
+    if linear:
+        weight = np.array([float(scorer.coefs.get(f, 0.0)) for f in feats])
+        intercept, decimals = float(scorer.intercept), scorer.decimals
+        rows = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats])
+    else:
+        rows = coalition_values(df, feats, scorer, background, masks, keys).select(*keys, "v")
+
+    def values(pdf) -> np.ndarray:
+        if not linear:
+            return np.stack(pdf["v"].to_numpy())
+        known, bg = shared.value["in"], shared.value["bg"]
+        rest = (1 - known) @ (bg * weight).T + intercept
+        x, out = (pdf[feats].to_numpy() * weight) @ known.T, np.zeros((len(pdf), len(known)))
+        step = max(1, MAX_SCORED // rest.size)
+        for i in range(0, len(pdf), step):
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-(x[i:i + step, :, None] + rest)))
+            out[i:i + step] = (p if decimals is None else np.round(p, decimals)).mean(axis=2)
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "feature_i string, feature_j string, `order` long",
+                        f"{value_name} double, base double, fx double"])
+    feature_i, feature_j, order = (np.array(c, dtype=object) for c in zip(*names))
+
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                part = pdf.iloc[i:i + 256]
+                v = values(part)
+                n, m = len(part), len(names)
+                out = {k: np.repeat(part[k].to_numpy(), m) for k in keys}
+                out |= {"feature_i": np.tile(feature_i, n), "feature_j": np.tile(feature_j, n), "order": np.tile(order, n).astype(int),
+                        value_name: (v @ shared.value["matrix"]).reshape(-1),
+                        "base": np.repeat(v[:, ends[0]], m), "fx": np.repeat(v[:, ends[1]], m)}
+                yield pd.DataFrame(out)
+
+    return rows.mapInPandas(run, schema)
+
+
 def shapley_values(df: DataFrame, features: Sequence[str], scorer, background: DataFrame,
                    key_cols: Sequence[str], method: str = "exact", n_samples: int | None = None,
                    seed: int = 42) -> DataFrame:
@@ -330,6 +488,9 @@ def shapley_values(df: DataFrame, features: Sequence[str], scorer, background: D
     extra = [m for m in (0, (1 << d) - 1) if m not in masks]
     design_full = Design(d, masks + extra, design.terms,
                          np.hstack([design.matrix, np.zeros((len(design.terms), len(extra)))]))
+    if design_full.matrix.size > LITERAL_CELLS:
+        return design_in_batches(df, features, scorer, background, design_full, key_cols, "phi").select(
+            *key_cols, F.col("feature_i").alias("feature"), "phi", "base", "fx")
     vals = coalition_values(df, features, scorer, background, design_full.masks, key_cols)
     i0 = design_full.masks.index(0) + 1
     i1 = design_full.masks.index((1 << d) - 1) + 1
@@ -344,6 +505,8 @@ def interaction_values(df: DataFrame, features: Sequence[str], scorer, backgroun
     """Long (keys, feature_i, feature_j, order, value) for order 1 and 2;
     ``budget``: see ``interaction_design``."""
     design = interaction_design(len(features), index, budget, seed)
+    if design.matrix.size > LITERAL_CELLS:
+        return design_in_batches(df, features, scorer, background, design, key_cols).drop("base", "fx")
     vals = coalition_values(df, features, scorer, background, design.masks, key_cols)
     return apply_design(vals, design, features, key_cols)
 

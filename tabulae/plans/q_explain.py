@@ -5,7 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.scorers import LinearScorer
 from ..operators import attribution as X
+from ..operators.prep import hash_sample
+from ..session import reuse
+from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import DOC_FEATURES, EXPLAIN_SCORER, doc_background, doc_explain_sql, doc_explain_table
 from .sql_explain import D, NAMES, base_ctes, pair_cte, shapley_cte
@@ -284,3 +288,40 @@ SELECT * FROM (SELECT doc_id, feature_i, feature_j, "order", round(value, {R}) A
   FROM inter) WHERE rank <= 5""")
 def interact_instance(spark, d):
     return finish(X.instance_interactions(_inter(spark, d, "k-SII"), KEY, 5))
+
+
+# ------------------------------------------- many features, a budget of coalitions
+def _wide_table(spark, d, n):
+    """All components of the vectors, summed in ``n`` groups of neighbours."""
+    emb = read_table(spark, d, "embeddings")
+    group = emb.agg(F.max(F.size("embedding"))).first()[0] // n
+    feats = [f"g{i}" for i in range(n)]
+    sums = [sum((F.col("embedding")[i * group + k].cast("double") for k in range(1, group)), F.col("embedding")[i * group].cast("double"))
+            for i in range(n)]
+    t = reuse(emb.select("vec_id", *[x.alias(f) for f, x in zip(feats, sums)]))
+    scorer = LinearScorer({f: 2.0 * (-1) ** i * (1 + i % 5) for i, f in enumerate(feats)}, 0.2, decimals=None, name="wide")
+    return t, feats, scorer, hash_sample(t, 50, ["vec_id"], seed=42)
+
+
+def _wide_interactions(spark, d, n, index, budget):
+    t, feats, scorer, bg = _wide_table(spark, d, n)
+    return finish(X.interaction_values(t, feats, scorer, bg, ["vec_id"], index, budget=budget))
+
+
+@register("interact_ksii_sampled")
+def interact_ksii_sampled(spark, d):
+    """k-SII of every pair of 16 features, from 800 coalitions."""
+    return _wide_interactions(spark, d, 16, "k-SII", 800)
+
+
+@register("interact_stii_sampled")
+def interact_stii_sampled(spark, d):
+    """Shapley-Taylor index of every pair of 32 features, from 1 500 coalitions."""
+    return _wide_interactions(spark, d, 32, "STII", 1500)
+
+
+@register("explain_kernel_shap_wide")
+def explain_kernel_shap_wide(spark, d):
+    """Kernel Shapley values of 32 features, from 1 000 coalitions."""
+    t, feats, scorer, bg = _wide_table(spark, d, 32)
+    return finish(X.shapley_values(t, feats, scorer, bg, ["vec_id"], method="kernel", n_samples=1000))
