@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scorers import SoftmaxScorer
+from ..session import discard, reuse
+
 # Boosted-tree defaults (100 trees, depth 6, rate 0.1, seed 42;
 # the plain gradient-boosting preset uses depth 3) and named presets.
 GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42}
@@ -85,6 +91,10 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str = "label",
 def predict_proba(model: PipelineModel, df: DataFrame, n_classes: int = 2, out: str = "proba") -> DataFrame:
     """Adds ``out`` (array of class probabilities), ``p`` (class 1) and ``pred``.
     Models without probabilities (one-vs-rest) give the hard label as score."""
+    if isinstance(model, SoftmaxStudent):
+        scored = df.withColumn(out, model.scorer().proba_array())
+        return scored.withColumn("p", F.col(out)[1] if n_classes == 2 else F.array_max(out)).withColumn(
+            "pred", (F.array_position(out, F.array_max(out)) - 1).cast("int"))
     scored = model.transform(df)
     last = model.stages[-1]
     if last.hasParam("probabilityCol") and "probability" in scored.columns:
@@ -116,7 +126,8 @@ def distillation_rows(df: DataFrame, teacher_proba: str, label: str, n_classes:
     """Each row replicated per class c with weight alpha * q_t(c) + (1 - alpha) * [y = c],
     q_t = teacher probabilities sharpened/softened by 1/T (normalised).
     A weighted classifier fitted on these rows minimises the blended
-    soft-target / hard-label cross entropy."""
+    soft-target / hard-label cross entropy of ``distill`` for T = 1 (for other
+    temperatures the student has to be softened too: use ``distill``)."""
     t = float(temperature)
     q = F.transform(F.col(teacher_proba), lambda x: F.pow(x, F.lit(1.0 / t)))
     tot = F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
@@ -126,9 +137,111 @@ def distillation_rows(df: DataFrame, teacher_proba: str, label: str, n_classes:
                      w.alias("weight"))
 
 
-def distill(train: DataFrame, teacher: PipelineModel, features: Sequence[str], label: str = "label",
-            alpha: float = 0.7, temperature: float = 1.0, n_classes: int = 2) -> PipelineModel:
-    """Teacher-scored training rows -> weighted student (logistic regression)."""
-    scored = predict_proba(teacher, train.select(*features, label), n_classes, out="_teacher")
-    rows = distillation_rows(scored.drop("p", "pred"), "_teacher", label, n_classes, alpha, temperature)
-    return train_logistic(rows.drop("_teacher"), features, label, weight="weight")
+@dataclass(frozen=True)
+class SoftmaxStudent:
+    """Linear softmax model: logits = x @ weights + bias (one column a class).
+    ``history`` holds the objective after each pass over the data."""
+
+    features: tuple[str, ...]
+    weights: tuple[tuple[float, ...], ...]
+    bias: tuple[float, ...]
+    history: tuple[float, ...] = ()
+
+    def scorer(self, decimals: int | None = None) -> SoftmaxScorer:
+        return SoftmaxScorer([str(k) for k in range(len(self.bias))], dict(zip(self.features, self.weights)), self.bias, decimals)
+
+    def logits(self) -> Column:
+        return F.array(*self.scorer().logits())
+
+
+def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax, log-softmax) of the rows of ``z``."""
+    log = z - z.max(axis=1, keepdims=True)
+    log -= np.log(np.exp(log).sum(axis=1, keepdims=True))
+    return np.exp(log), log
+
+
+def distill(train: DataFrame, teacher, features: Sequence[str], label: str = "label", alpha: float = 0.7,
+            temperature: float = 2.0, n_classes: int = 2, max_iter: int = 50, tol: float = 1e-9,
+            ridge: float = 1e-6) -> SoftmaxStudent:
+    """Linear softmax student of ``teacher`` (a pipeline model, or the name of a
+    column of ``train`` with its class probabilities): the minimum of
+
+        alpha T^2 mean KL(q_T || softmax(z / T)) + (1 - alpha) mean CE(y, softmax(z)),
+
+    q_T being the teacher's probabilities softened by T, as ``metrics.kd_loss``
+    computes it, plus ``ridge`` / 2 times the squared weights of standardised
+    features. Features, teacher and label are written once; each Newton step is one pass
+    over them in which every Arrow batch returns its sums of the objective,
+    gradient and Hessian (classes x features squared, whatever the rows), with the
+    step halved while the objective would rise. Rows with a null label, teacher or
+    feature take no part; no rows are an error."""
+    t, d, k = float(temperature), len(features), n_classes
+    if isinstance(teacher, str):
+        rows = train.withColumn("_teacher", F.col(teacher))
+    else:
+        rows = predict_proba(teacher, train.select(*features, label), k, out="_teacher")
+    rows = rows.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), "_teacher", F.col(label).cast("int").alias("y"))
+    rows = reuse(rows.where(F.col("y").isNotNull() & F.col("_teacher").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))))
+    stats = rows.select(F.posexplode("x")).groupBy("pos").agg(F.count("*").alias("n"), F.avg("col").alias("mean"),
+                                                              F.stddev_pop("col").alias("std")).orderBy("pos").collect()
+    if not stats:
+        raise ValueError("no complete rows to distill from")
+    n = stats[0]["n"]
+    mean = np.array([s["mean"] for s in stats])
+    std = np.array([s["std"] or 1.0 for s in stats])
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Objective, gradient and Hessian at ``w`` ((features + 1) x classes)."""
+        def run(batches):
+            total, grad, hess = 0.0, np.zeros((d + 1, k)), np.zeros(((d + 1) * k,) * 2)
+            for pdf in batches:
+                x = np.hstack([(np.stack(pdf["x"].to_numpy()) - mean) / std, np.ones((len(pdf), 1))])
+                q = np.log(np.stack(pdf["_teacher"].to_numpy()) + 1e-10) / t
+                q, log_q = _soft(q)
+                y = np.eye(k)[pdf["y"].to_numpy()]
+                z = x @ w
+                (p, log_p), (p_t, log_p_t) = _soft(z), _soft(z / t)
+                total += alpha * t * t * (q * (log_q - log_p_t)).sum() - (1 - alpha) * (y * log_p).sum()
+                grad += x.T @ (alpha * t * (p_t - q) + (1 - alpha) * (p - y))
+                for a in range(k):
+                    for b in range(a, k):
+                        curve = sum(c * m[:, a] * ((a == b) - m[:, b]) for c, m in ((alpha, p_t), (1 - alpha, p)))
+                        block = (x * curve[:, None]).T @ x
+                        hess[a * (d + 1):(a + 1) * (d + 1), b * (d + 1):(b + 1) * (d + 1)] += block
+                        if a != b:
+                            hess[b * (d + 1):(b + 1) * (d + 1), a * (d + 1):(a + 1) * (d + 1)] += block.T
+            yield pd.DataFrame({"total": [total], "grad": [grad.T.tobytes()], "hess": [hess.tobytes()]})
+
+        total, grad, hess = 0.0, np.zeros((d + 1) * k), np.zeros(((d + 1) * k,) * 2)
+        for part in rows.mapInPandas(run, "total double, grad binary, hess binary").toLocalIterator():
+            total += part["total"]
+            grad += np.frombuffer(part["grad"])
+            hess += np.frombuffer(part["hess"]).reshape(hess.shape)
+        flat = w.T.reshape(-1)
+        shrink = np.tile(np.append(np.full(d, ridge), ridge * 1e-3), k)  # the bias hardly
+        return (total / n + 0.5 * float((shrink * flat * flat).sum()), grad / n + shrink * flat, hess / n + np.diag(shrink))
+
+    w = np.zeros((d + 1, k))
+    loss, grad, hess = sums(w)
+    history = [loss]
+    for _ in range(max_iter):
+        move, gain = np.linalg.solve(hess, grad), 0.0
+        gain = float(grad @ move)
+        if gain < tol:
+            break
+        step = 1.0
+        while True:
+            tried = w - step * move.reshape(k, d + 1).T
+            new = sums(tried)
+            if new[0] <= loss - 0.1 * step * gain or step < 1e-4:
+                break
+            step /= 2
+        if new[0] > loss:
+            break
+        w, (loss, grad, hess) = tried, new
+        history.append(loss)
+    discard(rows)
+    weights = w[:d] / std[:, None]
+    bias = w[d] - (weights * mean[:, None]).sum(axis=0)
+    return SoftmaxStudent(tuple(features), tuple(map(tuple, weights.tolist())), tuple(bias.tolist()), tuple(history))

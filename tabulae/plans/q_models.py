@@ -14,6 +14,7 @@ from ..functions.scorers import ModelScorer
 from ..operators import attribution as X
 from ..operators import metrics as M
 from ..operators import models as MD
+from ..operators import prep as P
 from ..operators import surrogate as SG
 from ..operators.split import random_holdout
 from ..operators.treeshap import explain_trees, stump, tree_shap
@@ -49,7 +50,7 @@ def model_mlp_eval(spark, d):
 
 @register("model_distill_eval")
 def model_distill_eval(spark, d):
-    """GBT teacher -> weighted logistic student (alpha 0.7, T 2)."""
+    """GBT teacher -> linear softmax student, both softened (alpha 0.7, T 2)."""
     train, _, feats = _train_test(spark, d)
     teacher = MD.train_boosted_trees(train, DOC_FEATURES, "label", preset=PRESET)
     student = MD.distill(train, teacher, DOC_FEATURES, "label", alpha=0.7, temperature=2.0)
@@ -58,6 +59,23 @@ def model_distill_eval(spark, d):
     return finish(M.evaluate_by(s.unionByName(t), ["model", "split"], pred="pred"))
 
 
+@register("model_distill_loss")
+def model_distill_loss(spark, d):
+    """Distillation loss (T 2) on train and test of three students of the same boosted
+    trees: softened like the teacher, fitted at T 1, and on hard labels only."""
+    train, _, feats = _train_test(spark, d)
+    teacher = MD.train_boosted_trees(train, DOC_FEATURES, "label", preset=PRESET)
+    scored = reuse(MD.predict_proba(teacher, feats, out="teacher").withColumn("logits", P.teacher_logits(F.col("teacher"))))
+    fit = scored.where(F.col("split") == "train")
+    out = None
+    for name, alpha, t in (("softened", 0.7, 2.0), ("T 1", 0.7, 1.0), ("hard labels", 0.0, 1.0)):
+        student = MD.distill(fit, "teacher", DOC_FEATURES, "label", alpha=alpha, temperature=t)
+        loss = M.kd_loss(scored.withColumn("student", student.logits()), "logits", "student", "label", 0.7, 2.0, groups=["split"])
+        loss = loss.withColumn("model", F.lit(name)).withColumn("passes", F.lit(len(student.history)).cast("long"))
+        out = loss if out is None else out.unionByName(loss)
+    return finish(out)
+
+
 @register("model_importance")
 def model_importance(spark, d):
     train, _, _ = _train_test(spark, d)
