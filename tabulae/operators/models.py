@@ -8,6 +8,7 @@ DataFrame; only the fitted model reaches the driver.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scorers import SoftmaxScorer
+from ..functions.scorers import LinearScorer, SoftmaxScorer
 from ..session import discard, reuse
 
 # Boosted-tree defaults (100 trees, depth 6, rate 0.1, seed 42;
@@ -88,6 +89,27 @@ def train_logistic(df: DataFrame, features: Sequence[str], label: str = "label",
     return Pipeline(stages=[_assembler(features), lr]).fit(df.withColumn(label, F.col(label).cast("double")))
 
 
+def train_discriminant(df: DataFrame, features: Sequence[str], label: str = "label", shrink: float = 0.0,
+                       prior: str = "empirical", decimals: int | None = None) -> LinearScorer:
+    """Diagonal linear discriminant of two classes, as a scorer: weights are the
+    difference of the class means over the variance plus ``shrink``; ``prior`` is
+    ``empirical`` (class shares) or ``equal``. One aggregate; both classes must be
+    there. A feature that neither varies nor is shrunk weighs nothing."""
+    x = {f: F.col(f).cast("double") for f in features}
+    one = F.col(label) == 1
+    got = df.where(F.col(label).isNotNull()).agg(
+        F.sum(one.cast("long")).alias("n1"), F.sum((~one).cast("long")).alias("n0"),
+        *[e for f in features for e in (F.avg(F.when(one, x[f])).alias(f"1_{f}"), F.avg(F.when(~one, x[f])).alias(f"0_{f}"),
+                                        F.var_pop(x[f]).alias(f"v_{f}"))]).first()
+    if not got["n1"] or not got["n0"]:
+        raise ValueError("a discriminant needs rows of both classes")
+    spread = {f: (got[f"v_{f}"] or 0.0) + shrink for f in features}
+    w = {f: (got[f"1_{f}"] - got[f"0_{f}"]) / spread[f] if spread[f] > 0 else 0.0 for f in features}
+    middle = sum(w[f] * (got[f"1_{f}"] + got[f"0_{f}"]) / 2 for f in features)
+    share = math.log(got["n1"] / got["n0"]) if prior == "empirical" else 0.0
+    return LinearScorer(w, share - middle, decimals, "discriminant")
+
+
 def predict_proba(model: PipelineModel, df: DataFrame, n_classes: int = 2, out: str = "proba") -> DataFrame:
     """Adds ``out`` (array of class probabilities), ``p`` (class 1) and ``pred``.
     Models without probabilities (one-vs-rest) give the hard label as score."""

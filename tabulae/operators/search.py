@@ -10,6 +10,9 @@
 * ``search_summary``: mean / population std per (trial, metric) and the
   best trial by the refit metric (``max_by``).
 * ``grid_search_ml``: Spark ML ``CrossValidator`` for trained estimators.
+* ``fit_search``: every (dataset, candidate, fold) is a fit of its own, many of
+  them at a time as concurrent Spark jobs; each returns its scores by several
+  metrics or an error row, and the best candidate is fitted again on all rows.
 """
 
 from __future__ import annotations
@@ -17,11 +20,16 @@ from __future__ import annotations
 import itertools
 import warnings
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_hash
+from ..session import reuse
 from .metrics import evaluate_by
 
 GRID_WARN = 50
@@ -114,3 +122,100 @@ def grid_search_ml(estimator, param_maps, evaluator, df: DataFrame, fold_col: st
     if fold_col:
         cv = cv.setFoldCol(fold_col)
     return cv.fit(df)
+
+
+# Fits that a search may ask for; their candidates and scores are on the driver.
+MAX_FITS = 10000
+
+
+@dataclass
+class SearchResult:
+    """Tables of a ``fit_search``, and the refitted best model of each dataset."""
+
+    scores: DataFrame       # (dataset, trial, fold, metric, value)
+    errors: DataFrame       # (dataset, trial, fold, error); null fold: the refit, null trial: the dataset
+    summary: DataFrame      # ``search_summary`` per dataset, of candidates that were scored on all folds
+    best: DataFrame         # ``best_params`` per dataset
+    models: dict[str, object]
+
+
+def fit_search(datasets: Mapping[str, DataFrame | Callable[[], DataFrame]], candidates: DataFrame,
+               fit: Callable[[DataFrame, dict], object], score: Callable[[object, DataFrame], DataFrame],
+               refit: str = "pr_auc", metrics: Sequence[str] = ("roc_auc", "pr_auc", "f1", "brier_score"),
+               fold: str = "fold", label: str = "label", decimals: int | None = None, parallelism: int = 4,
+               higher_is_better: bool | None = None) -> SearchResult:
+    """Cross-validated search that trains its candidates.
+
+    ``datasets`` are tables with a ``fold`` column (or functions that make them);
+    ``candidates`` is a ``candidate_grid``, or ``random_candidates`` of one (draws
+    that repeat a candidate are fitted once). For every fold, ``fit(rows of the
+    other folds, params)`` gives a model and ``score(model, rows of the fold)`` a
+    table with the columns ``label``, ``p`` and, if hard labels are not p >= 0.5,
+    ``pred``; all ``metrics`` come from that one scored table.
+
+    ``parallelism`` fits run at a time, each in a driver thread whose jobs go to its
+    dataset's scheduler pool (fair if the session schedules so); the rows stay
+    in Spark. A fit that fails gives an error row and leaves the others alone; a
+    candidate with an error is not ranked; a dataset without a ranked candidate
+    has no best row. The candidate of the best mean ``refit`` metric (ties: the
+    lower trial) is fitted on all its dataset's rows."""
+    if not datasets:
+        raise ValueError("no datasets to search on")
+    candidates = candidates.select("trial", "params").dropDuplicates(["trial"])
+    rows = candidates.limit(MAX_FITS + 1).collect()
+    grid = {r["trial"]: dict(r["params"]) for r in sorted(rows, key=lambda r: r["trial"])}
+    if len(grid) > MAX_FITS:
+        raise ValueError(f"more than {MAX_FITS} candidates")
+    spark = candidates.sparkSession
+    scores, errors, models = [], [], {}
+    tables: dict[str, DataFrame] = {}
+    folds: dict[str, list] = {}
+
+    def guarded(dataset, trial, k, work):
+        """``work()`` or None, with an error row."""
+        try:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"search-{dataset}")
+            return work()
+        except Exception as e:  # whatever a fit raises belongs to its row
+            errors.append((dataset, trial, k, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300]))
+            return None
+
+    def prepare(dataset):
+        source = datasets[dataset]
+        tables[dataset] = reuse(source() if callable(source) else source)
+        folds[dataset] = sorted(r[0] for r in tables[dataset].where(F.col(fold).isNotNull()).select(fold).distinct().collect())
+        if len(folds[dataset]) < 2:
+            raise ValueError("a search needs two folds at least")
+
+    def one(dataset, trial, k):
+        here = F.col(fold) == k
+        scored = score(fit(tables[dataset].where(~here), dict(grid[trial])), tables[dataset].where(here))
+        pred = "pred" if "pred" in scored.columns else None
+        found = evaluate_by(scored, [], label=label, pred=pred, metrics=list(metrics)).collect()
+        scores.extend((dataset, trial, int(k), r["metric"], r["value"]) for r in found)
+
+    def all_of(jobs):
+        with ThreadPoolExecutor(parallelism) as pool:
+            for done in [pool.submit(inheritable_thread_target(spark)(guarded), *job) for job in jobs]:
+                done.result()
+
+    all_of([(d, None, None, partial(prepare, d)) for d in datasets])
+    failed = {e[0] for e in errors}
+    all_of([(d, t, int(k), partial(one, d, t, k)) for d in datasets if d not in failed for t in grid for k in folds[d]])
+
+    complete = {(d, t) for d in folds for t in grid if d not in failed and not any(e[:2] == (d, t) for e in errors)}
+    long = spark.createDataFrame(sorted(scores), "dataset string, trial long, fold int, metric string, value double")
+    if decimals is not None:
+        long = long.withColumn("value", F.round("value", decimals))
+    ranked = spark.createDataFrame(sorted(complete), "dataset string, trial long")
+    better = refit != "brier_score" if higher_is_better is None else higher_is_better
+    summary = search_summary(long.join(F.broadcast(ranked), ["dataset", "trial"]), refit, ["dataset"], better, decimals)
+    best = best_params(summary, candidates, refit, ["dataset"])
+
+    def again(dataset, trial):
+        models[dataset] = fit(tables[dataset], dict(grid[trial]))
+
+    winners = summary.where("best").select("dataset", "trial").distinct().collect()
+    all_of([(r["dataset"], r["trial"], None, partial(again, r["dataset"], r["trial"])) for r in winners])
+    rows = [(d, t, k, e) for d, t, k, e in sorted(errors, key=str)]
+    return SearchResult(long, spark.createDataFrame(rows, "dataset string, trial long, fold int, error string"), summary, best, models)

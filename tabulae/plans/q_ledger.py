@@ -8,6 +8,7 @@ the reference writes one JSON file per experiment for.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.scorers import LinearScorer
 from ..operators import ledger as L
 from ..operators import metrics as M
+from ..operators import models as MD
 from ..operators import search as H
 from ..operators.split import repeated_splits, stratified_kfold
 from ..session import ensure_checkpoint_dir, reuse
 from ..sources import results as S
 from ..sources.tables import read_table
 from .catalog import finish, register
-from .fixtures import (DOC_SCORER, LINEITEM_ALT_SCORERS, LINEITEM_KEY, LINEITEM_SCORER, LINEITEM_TIES,
-                       document_features, document_features_sql, scored_lineitem, scored_lineitem_sql)
+from .fixtures import (DOC_FEATURES, DOC_SCORER, LINEITEM_ALT_SCORERS, LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_SCORER,
+                       LINEITEM_TIES, document_features, document_features_sql, scored_lineitem, scored_lineitem_sql)
 from .sqlparts import R, evaluate_long_sql, hash_rank_expr, stratified_sql
 
 N_RUNS = 3
@@ -295,3 +297,91 @@ def ledger_roundtrip_summary(spark, d):
     S.write_results(S.results_documents(res), out_dir)
     back = S.read_results(spark, out_dir)
     return finish(L.results_table(S.results_to_long(back), METRICS, keep_numeric=False))
+
+
+# ------------------------------------------------- searches that train their candidates
+FIT_GRID = {"prior": ["empirical", "equal"], "shrink": [0.0, 0.5, 4.0]}
+
+
+def _fit_sets(spark, d):
+    """Folded training rows of both datasets (functions: made when searched)."""
+    def documents():
+        t = document_features(spark, d).where(F.col("split") == "train").select("doc_id", "label", *DOC_FEATURES)
+        return stratified_kfold(t, "label", ["doc_id"], k=N_FOLDS, seed=7)
+
+    def lineitem():
+        t = scored_lineitem(spark, d, keep_features=True).where(F.col("split") == "train").drop("split")
+        return stratified_kfold(t, "label", LINEITEM_KEY, k=N_FOLDS, seed=7, tie_cols=LINEITEM_TIES).drop("p", "pred")
+    return {"documents": documents, "lineitem": lineitem}
+
+
+def _fit_discriminants(spark, d, sets, features):
+    return H.fit_search(
+        sets, H.candidate_grid(spark, FIT_GRID),
+        lambda rows, params: MD.train_discriminant(rows, [f for f in features if f in rows.columns], "label",
+                                                   float(params["shrink"]), params["prior"], decimals=6),
+        lambda model, rows: model.score(rows.select("label", *model.features), "p"), refit=REFIT, decimals=R)
+
+
+def _fit_sql(name: str) -> str:
+    """Fold scores of the discriminants of one dataset, trained in SQL."""
+    if name == "documents":
+        src, feats = f"(SELECT * FROM {document_features_sql()} WHERE split = 'train')", DOC_FEATURES
+        rank = hash_rank_expr(["doc_id"], ["label"], 7)
+    else:
+        src, feats = f"(SELECT * FROM {scored_lineitem_sql(keep_features=True)} WHERE split = 'train')", LINEITEM_FEATURES
+        rank = hash_rank_expr(LINEITEM_KEY, ["label"], 7, tie_cols=LINEITEM_TIES)
+    cands = ", ".join(f"({i}, '{p}', {s!r}::DOUBLE)" for i, (p, s) in enumerate(itertools.product(*FIT_GRID.values())))
+    x = {f: f"CAST({f} AS DOUBLE)" for f in feats}
+    stats = ", ".join(f"avg({x[f]}) FILTER (WHERE label = 1) AS a_{f}, avg({x[f]}) FILTER (WHERE label <> 1) AS b_{f}, "
+                      f"var_pop({x[f]}) AS v_{f}" for f in feats)
+    weight = {f: f"coalesce((a_{f} - b_{f}) / nullif(v_{f} + shrink, 0), 0)" for f in feats}
+    z = " + ".join(f"{weight[f]} * ({x[f]} - (a_{f} + b_{f}) / 2)" for f in feats)
+    p = f"round(1.0 / (1.0 + exp(-(CASE WHEN prior = 'empirical' THEN ln(n1 / n0) ELSE 0 END + {z}))), 6)"
+    rows = f"(SELECT label, {', '.join(feats)}, (({rank}) - 1) % {N_FOLDS} AS fold FROM {src})"
+    scored = f"""(SELECT trial, r.fold, label, {p} AS p, CAST({p} >= 0.5 AS INTEGER) AS pred
+      FROM {rows} r JOIN (
+        SELECT g.fold, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE label <> 1) AS DOUBLE) AS n0,
+               {stats}
+        FROM {rows} o JOIN (SELECT unnest(range({N_FOLDS})) AS fold) g ON o.fold <> g.fold GROUP BY g.fold) m ON r.fold = m.fold,
+      (VALUES {cands}) AS c(trial, prior, shrink))"""
+    return f"""(SELECT '{name}' AS dataset, trial, fold, metric, value FROM ({evaluate_long_sql(scored, ['trial', 'fold'], extra=False)})
+       WHERE metric IN ('roc_auc', 'pr_auc', 'f1', 'brier_score'))"""
+
+
+@register("search_fit_scores", f"""SELECT dataset, CAST(trial AS BIGINT) AS trial, CAST(fold AS BIGINT) AS fold, metric, value
+FROM {_fit_sql('documents')}""")
+def search_fit_scores(spark, d):
+    """Every fold's scores of every trained candidate (discriminants) on the documents."""
+    found = _fit_discriminants(spark, d, {"documents": _fit_sets(spark, d)["documents"]}, DOC_FEATURES)
+    return finish(found.scores)
+
+
+@register("search_fit_all", f"""WITH s AS (
+  SELECT dataset, trial, avg(value) AS mean FROM (SELECT * FROM {_fit_sql('documents')} UNION ALL SELECT * FROM {_fit_sql('lineitem')})
+  WHERE metric = '{REFIT}' GROUP BY dataset, trial)
+SELECT dataset, CAST(trial AS BIGINT) AS trial, round(mean, {R}) AS best_score, NULL::VARCHAR AS error FROM s
+QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(mean, {R}) DESC, trial) = 1
+UNION ALL SELECT 'broken', NULL, NULL, 'ValueError: a search needs two folds at least'""")
+def search_fit_all(spark, d):
+    """The same search on two datasets and on one that cannot be folded: the best
+    trained candidate of each, or why there is none."""
+    sets = _fit_sets(spark, d)
+    sets["broken"] = lambda: sets["documents"]().where("fold = 0")
+    found = _fit_discriminants(spark, d, sets, [*DOC_FEATURES, *LINEITEM_FEATURES])
+    return finish(found.best.select("dataset", "trial", "best_score", F.lit(None).cast("string").alias("error")).unionByName(
+        found.errors.select("dataset", "trial", F.lit(None).cast("double").alias("best_score"), "error")))
+
+
+@register("search_trials_gbt")
+def search_trials_gbt(spark, d):
+    """Boosted trees by trials: 4 draws with replacement from a grid, 3 folds each,
+    and the best candidate fitted again on all training rows."""
+    grid = H.candidate_grid(spark, {"maxDepth": [2, 3, 4], "maxIter": [5, 10], "stepSize": [0.1, 0.3]})
+    found = H.fit_search(
+        {"documents": _fit_sets(spark, d)["documents"]}, reuse(H.random_candidates(grid, 4, seed=42, replacement=True)),
+        lambda rows, params: MD.train_boosted_trees(rows, DOC_FEATURES, "label", params={
+            k: float(v) if k == "stepSize" else int(v) for k, v in params.items()}),
+        lambda model, rows: MD.predict_proba(model, rows), refit="roc_auc")
+    trees = found.models["documents"].stages[-1].getNumTrees
+    return finish(found.summary.withColumn("refit_trees", F.lit(trees).cast("long")))
