@@ -10,7 +10,11 @@ sums with the bucketed primitive, so no group is ever sorted in one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -316,17 +320,110 @@ def improvement(long: DataFrame, baseline: str, candidate: str, model: str = "mo
                     (F.lit(100.0) * (F.col("candidate") - F.col("baseline"))).alias("improvement"))
 
 
-def fit_isotonic(df: DataFrame, label: str = "label", score: str = "p"):
-    """Isotonic p -> calibrated p (Spark ML PAV; clips outside the fitted range)."""
-    from pyspark.ml.regression import IsotonicRegression
-    return IsotonicRegression(featuresCol=score, labelCol=label, isotonic=True).fit(
-        df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label)))
-
-
-def apply_isotonic(model, df: DataFrame, score: str = "p", out: str = "p_cal") -> DataFrame:
-    pred_col = model.getPredictionCol()
-    scored = model.setFeaturesCol(score).transform(df)
-    return scored.withColumnRenamed(pred_col, out) if pred_col != out else scored
+# Neighbouring ranges that an isotonic fit merges at a time, and blocks that it may
+# end with: they are broadcast to apply it (16 bytes each).
+ISOTONIC_FAN_IN, MAX_BLOCKS = 8, 1 << 20
+
+
+@dataclass(frozen=True)
+class IsotonicFit:
+    """Non-decreasing map of scores: linear between ``boundaries``, constant
+    outside."""
+
+    boundaries: np.ndarray
+    predictions: np.ndarray
+
+
+def pool_violators(low: np.ndarray, high: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Blocks (lowest score, highest, sum of labels, weight) in ascending order of
+    scores, with neighbours pooled until the means rise strictly. Pooling what
+    was pooled range by range gives the blocks of the whole, so blocks merge."""
+    out: list[list[float]] = []
+    for block in zip(low.tolist(), high.tolist(), total.tolist(), weight.tolist(), strict=True):
+        block = list(block)
+        while out and out[-1][2] * block[3] >= block[2] * out[-1][3]:
+            first = out.pop()
+            block = [first[0], block[1], first[2] + block[2], first[3] + block[3]]
+        out.append(block)
+    return [np.array(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+
+
+_BLOCK_COLUMNS = ["low", "high", "total", "weight"]
+
+
+def isotonic_blocks(df: DataFrame, label: str = "label", score: str = "p", weight: str | None = None) -> DataFrame:
+    """(low, high, total, weight): the blocks of the isotonic regression of
+    ``label`` on ``score``, by pool-adjacent-violators.
+
+    Rows collapse to one per distinct score (partial sums first, so a score that
+    most rows share is one row). Scores are dealt by range; each range pools its
+    own violators, and neighbouring ranges' blocks are merged and pooled again,
+    ``ISOTONIC_FAN_IN`` at a time, until one list is left. Only blocks travel
+    after the first pass, and nothing reaches the driver. Rows with a null label or
+    weight, a null or NaN score or no positive weight take no part."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(F.col(score).cast("double").alias("low"), F.col(label).cast("double").alias("y"), w.alias("w"))
+    rows = rows.where("low IS NOT NULL AND NOT isnan(low) AND y IS NOT NULL AND w > 0")
+    hist = rows.groupBy("low").agg(F.sum(F.col("y") * F.col("w")).alias("total"), F.sum("w").alias("weight"))
+    ranges = hist.repartitionByRange(F.col("low")).sortWithinPartitions("low")
+
+    def pooled(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(_BLOCK_COLUMNS, pool_violators(*[pdf[c].to_numpy() for c in _BLOCK_COLUMNS]))))
+
+    def local(batches):
+        part, parts = TaskContext.get().partitionId(), [pdf for pdf in batches if len(pdf)]
+        if parts:
+            pdf = pd.concat(parts)
+            yield pooled(pdf.assign(high=pdf["low"])).assign(range=part)
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pooled(pdf.sort_values("low")).assign(range=key[0])
+
+    schema = "low double, high double, total double, weight double, range long"
+    blocks = reuse(ranges.mapInPandas(local, schema))
+    left = (blocks.agg(F.max("range")).first()[0] or 0) + 1
+    while left > 1:
+        blocks = (blocks.withColumn("range", F.expr(f"range div {ISOTONIC_FAN_IN}")).groupBy("range")
+                  .applyInPandas(merged, schema))
+        left = -(-left // ISOTONIC_FAN_IN)
+    return blocks.drop("range")
+
+
+def fit_isotonic(df: DataFrame, label: str = "label", score: str = "p", weight: str | None = None) -> IsotonicFit:
+    """Isotonic p -> calibrated p from ``isotonic_blocks``: a block's mean holds from
+    its lowest to its highest score. No usable rows are an error."""
+    blocks = reuse(isotonic_blocks(df, label, score, weight))
+    n = blocks.count()
+    if not 0 < n <= MAX_BLOCKS:
+        raise ValueError("no rows to calibrate on" if not n else f"{n} blocks: round the scores first")
+    pdf = blocks.orderBy("low").toPandas()
+    mean = (pdf["total"] / pdf["weight"]).to_numpy()
+    ends = np.stack([pdf["low"], pdf["high"]], axis=1)
+    keep = np.stack([np.ones(n, bool), ends[:, 0] < ends[:, 1]], axis=1)
+    return IsotonicFit(ends[keep], np.repeat(mean[:, None], 2, axis=1)[keep])
+
+
+def apply_isotonic(model: IsotonicFit, df: DataFrame, score: str = "p", out: str = "p_cal") -> DataFrame:
+    """Adds ``out``: the calibrated score (null for a null or NaN score)."""
+    shared = df.sparkSession.sparkContext.broadcast((model.boundaries, model.predictions))
+
+    @F.pandas_udf("double")
+    def calibrated(p: pd.Series) -> pd.Series:
+        x, y = shared.value
+        return pd.Series(np.where(p.isna(), np.nan, np.interp(p.to_numpy(dtype=float), x, y)))
+
+    return df.withColumn(out, F.nanvl(calibrated(F.col(score).cast("double")), F.lit(None).cast("double")))
+
+
+def calibrated_metrics(calibration: DataFrame, test: DataFrame, groups: Sequence[str] = (), label: str = "label",
+                       score: str = "p", threshold: float = 0.5, metrics: Sequence[str] = DEFAULT_METRICS) -> DataFrame:
+    """``evaluate_by`` of ``test`` before and after the isotonic fit of
+    ``calibration`` (key column ``calibrated``)."""
+    after = apply_isotonic(fit_isotonic(calibration, label, score), test, score, "_calibrated")
+    keep = [*groups, F.col(label).alias(label)]
+    both = after.select(*keep, F.col(score).cast("double").alias(score), F.lit(False).alias("calibrated")).unionByName(
+        after.select(*keep, F.col("_calibrated").alias(score), F.lit(True).alias("calibrated")))
+    return evaluate_by(both, [*groups, "calibrated"], label, score, threshold=threshold, metrics=metrics)
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], groups: Sequence[str], name: str = "rn") -> DataFrame:

@@ -280,10 +280,20 @@ def eval_calibrated_metrics(spark, d):
     s = scored_lineitem(spark, d)
     train = random_holdout(s.where(F.col("split") == "train"), LINEITEM_KEY, 0.2, seed=42,
                            tie_cols=LINEITEM_TIES)
-    iso = M.fit_isotonic(train.where("holdout"), "label", "p")
     test = s.where(F.col("split") == "test")
-    cal = M.apply_isotonic(iso, test, "p", "p_cal").withColumn("pred_cal", M.threshold_labels("p_cal"))
-    raw = M.evaluate_by(test, pred="pred").withColumn("calibrated", F.lit(False))
-    calm = M.evaluate_by(cal.select("label", F.col("p_cal").alias("p"), F.col("pred_cal").alias("pred")),
-                         pred="pred").withColumn("calibrated", F.lit(True))
-    return finish(raw.unionByName(calm))
+    return finish(M.calibrated_metrics(train.where("holdout"), test))
+
+
+@register("eval_isotonic", f"""WITH h AS (
+  SELECT floor(p * 100) / 100 AS score, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n FROM {scored_lineitem_sql()} GROUP BY 1),
+c AS (SELECT row_number() OVER (ORDER BY score) AS i, score, sum(y) OVER (ORDER BY score) AS cy, sum(n) OVER (ORDER BY score) AS cn,
+             y, n FROM h),
+span AS (SELECT a.i AS a, b.i AS b, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+low AS (SELECT c.i, c.score, s.a, min(s.mean) AS least FROM c JOIN span s ON s.a <= c.i AND s.b >= c.i GROUP BY ALL)
+SELECT score, round(max(least), {R}) AS calibrated FROM low GROUP BY score""")
+def eval_isotonic(spark, d):
+    """Isotonic calibration of every lineitem score (cut to 2 decimals): the
+    calibrated value of each score."""
+    s = scored_lineitem(spark, d).withColumn("p", F.floor(F.col("p") * 100) / 100)
+    scores = s.select(F.col("p").alias("score")).distinct()
+    return finish(M.apply_isotonic(M.fit_isotonic(s, "label", "p"), scores, "score", "calibrated"))
