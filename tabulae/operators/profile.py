@@ -11,8 +11,13 @@ aggregate (linear interpolation, like ``quantile_cont``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.running import group_totals, running_sums
@@ -76,16 +81,118 @@ def class_distribution(df: DataFrame, label: str) -> DataFrame:
         label, "count", (F.col("count") / F.col("tot_count")).alias("share"))
 
 
+# Columns of a block of cross products, and tasks' sums that are merged at a time.
+GRAM_BLOCK, GRAM_FAN_IN = 64, 32
+
+
+@dataclass
+class CrossSums:
+    """Sums over the rows in which both of two columns have a value, for a block
+    of columns a by a block of columns b: how many, of a, of b, of their
+    squares and of their products, all as differences from ``centre``."""
+
+    centre: tuple[np.ndarray, np.ndarray]
+    n: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    aa: np.ndarray
+    bb: np.ndarray
+    ab: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, centre: tuple[np.ndarray, np.ndarray]) -> CrossSums:
+        (x, m), (y, k) = ((np.where(np.isnan(v), 0.0, v - c), (~np.isnan(v)).astype(float)) for v, c in zip((x, y), centre))
+        return cls(centre, m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y)
+
+    def moved(self, centre: tuple[np.ndarray, np.ndarray]) -> CrossSums:
+        """The same sums from another centre."""
+        p, q = (self.centre[0] - centre[0])[:, None], (self.centre[1] - centre[1])[None, :]
+        return CrossSums(centre, self.n, self.a + self.n * p, self.b + self.n * q, self.aa + 2 * p * self.a + self.n * p * p,
+                         self.bb + 2 * q * self.b + self.n * q * q, self.ab + p * self.b + q * self.a + self.n * p * q)
+
+    def plus(self, other: CrossSums) -> CrossSums:
+        o = other.moved(self.centre)
+        return CrossSums(self.centre, self.n + o.n, self.a + o.a, self.b + o.b, self.aa + o.aa, self.bb + o.bb, self.ab + o.ab)
+
+    def correlation(self) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = self.n * self.aa - self.a ** 2, self.n * self.bb - self.b ** 2
+            r = (self.n * self.ab - self.a * self.b) / np.sqrt(u * v)
+        return np.where((u > 0) & (v > 0), np.clip(r, -1, 1), np.nan)
+
+    def pack(self) -> bytes:
+        return b"".join(x.tobytes() for x in (*self.centre, self.n, self.a, self.b, self.aa, self.bb, self.ab))
+
+    @classmethod
+    def unpack(cls, data: bytes, p: int, q: int) -> CrossSums:
+        x = np.frombuffer(data)
+        return cls((x[:p], x[p:p + q]), *x[p + q:].reshape(6, p, q))
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair (a, b), a != b, long form;
-    one aggregation job holding d*(d-1)/2 correlation states."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(
-        *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    stacked = F.stack(F.lit(2 * len(pairs)), *[
-        x for a, b in pairs for x in (F.lit(a), F.lit(b), F.col(f"`{a}|{b}`"),
-                                      F.lit(b), F.lit(a), F.col(f"`{a}|{b}`"))])
-    return row.select(stacked.alias("a", "b", "corr"))
+    """Pearson correlation of every ordered pair (a, b), a != b, long form, over
+    the rows in which both have a value (NaN counts as none; null where a column
+    does not vary there).
+
+    One scan: every task adds up cross products of its Arrow batches as matrix
+    products, block of columns by block of columns, from a centre of its own (so
+    large means cost no digits). The blocks' sums are merged ``GRAM_FAN_IN`` tasks
+    at a time; what is shuffled is d^2 numbers a task, whatever the rows."""
+    names, d = list(cols), len(cols)
+    if d < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    starts = list(range(0, d, GRAM_BLOCK))
+    width = {i: min(GRAM_BLOCK, d - i) for i in starts}
+
+    def local(batches):
+        sums: dict[tuple[int, int], CrossSums] = {}
+        centre = np.full(d, np.nan)
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            # The first value of each column: a constant one leaves exact zeros.
+            first = np.argmax(~np.isnan(x), axis=0) if len(x) else np.zeros(d, int)
+            seen = x[first, np.arange(d)] if len(x) else np.full(d, np.nan)
+            new = np.where(np.isnan(centre), seen, centre)
+            moved, centre = np.isnan(centre) & ~np.isnan(new), new
+            at = np.where(np.isnan(centre), 0.0, centre)
+            for i in starts:
+                for j in starts[starts.index(i):]:
+                    p, q = slice(i, i + width[i]), slice(j, j + width[j])
+                    part = CrossSums.of(x[:, p], x[:, q], (at[p], at[q]))
+                    old = sums.get((i, j))
+                    sums[i, j] = part if old is None else part.plus(old) if moved.any() else old.plus(part)
+        task = TaskContext.get().partitionId()
+        if sums:
+            yield pd.DataFrame({"i": [k[0] for k in sums], "j": [k[1] for k in sums], "task": [task] * len(sums),
+                                "sums": [x.pack() for x in sums.values()]})
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = width[int(key[0])], width[int(key[1])]
+        total = None
+        for data in pdf["sums"]:
+            part = CrossSums.unpack(data, p, q)
+            total = part if total is None else total.plus(part)
+        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "task": [key[2]], "sums": [total.pack()]})
+
+    def pairs(batches):
+        for pdf in batches:
+            for i, j, data in zip(pdf["i"], pdf["j"], pdf["sums"]):
+                r = CrossSums.unpack(data, width[i], width[j]).correlation()
+                at = [(a, b) for a in range(width[i]) for b in range(width[j]) if i < j or a < b]
+                value = np.array([r[a, b] for a, b in at])
+                left, right = [names[i + a] for a, _ in at], [names[j + b] for _, b in at]
+                if at:
+                    yield pd.DataFrame({"a": left + right, "b": right + left, "corr": np.tile(value, 2)})
+
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    schema = "i int, j int, task long, sums binary"
+    parts = values.mapInPandas(local, schema)
+    tasks = values.rdd.getNumPartitions()
+    while tasks > 1:
+        parts = parts.withColumn("task", F.expr(f"task div {GRAM_FAN_IN}")).groupBy("i", "j", "task").applyInPandas(merged, schema)
+        tasks = -(-tasks // GRAM_FAN_IN)
+    return parts.mapInPandas(pairs, "a string, b string, corr double").withColumn(
+        "corr", F.nanvl("corr", F.lit(None).cast("double")))
 
 
 def dataset_info(df: DataFrame, features: Sequence[str], label: str, split: str | None = None) -> DataFrame:
@@ -116,13 +223,42 @@ def target_candidates(df: DataFrame) -> DataFrame:
                       F.try_element_at(rank, F.col("column")).cast("long").alias("name_rank"))
 
 
+def binary_columns(df: DataFrame) -> DataFrame:
+    """(column, position, is_binary): whether a column has exactly two different
+    non-null values. One scan: a task keeps three values of a column at most, as
+    that many show that it is not; no exact distinct count, no shuffle of rows.
+    Zeros of either sign are one value, all NaNs one; an empty table has none."""
+    cols, types = df.columns, dict(df.dtypes)
+    def text(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        return ((x + F.lit(0.0)) if types[c] in ("float", "double") else x).cast("string").alias(f"c{cols.index(c)}")
+
+    def sketch(batches):
+        seen: list[dict] = [{} for _ in cols]
+        for batch in batches:
+            for i, kept in enumerate(seen):
+                if len(kept) < 3:
+                    for v in batch.column(i).unique().to_pylist():
+                        if v is not None and len(kept) < 3:
+                            kept[v] = None
+        rows = [(i, v) for i, kept in enumerate(seen) for v in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())],
+                                         ["position", "value"])
+
+    found = (df.select(*[text(c) for c in cols]).mapInArrow(sketch, "position long, value string")
+             .groupBy("position").agg(F.count_distinct("value").alias("n")))
+    names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column string, position long")
+    return names.join(found, "position", "left").select(
+        "column", "position", F.coalesce(F.col("n") == 2, F.lit(False)).alias("is_binary"))
+
+
 def detect_target(df: DataFrame) -> tuple[str, str]:
     """Pick the target: first known name in fixed order, else the first
     column with exactly two distinct values, else the last column."""
     for name in TARGET_NAMES:
         if name in df.columns:
             return name, "name"
-    cand = target_candidates(df).where("is_binary").orderBy("position").limit(1).collect()
+    cand = binary_columns(df).where("is_binary").orderBy("position").limit(1).collect()
     if cand:
         return cand[0]["column"], "binary"
     return df.columns[-1], "last"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction_sql
 from ..operators import prep as FP
 from ..operators import profile as PR
 from ..operators import split as SP
+from ..session import ensure_checkpoint_dir
+from ..sources import files as SF
 from ..sources.tables import read_table
 from .catalog import finish, register
 from .fixtures import (DOC_FEATURES, LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_TIES,
@@ -83,6 +87,40 @@ def profile_target_candidates(spark, d):
     return finish(PR.target_candidates(read_table(spark, d, "labels").select(*_LABEL_COLS)))
 
 
+_BINARY_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"]
+
+
+@register("profile_binary_columns", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", CAST({i} AS BIGINT) AS position, count(DISTINCT {c}) = 2 AS is_binary FROM lineitem"""
+    for i, c in enumerate(_BINARY_COLS)))
+def profile_binary_columns(spark, d):
+    return finish(PR.binary_columns(read_table(spark, d, "lineitem").select(*_BINARY_COLS)))
+
+
+@register("source_read_table", """SELECT 'l_linestatus' AS target, count(*) AS n_rows, count(DISTINCT l_linestatus) AS n_classes,
+  CAST(4 AS BIGINT) AS n_columns FROM lineitem""")
+def source_read_table(spark, d):
+    """A table written as CSV, read back, and its target found by its two values."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv/{uuid.uuid4().hex}"
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_linestatus", "l_returnflag")
+    rows.write.option("header", True).csv(path)
+    df, target = SF.read_table_with_target(spark, path)
+    return finish(df.agg(F.lit(target).alias("target"), F.count("*").alias("n_rows"), F.count_distinct(target).alias("n_classes"),
+                         F.lit(len(df.columns)).cast("long").alias("n_columns")))
+
+
+@register("profile_correlation_wide", """WITH x AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT 'e' || p.i AS a, 'e' || q.i AS b, round(corr(p.v, q.v), 6) AS corr
+FROM x p JOIN x q ON p.vec_id = q.vec_id AND p.i <> q.i GROUP BY p.i, q.i""")
+def profile_correlation_wide(spark, d):
+    """All pairs of the vectors' components."""
+    emb = read_table(spark, d, "embeddings")
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0]
+    t = emb.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+    return finish(PR.correlation_matrix(t, t.columns))
+
+
 # ============================================================== F: preparation
 RARE_SHARE_PART = 0.04
 
