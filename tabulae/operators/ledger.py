@@ -78,18 +78,14 @@ def results_table(results: DataFrame, metrics: Sequence[str], decimals: int = 4,
     return wide.select(*cols).orderBy(F.col("dataset").asc_nulls_last(), F.col("model").asc_nulls_last())
 
 
-def ensure_metric_columns(df: DataFrame, metrics: Sequence[str] = PREFERRED_METRICS,
-                          decimals: int = 4) -> DataFrame:
-    """Keep formatted metric columns; build missing ones from ``_mean``/``_std``;
-    else 'NA ± NA'. Only the schema is inspected on the driver."""
-    out = df
-    for m in metrics:
-        if m in df.columns:
-            continue
-        mean = F.col(f"{m}_mean").cast("double") if f"{m}_mean" in df.columns else F.lit(None).cast("double")
-        std = F.col(f"{m}_std").cast("double") if f"{m}_std" in df.columns else F.lit(None).cast("double")
-        out = out.withColumn(m, format_mean_std(mean, std, decimals))
-    return out
+def metric_cells(columns: Sequence[str], metrics: Sequence[str] = PREFERRED_METRICS, decimals: int = 4) -> list[Column]:
+    """One column per metric of a summary with ``columns``: the formatted one where
+    it is there, else the text of its mean and deviation ('NA' for what is not)."""
+    def number(name: str) -> Column:
+        return (F.col(name) if name in columns else F.lit(None)).cast("double")
+
+    made = {m: format_mean_std(number(f"{m}_mean"), number(f"{m}_std"), decimals) for m in metrics if m not in columns}
+    return [made.get(m, F.col(m)).alias(m) for m in metrics]
 
 
 def union_summaries(parts: Sequence[DataFrame], metrics: Sequence[str] = PREFERRED_METRICS,
@@ -100,7 +96,7 @@ def union_summaries(parts: Sequence[DataFrame], metrics: Sequence[str] = PREFERR
     for p in parts:
         if "model" not in p.columns:
             raise ValueError(f"'model' column not found. Columns: {p.columns}")
-        kept.append(ensure_metric_columns(p, metrics, decimals).select("dataset", "model", *metrics))
+        kept.append(p.select("dataset", "model", *metric_cells(p.columns, metrics, decimals)))
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k, allowMissingColumns=True)

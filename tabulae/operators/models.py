@@ -111,14 +111,30 @@ def train_discriminant(df: DataFrame, features: Sequence[str], label: str = "lab
 
 
 def predict_proba(model: PipelineModel, df: DataFrame, n_classes: int = 2, out: str = "proba") -> DataFrame:
-    """Adds ``out`` (array of class probabilities), ``p`` (class 1) and ``pred``.
-    Models without probabilities (one-vs-rest) give the hard label as score."""
+    """Adds ``out`` (array of class probabilities), ``p`` (class 1, or the largest
+    with more classes) and ``pred``. One-vs-rest models score every row by each
+    of their binary models; the probabilities of their classes are scaled to sum
+    to one. Models without any give the hard label as score."""
     if isinstance(model, SoftmaxStudent):
         scored = df.withColumn(out, model.scorer().proba_array())
         return scored.withColumn("p", F.col(out)[1] if n_classes == 2 else F.array_max(out)).withColumn(
             "pred", (F.array_position(out, F.array_max(out)) - 1).cast("int"))
-    scored = model.transform(df)
     last = model.stages[-1]
+    if hasattr(last, "models"):
+        scored = PipelineModel(model.stages[:-1]).transform(df)
+        for k, binary in enumerate(last.models):
+            binary = binary.copy()
+            for name in ("probability", "rawPrediction", "prediction"):
+                binary._set(**{f"{name}Col": f"_{name}{k}"})
+            scored = binary.transform(scored).drop(f"_rawPrediction{k}", f"_prediction{k}")
+        each = [vector_to_array(F.col(f"_probability{k}"))[1] for k in range(len(last.models))]
+        total = sum(each[1:], each[0])
+        arr = F.array(*[F.when(total > 0, p / total).otherwise(1.0 / len(each)) for p in each])
+        scored = scored.select(*[F.col(f"`{c}`") for c in df.columns], arr.alias(out))
+        top = F.array_max(out)
+        return scored.withColumn("p", F.col(out)[1] if n_classes == 2 else top).withColumn(
+            "pred", (F.array_position(out, top) - 1).cast("int"))
+    scored = model.transform(df)
     if last.hasParam("probabilityCol") and "probability" in scored.columns:
         arr = vector_to_array(F.col(last.getProbabilityCol()))
         res = scored.withColumn(out, arr)

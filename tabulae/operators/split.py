@@ -27,13 +27,13 @@ def hash_split(df: DataFrame, cols: Sequence[str], threshold: float = 0.5,
     """train where md5(values joined by '||') as a fraction is < threshold."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns for hash split: {missing}")
+        raise ValueError(f"the split hashes columns that the table does not have: {missing}")
     res = df.withColumn(out, F.when(hash_fraction(cols) < F.lit(threshold), F.lit("train"))
                         .otherwise(F.lit("test")))
     if validate:
         counts = {r[out]: r["n"] for r in res.groupBy(out).agg(F.count(F.lit(1)).alias("n")).collect()}
         if counts.get("train", 0) < min_rows or counts.get("test", 0) < min_rows:
-            raise ValueError("Insufficient samples in hash-based partitions")
+            raise ValueError(f"a side of the split has fewer than {min_rows} rows: {counts}")
     return res
 
 

@@ -87,10 +87,60 @@ def _draw(f: str, st: dict, u_bin: Column, z: Column) -> tuple[Column, Column]:
     return bin_col, value
 
 
+# Up to this many features are chosen one by one.
+FORWARD_MAX = 6
+
+
+def ridge_on(a: np.ndarray, b: np.ndarray, used: np.ndarray, alpha: float) -> np.ndarray:
+    """Ridge weights of each row's ``used`` features from its centred normal
+    equations (the rest get 0)."""
+    both = used[:, :, None] & used[:, None, :]
+    eye = np.eye(a.shape[1])
+    m = np.where(both, a, 0.0) + eye * np.where(used, alpha, 1.0)[:, None, :]
+    return np.linalg.solve(m, np.where(used, b, 0.0)[..., None])[..., 0]
+
+
+def select_features(a: np.ndarray, b: np.ndarray, k: int, forward: bool) -> np.ndarray:
+    """Which ``k`` features each row's surrogate uses; ties go to the first."""
+    n, d = b.shape
+    if k >= d:
+        return np.ones((n, d), bool)
+    tiny = 1e-9 * (1 + np.einsum("nii->n", a).max(initial=0))
+    rows = np.arange(n)
+    if not forward:
+        order = np.argsort(-np.abs(ridge_on(a, b, np.ones((n, d), bool), 0.01)), axis=1, kind="stable")
+        used = np.zeros((n, d), bool)
+        used[rows[:, None], order[:, :k]] = True
+        return used
+    used = np.zeros((n, d), bool)
+    for _ in range(k):
+        gain = np.full((n, d), -np.inf)  # squared error explained with the feature added
+        for j in range(d):
+            tried = used.copy()
+            tried[:, j] = True
+            w = ridge_on(a, b, tried, tiny)
+            explained = 2 * (w * b).sum(axis=1) - np.einsum("ni,nij,nj->n", w, a, w)
+            gain[:, j] = np.where(used[:, j], -np.inf, explained)
+        used[rows, gain.argmax(axis=1)] = True
+    return used
+
+
 def lime_explain(rows: DataFrame, train: DataFrame, features: Sequence[str], scorer,
                  key_cols: Sequence[str], n_perturb: int = 500, seed: int = 42,
-                 stats: dict | None = None) -> DataFrame:
+                 stats: dict | None = None, num_features: int = 10, selection: str = "auto") -> DataFrame:
+    """Long (keys, feature, weight, intercept, score): per row, a weighted ridge
+    surrogate on its ``num_features`` most useful features (all, if it has no more;
+    the others have no row).
+
+    ``selection``: ``forward`` (the feature that lowers the squared error most, one
+    after the other), ``weights`` (largest weights of a fit on all), or ``auto``
+    (forward up to ``FORWARD_MAX`` features, else weights). Both work on the
+    rows' normal equations, all rows of an Arrow batch at once; the perturbed rows are
+    not read again."""
     d = len(features)
+    if selection not in ("auto", "forward", "weights"):
+        raise ValueError(f"unknown selection {selection!r}")
+    forward = selection == "forward" or (selection == "auto" and num_features <= FORWARD_MAX)
     st = stats or bin_statistics(train, features)
     cuts, bstats = st["cuts"], st["stats"]
     base = rows.select(*key_cols, *[F.col(f).cast("double").alias(f) for f in features])
@@ -137,28 +187,42 @@ def lime_explain(rows: DataFrame, train: DataFrame, features: Sequence[str], sco
                 k += 1
         mz = sz / sw[:, None]
         my = sy / sw
-        a = szz - np.einsum("ni,nj->nij", sz, sz) / sw[:, None, None] + RIDGE_ALPHA * np.eye(d)[None]
+        a = szz - np.einsum("ni,nj->nij", sz, sz) / sw[:, None, None]
         b = szy - sz * my[:, None]
-        beta = np.linalg.solve(a, b[..., None])[..., 0]
+        used = select_features(a, b, num_features, forward)
+        beta = np.where(used, ridge_on(a, b, used, RIDGE_ALPHA), 0.0)
         icpt = my - np.einsum("ni,ni->n", mz, beta)
-        return pd.Series(list(np.concatenate([beta, icpt[:, None]], axis=1)))
+        return pd.Series(list(np.concatenate([beta, icpt[:, None], used], axis=1)))
 
     coef = agg.select(*key_cols, solve(packed).alias("_c"))
     names = F.array(*[F.lit(f) for f in features])
     out = coef.select(*key_cols, F.element_at("_c", d + 1).alias("intercept"),
                       F.aggregate(F.slice("_c", 1, d), F.element_at("_c", d + 1), lambda a, x: a + x).alias("score"),
-                      F.posexplode_outer(F.slice("_c", 1, d)).alias("_i", "weight"))
+                      F.col("_c"), F.posexplode_outer(F.slice("_c", 1, d)).alias("_i", "weight"))
+    out = out.where(F.element_at("_c", F.col("_i") + d + 2) == 1.0)
     return out.select(*key_cols, F.element_at(names, F.col("_i") + 1).alias("feature"), "weight",
                       "intercept", "score")
 
 
 def lime_importance(expl: DataFrame, features: Sequence[str], key_cols: Sequence[str]) -> DataFrame:
-    """Mean |weight| per feature over explained rows (missing -> 0), sorted."""
-    imp = expl.groupBy("feature").agg(F.avg(F.abs("weight")).alias("importance"))
-    return imp.orderBy(F.col("importance").desc(), "feature")
-
-
-def lime_maps(expl: DataFrame, key_cols: Sequence[str]) -> DataFrame:
-    """feature -> signed weight map per row (features by index, not substring)."""
-    return expl.groupBy(*key_cols).agg(F.map_from_entries(F.array_sort(
+    """Mean |weight| of each of ``features`` over all explained rows, sorted; a row that
+    left a feature out counts as 0."""
+    n_rows = expl.select(*key_cols).distinct().agg(F.count("*").alias("_n"))
+    sums = expl.groupBy("feature").agg(F.sum(F.abs("weight")).alias("_s"))
+    every = expl.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    imp = every.join(sums, "feature", "left").withColumn("_k", F.lit(1)).join(
+        F.broadcast(n_rows.withColumn("_k", F.lit(1))), "_k")  # one row
+    return imp.select("feature", F.coalesce(F.col("_s") / F.col("_n"), F.lit(0.0)).alias("importance")).orderBy(
+        F.col("importance").desc(), "feature")
+
+
+def lime_maps(expl: DataFrame, key_cols: Sequence[str], features: Sequence[str] | None = None) -> DataFrame:
+    """feature -> signed weight map per row (features by index, not substring);
+    with ``features``, those that a row left out are there with 0."""
+    maps = expl.groupBy(*key_cols).agg(F.map_from_entries(F.array_sort(
         F.collect_list(F.struct("feature", "weight")))).alias("explanation"))
+    if features is None:
+        return maps
+    every = F.array(*[F.lit(f) for f in sorted(features)])
+    return maps.withColumn("explanation", F.map_from_arrays(every, F.transform(
+        every, lambda f: F.coalesce(F.try_element_at("explanation", f), F.lit(0.0)))))

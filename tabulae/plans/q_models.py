@@ -191,9 +191,32 @@ def explain_lime_importance(spark, d):
 
 @register("explain_lime_maps")
 def explain_lime_maps(spark, d):
-    return finish(SG.lime_maps(_lime(spark, d), KEY))
+    return finish(SG.lime_maps(_lime(spark, d), KEY, DOC_FEATURES))
 
 
+@register("explain_lime_selected")
+def explain_lime_selected(spark, d):
+    """Surrogates on the 2 features of each row that explain its score best, as
+    maps: the others have weight 0."""
+    t = reuse(doc_explain_table(spark, d))
+    expl = SG.lime_explain(t, t, DOC_FEATURES, EXPLAIN_SCORER, KEY, seed=42, num_features=2)
+    return finish(SG.lime_maps(expl, KEY, DOC_FEATURES))
+
+
+@register("model_multiclass_trees")
+def model_multiclass_trees(spark, d):
+    """One-vs-rest boosted trees on the vectors' 10 classes: metrics from their
+    probabilities."""
+    emb = read_table(spark, d, "embeddings")
+    dims = emb.agg(F.max(F.size("embedding"))).first()[0]
+    feats = [f"e{i}" for i in range(dims)]
+    t = reuse(emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)]))
+    model = MD.train_boosted_trees(t, feats, "label", params={"maxIter": 3, "maxDepth": 3}, n_classes=10)
+    scored = reuse(MD.predict_proba(model, t, n_classes=10))
+    w = M.weighted_label_metrics(scored, "label", "pred")
+    auc = M.roc_auc_ovr_weighted(scored, "label", "proba", 10)
+    return finish(w.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+
 
 @register("experiment_documents")
 def experiment_documents(spark, d):
