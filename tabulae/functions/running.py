@@ -57,9 +57,10 @@ def running_sums(df: DataFrame, key: str, sum_cols: Sequence[str],
                  group_cols: Sequence[str] = (), prefix: str = "cum_",
                  n_buckets: int | None = None,
                  key_range: tuple[float, float] | None = None,
-                 tie_cols: Sequence[str] = ()) -> DataFrame:
+                 tie_cols: Sequence[str] = (), totals_prefix: str | None = None) -> DataFrame:
     """Add ``prefix + c``: inclusive running sum of ``c`` in ascending ``key``
-    order within ``group_cols``.
+    order within ``group_cols``; with ``totals_prefix`` also the group's total,
+    from the same bucket sums.
 
     ``df`` should hold one row per (group, key) -- or be ordered by
     ``key`` then ``tie_cols``, which must make the order total.
@@ -72,15 +73,17 @@ def running_sums(df: DataFrame, key: str, sum_cols: Sequence[str],
     totals = keyed.groupBy(*gb).agg(*[F.sum(c).alias(c) for c in sum_cols])
     w_off = (Window.partitionBy(*group_cols).orderBy(_BUCKET)
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*gb, *[F.coalesce(F.sum(c).over(w_off), F.lit(0)).alias(f"_off_{c}")
-                                   for c in sum_cols])
+    tots = {c: f"{totals_prefix}{c}" for c in sum_cols} if totals_prefix else {}
+    whole = Window.partitionBy(*group_cols)
+    offsets = totals.select(*gb, *[F.coalesce(F.sum(c).over(w_off), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+                            *[F.sum(c).over(whole).alias(t) for c, t in tots.items()])
 
     w_in = (Window.partitionBy(*gb).orderBy(key, *tie_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = keyed.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in sum_cols])
     cond = [inner[g].eqNullSafe(offsets[g]) for g in gb]
     joined = inner.join(offsets, cond, "inner").select(
-        inner["*"], *[offsets[f"_off_{c}"] for c in sum_cols])
+        inner["*"], *[offsets[f"_off_{c}"] for c in sum_cols], *[offsets[t] for t in tots.values()])
     out = joined.select(
         *[c for c in joined.columns if not c.startswith(("_in_", "_off_")) and c != _BUCKET],
         *[(F.col(f"_off_{c}") + F.col(f"_in_{c}")).alias(prefix + c) for c in sum_cols])

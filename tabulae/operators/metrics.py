@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import group_totals, running_sums
+from ..functions.running import running_sums
 from ..session import reuse
 
 # Metric names and their report order.
@@ -101,22 +101,22 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "p",
 
 
 def binary_curve(df: DataFrame, label: str = "label", score: str = "p",
-                 groups: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
+                 groups: Sequence[str] = (), counts: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Per (group, threshold): counts at ``score >= threshold`` and the
     running totals needed by ROC-AUC, average precision and the PR curve.
 
     The score histogram (one row per group and distinct score) is the only
     thing read more than once, so it is checkpointed; the scored table is
-    scanned a single time. ``counts`` passes a histogram already built.
+    scanned a single time. ``counts`` passes a histogram already built, of
+    which the columns ``carry`` are kept.
     """
     h = counts if counts is not None else reuse(score_counts(df, label, score, groups))
-    cum = running_sums(h, score, ["pos", "neg"], groups)
-    cum = group_totals(cum, ["pos", "neg"], groups)
+    cum = running_sums(h, score, ["pos", "neg"], groups, totals_prefix="tot_")
     tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
     fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
     return cum.select(
         *groups, F.col(score).alias("threshold"), "pos", "neg", "cum_pos", "cum_neg",
-        "tot_pos", "tot_neg", tp.alias("tp"), fp.alias("fp"),
+        "tot_pos", "tot_neg", *carry, tp.alias("tp"), fp.alias("fp"),
         (tp / (tp + fp)).alias("precision"),
         F.when(F.col("tot_pos") > 0, tp / F.col("tot_pos")).otherwise(F.lit(1.0)).alias("recall"),
     )
@@ -196,55 +196,41 @@ def evaluate_by(df: DataFrame, groups: Sequence[str] = (), label: str = "label",
                 extra: Sequence[str] = ()) -> DataFrame:
     """All requested metrics per group as a long table (groups, metric, value).
 
-    One pass over the scored table builds a histogram per (group, score,
-    hard prediction) with positive / negative counts (map-side combined,
-    checkpointed); confusion counts, Brier score and the curve are all
-    derived from it. ``extra`` may hold ``precision_at_recall`` and ``f1_max``.
+    One pass over the scored table builds a histogram per (group, score) with
+    positive / negative counts, all and those predicted positive (map-side
+    combined, checkpointed). One pass over the curve of that histogram then gives
+    every metric in a single aggregate per group. ``extra`` may hold
+    ``precision_at_recall`` and ``f1_max``.
     """
-    yhat = F.col(pred) if pred else threshold_labels(score, threshold)
+    yhat = (F.col(pred) if pred else threshold_labels(score, threshold)) == 1
     y = F.col(label) == 1
-    hist = reuse(df.groupBy(*groups, F.col(score).alias(score), (yhat == 1).alias("_yhat")).agg(
-        F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg")))
-    parts = []
-    lab = [m for m in metrics if m in LABEL_METRICS]
-    if lab:
-        yh = F.col("_yhat")
-        conf = hist.groupBy(*groups).agg(
-            F.sum(F.when(yh, F.col("pos")).otherwise(0)).alias("tp"),
-            F.sum(F.when(yh, F.col("neg")).otherwise(0)).alias("fp"),
-            F.sum(F.when(~yh, F.col("pos")).otherwise(0)).alias("fn"),
-            F.sum(F.when(~yh, F.col("neg")).otherwise(0)).alias("tn"))
-        tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
-        lm = conf.select(*groups, _safe_div(tp + tn, tp + fp + fn + tn).alias("accuracy"),
-                         _safe_div(tp, tp + fp).alias("precision"), _safe_div(tp, tp + fn).alias("recall"),
-                         _safe_div(2 * tp, 2 * tp + fp + fn).alias("f1"))
-        parts.append(lm.select(*groups, *lab))
-    sco = [m for m in metrics if m in ("pr_auc", "roc_auc")]
-    curve = None
-    if sco or extra:
-        counts = hist.groupBy(*groups, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        curve = binary_curve(df, label, score, groups, counts=counts)
-    if sco:
-        parts.append(curve_metrics(curve, groups).select(*groups, *sco))
-    if "brier_score" in metrics:
-        s = F.col(score).cast("double")
-        parts.append(hist.groupBy(*groups).agg(
-            (F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s)
-             / F.sum(F.col("pos") + F.col("neg"))).alias("brier_score")))
-    if "f1_max" in extra:
-        f1 = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(F1_EPS))
-        parts.append(curve.groupBy(*groups).agg(F.greatest(F.max(f1), F.lit(0.0)).alias("f1_max")))
-    if "precision_at_recall" in extra:
-        parts.append(precision_at_recall_from_curve(curve, 0.8, groups))
-    longs = []
-    for part in parts:
-        cols = [c for c in part.columns if c not in groups]
-        stacked = F.stack(F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])
-        longs.append(part.select(*groups, stacked.alias("metric", "value")))
-    out = longs[0]
-    for x in longs[1:]:
-        out = out.unionByName(x)
-    return out
+    hist = reuse(df.groupBy(*groups, F.col(score).alias(score)).agg(
+        F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg"),
+        F.coalesce(F.sum((y & yhat).cast("long")), F.lit(0)).alias("pos_hat"),
+        F.coalesce(F.sum((~y & yhat).cast("long")), F.lit(0)).alias("neg_hat")))
+    hats = ["pos_hat", "neg_hat"]
+    if extra or any(m in ("pr_auc", "roc_auc") for m in metrics):
+        curve = binary_curve(df, label, score, groups, counts=hist, carry=hats).withColumnRenamed("threshold", "_s")
+    else:
+        curve = hist.withColumnRenamed(score, "_s")
+    tp, fp = F.sum("pos_hat").cast("double"), F.sum("neg_hat").cast("double")
+    P, N = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    precision, recall = F.col("precision"), F.col("recall")
+    reached = recall >= 0.8
+    s = F.col("_s").cast("double")
+    of = {
+        "accuracy": lambda: _safe_div(tp + N - fp, P + N), "precision": lambda: _safe_div(tp, tp + fp),
+        "recall": lambda: _safe_div(tp, P), "f1": lambda: _safe_div(2 * tp, tp + fp + P),
+        "roc_auc": lambda: F.when((P > 0) & (N > 0), F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg"))) / (P * N)),
+        "pr_auc": lambda: F.when(P > 0, F.sum(F.col("pos") * precision) / P),
+        "brier_score": lambda: F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s) / (P + N),
+        "f1_max": lambda: F.greatest(F.max(2 * precision * recall / (precision + recall + F.lit(F1_EPS))), F.lit(0.0)),
+        "precision_at_recall": lambda: F.coalesce(F.max_by(F.when(reached, precision), F.when(reached, F.col("_s"))), F.lit(0.0)),
+    }
+    names = [m for m in DEFAULT_METRICS if m in metrics] + [m for m in ("f1_max", "precision_at_recall") if m in extra]
+    wide = curve.groupBy(*groups).agg(*[of[m]().alias(f"_m_{m}") for m in names])
+    stacked = F.stack(F.lit(len(names)), *[x for m in names for x in (F.lit(m), F.col(f"_m_{m}").cast("double"))])
+    return wide.select(*groups, stacked.alias("metric", "value"))
 
 
 def roc_auc_ovr_weighted(df: DataFrame, label: str, proba: str, n_classes: int,
