@@ -23,6 +23,8 @@ RANK_ITEMS, MAX_SPACE = 200, 1 << 25
 BLOCK = 8
 # A candidate's cosine, then the checks' shares.
 MIN_COSINE, MIN_COMMON, MIN_ANSWER = 0.45, 0.6, 0.5
+# Answer words (times items) looked at together.
+MAX_USES = 1 << 17
 SEED = 13
 
 # Lower-cases A-Z and turns all but digits, letters and bytes over 127 into spaces.
@@ -134,6 +136,39 @@ class Index:
         self.blocks = np.array([max(1, round(len(w) / BLOCK)) for w in words])
         # The answer of an item: its rarest words, a quarter of the distinct ones.
         self.answers = [set(sorted(set(ws), key=lambda w: (-idf[terms[w]], w))[:max(1, len(set(ws)) // 4)]) for ws in words]
+        self.n_answers = np.array([len(a) for a in self.answers])
+        # Items by answer word: those of term t are users[uses[t]:uses[t + 1]].
+        pairs = np.array(sorted((terms[w], k) for k, a in enumerate(self.answers) for w in a), np.int64)
+        self.users, self.uses = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+
+    def _candidates(self, begin: np.ndarray, block: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """(first block of a passage, item) where the passage's surroundings can hold
+        ``MIN_ANSWER`` of the item's answer words, in order of the blocks.
+
+        The last check asks for those words anyway, so nothing is lost. Counted are
+        the items' answer words block by block (a word once a block), for slices of
+        the blocks, so that memory stays bounded however often a word is used."""
+        seen = np.unique(np.stack([block, term]), axis=1)
+        many = self.uses[seen[1] + 1] - self.uses[seen[1]]
+        seen, many = seen[:, many > 0], many[many > 0]
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // MAX_USES)) + 1
+        reach = int(self.blocks.max()) + 1
+        for lo, hi in zip(*(np.concatenate(x) for x in (([0], seen[0][cuts]), (seen[0][cuts], [n]))), strict=True):
+            near = slice(*np.searchsorted(seen[0], (lo - 1, hi + reach + 1)))
+            at, count = np.repeat(seen[0][near], many[near]), many[near]
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            item = self.users[np.repeat(self.uses[seen[1][near]], count) + inside]
+            # A passage's surroundings: one block before it, one after.
+            width = self.blocks[item] + 3
+            inside = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            start = np.repeat(at - self.blocks[item] - 1, width) + inside
+            item, at = np.repeat(item, width), np.repeat(at, width)
+            start = np.where((start >= lo) & (start < hi), start, -1)
+            text_of = np.searchsorted(begin, start, "right")
+            good = (start >= 0) & (text_of == np.searchsorted(begin, at, "right"))
+            pair, count = np.unique(start[good] * len(self.ids) + item[good], return_counts=True)
+            pair = pair[count >= MIN_ANSWER * self.n_answers[pair % len(self.ids)]]
+            yield from zip((pair // len(self.ids)).tolist(), (pair % len(self.ids)).tolist(), strict=True)
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, float, float]]:
         """(text, item, common share, answer share) of the verified matches, the
@@ -148,35 +183,31 @@ class Index:
         block, term = block[term >= 0], term[term >= 0]
         if not len(block):
             return
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        block_sum = np.zeros((n_blocks.sum(), self.space.shape[1]), np.float32)
-        block_sum[block[first]] = np.add.reduceat(self.space[term], first, axis=0)
-        text_of = np.repeat(np.arange(len(texts)), n_blocks)
-        end = (begin + n_blocks)[text_of]
         found: dict[tuple[int, int], tuple[float, float]] = {}
-        passage, have = block_sum.copy(), 1
-        for size in np.unique(self.blocks).tolist():
-            for have in range(have, size + 1):  # a block more than the item: it starts anywhere
-                inside = np.flatnonzero(np.arange(len(end)) + have < end)
-                passage[inside] += block_sum[inside + have]
-            have = size + 1
-            items = np.flatnonzero(self.blocks == size)
-            dot = passage @ self.items[items].T
-            norm = np.linalg.norm(passage, axis=1)[:, None]
-            last = -1
-            for s, j in zip(*(x.tolist() for x in np.nonzero((dot >= MIN_COSINE * norm) & (norm > 0))), strict=True):
-                d, k = int(text_of[s]), int(items[j])
-                if s != last:
-                    at = (s - int(begin[d])) * BLOCK
-                    part = words[d][max(0, at - BLOCK):at + (size + 2) * BLOCK]
-                    held, last = set(part), s
-                answer = len(self.answers[k] & held) / len(self.answers[k])
-                # No common subsequence is longer than the item's words found there.
-                if answer < MIN_ANSWER or sum(map(held.__contains__, self.words[k])) < MIN_COMMON * len(self.words[k]):
-                    continue
-                common = common_subsequence(self.words[k], part) / len(self.words[k])
-                if common >= MIN_COMMON and found.get((d, k), (0, 0)) < (common, answer):
-                    found[d, k] = common, answer
+        passages: dict[int, tuple[np.ndarray, float]] = {}  # of one start, by size
+        last, d = -1, 0
+        for s, k in self._candidates(begin, block, term, int(n_blocks.sum())):
+            if s != last:
+                last, passages = s, {}
+                d = int(np.searchsorted(begin, s, "right")) - 1  # the last text that begins there; empty ones have no blocks
+            size = int(self.blocks[k])
+            if size not in passages:  # a block more than the item: it starts anywhere
+                i, j = np.searchsorted(block, (s, min(s + size + 1, begin[d] + n_blocks[d])))
+                x = self.space[term[i:j]].sum(axis=0)
+                passages[size] = x, float(np.linalg.norm(x))
+            x, norm = passages[size]
+            if not norm or x @ self.items[k] < MIN_COSINE * norm:
+                continue
+            at = (s - int(begin[d])) * BLOCK
+            part = words[d][max(0, at - BLOCK):at + (size + 2) * BLOCK]
+            held = set(part)
+            answer = len(self.answers[k] & held) / len(self.answers[k])
+            # No common subsequence is longer than the item's words found there.
+            if answer < MIN_ANSWER or sum(map(held.__contains__, self.words[k])) < MIN_COMMON * len(self.words[k]):
+                continue
+            common = common_subsequence(self.words[k], part) / len(self.words[k])
+            if common >= MIN_COMMON and found.get((d, k), (0, 0)) < (common, answer):
+                found[d, k] = common, answer
         for (d, k), (common, answer) in found.items():
             yield d, k, common, answer
 
@@ -209,7 +240,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     The latent space is that of the benchmark's TF-IDF passages, idf counted
     over all documents. A document's passages, of each item length and one
-    block of words apart, are folded in; those at cosine ``MIN_COSINE`` or more
+    block of words apart, are folded in where they can hold ``MIN_ANSWER`` of an
+    item's answer words; those at cosine ``MIN_COSINE`` or more
     are candidates. A candidate is a leak when its longest common subsequence with the item's words covers ``MIN_COMMON`` of them, and ``MIN_ANSWER`` of
     the item's answer words (its rarest) are found in it; so changed, missing
     and added words don't hide it. ``items`` lists the leaked items, sorted;

@@ -41,7 +41,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.train(docs, table(spark, sf_dir, "labels"), sorted(MIX_WEIGHTS))
-    return mixing.mix(docs, model, MIX_WEIGHTS).select("doc_id", "n_tokens", "posteriors", "rate", "copies")
+    return mixing.mix(docs, model, MIX_WEIGHTS).select("doc_id", "n_tokens", "posteriors", "rate", "copies", "unmet")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

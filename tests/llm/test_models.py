@@ -138,6 +138,42 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(df.limit(0), model, {"a": 1.0}).count() == 0
 
 
+def test_leaks_equal_every_passage_against_every_item():
+    """Answer words first loses nothing: all passages and items, one by one."""
+    rng = random.Random(9)
+    voc = [f"w{i}".encode() for i in range(150)]
+    items = [rng.choices(voc, k=rng.randint(1, 60)) for _ in range(25)]
+    terms = {w: k for k, w in enumerate(sorted({w for x in items for w in x}))}
+    idf = np.array([1 + rng.random() for _ in terms])
+    space = np.linalg.qr(np.random.default_rng(1).standard_normal((len(terms), 40)))[0]
+    index = decontaminate.Index(list(range(25)), items, terms, idf, space)
+    texts = [b"", b"!?", b" ".join(voc * 3)]
+    for i in range(40):
+        x = rng.choices(voc + [b"unknown"], k=rng.randint(0, 120))
+        x[5:5] = [w for w in items[i % 25] if rng.random() < 0.8]
+        texts.append(b" ".join(x))
+    size, want = decontaminate.BLOCK, {}
+    for d, t in enumerate(texts):
+        w = decontaminate.words_of(t)
+        for k, item in enumerate(items):
+            n = int(index.blocks[k])
+            for s in range(0, len(w), size):
+                x = sum((index.space[terms[v]] for v in w[s:s + (n + 1) * size] if v in terms), np.zeros(40, np.float32))
+                part = w[max(0, s - size):s + (n + 2) * size]
+                common = decontaminate.common_subsequence(item, part) / len(item)
+                answer = len(index.answers[k] & set(part)) / len(index.answers[k])
+                if (np.linalg.norm(x) and x @ index.items[k] >= decontaminate.MIN_COSINE * np.linalg.norm(x)
+                        and common >= decontaminate.MIN_COMMON and answer >= decontaminate.MIN_ANSWER):
+                    want[d, k] = max(want.get((d, k), (0, 0)), (common, answer))
+    for uses in (decontaminate.MAX_USES, 7):
+        held, decontaminate.MAX_USES = decontaminate.MAX_USES, uses
+        try:
+            assert {(d, k): (c, a) for d, k, c, a in index.matches(texts)} == want
+        finally:
+            decontaminate.MAX_USES = held
+    assert len(want) > 25
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rows = [(i, "copy" * 20, "a", "b") for i in range(150)] + [(i, "t" * (i % 90), "a", "b") for i in range(150, 400)] + ODD[:4]
     got = sharding.shard(_docs(spark, rows), 8).collect()
