@@ -2,9 +2,11 @@
 
 Random draws of the reference become md5 hash orders: a row's position in
 ``order_hash(key, seed)`` order (ties broken by the key) replaces a shuffled
-index. Positions come from the bucketed running sum, so a class holding a
-third of all rows still spreads over many tasks. Only per-class counts
-(one row per class) are aggregated to size each side.
+index. Splits need no position, only the n-th hash of a class: it is found from
+a histogram of the hashes and one bucket of them, and compared with in a map-only
+pass, so no full row is shuffled. Folds need each row's position, which comes
+from the bucketed running sum, so that a class holding a third of all rows still
+spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -13,13 +15,16 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import ORDER_HASH_BITS, hash_fraction, order_hash
 from ..functions.running import running_sums
+from ..session import discard, reuse
 
 _H = "_h"
+# Buckets of the hash order that a cut is looked for in, as a power of two.
+CUT_BITS = 16
 
 
 def hash_split(df: DataFrame, cols: Sequence[str], threshold: float = 0.5,
@@ -61,6 +66,10 @@ def class_allocation(df: DataFrame, label: str, test_size: float,
     classes by floor of the proportional share, then one extra row to the
     classes with the largest remainders (ties: smaller class value first)."""
     counts = df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n_class"))
+    return _allocate(counts, label, test_size, groups)
+
+
+def _allocate(counts: DataFrame, label: str, test_size: float, groups: Sequence[str]) -> DataFrame:
     w_all = Window.partitionBy(*groups)
     n = F.sum("n_class").over(w_all)
     n_test = F.ceil(F.lit(float(test_size)) * n)
@@ -76,20 +85,60 @@ def class_allocation(df: DataFrame, label: str, test_size: float,
                         .cast("long").alias("n_test_class"))
 
 
+def _first_in_order(df: DataFrame, on: Sequence[str], key_cols: Sequence[str], seed: int, seed_col: str | None,
+                    tie_cols: Sequence[str], wanted) -> tuple[DataFrame, Column]:
+    """``df`` and a flag: is the row among the first of its class (``on``) in hash
+    order? ``wanted`` turns the class counts (on, ``n_class``) into (on, ``_want``).
+
+    1. a histogram of the hashes' leading bits per class, in one narrow scan;
+    2. its running sums tell the bucket that holds the wanted position;
+    3. only that bucket's hashes and keys are ordered, for the exact cut;
+    4. rows compare themselves with their class's cut, one row a class: Spark
+       broadcasts that table if its written size allows.
+    """
+    ties = [*key_cols, *tie_cols]
+    seeds = [F.col(seed_col)] if seed_col else []
+    h = order_hash([*seeds, *key_cols], int(seed))
+    order = F.struct(h.alias("h"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(ties)])
+    names = [f"_on{i}" for i in range(len(on))]
+    narrow = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(on, names, strict=True)], order.alias("_order"))
+    narrow = narrow.withColumn("_bucket", F.shiftright("_order.h", ORDER_HASH_BITS - CUT_BITS).cast("int"))
+    counts = reuse(narrow.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("n")))
+    back = counts.groupBy(*names).agg(F.sum("n").alias("n_class"))
+    want = wanted(back.select(*[F.col(n).alias(c) for n, c in zip(names, on, strict=True)], "n_class"))
+    want = want.select(*[F.col(f"`{c}`").alias(f"_w{i}") for i, c in enumerate(on)], "_want")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*names).orderBy("_bucket")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.withColumn("_before", before)
+    hit = sums.join(want, _same(sums, names, want, "_w")).where("_before < _want and _want <= _before + n")
+    hit = reuse(hit.select(*[F.col(n).alias(f"_c{i}") for i, n in enumerate(names)], F.col("_bucket").alias("_cb"),
+                           (F.col("_want") - F.col("_before")).alias("_nth")))
+    inside = narrow.join(hit, _same(narrow, names, hit, "_c") & (narrow["_bucket"] == hit["_cb"]))
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("_order"))
+    cut = reuse(inside.withColumn("_n", nth).where("_n = _nth").select(
+        *[F.col(n).alias(f"_c{i}") for i, n in enumerate(names)], F.col("_order").alias("_cut")))
+    discard(counts, hit)
+    joined = df.join(cut, _same(df, on, cut, "_c"), "left").drop(*[f"_c{i}" for i in range(len(on))])
+    return joined, F.coalesce(order <= F.col("_cut"), F.lit(False))
+
+
+def _same(left: DataFrame, cols: Sequence[str], right: DataFrame, prefix: str) -> Column:
+    """Null-safe equality of ``cols`` with ``prefix0``, ``prefix1``, ...; rows
+    with a null label or group are a class of their own."""
+    return reduce(and_, [left[f"`{c}`"].eqNullSafe(right[f"{prefix}{i}"]) for i, c in enumerate(cols)], F.lit(True))
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
                      test_size: float = 0.2, seed: int = 42, out: str = "split",
                      groups: Sequence[str] = (), seed_col: str | None = None,
                      tie_cols: Sequence[str] = ()) -> DataFrame:
     """Class-proportional train/test: the first n_test rows of each class in
-    hash order are test."""
-    alloc = class_allocation(df, label, test_size, groups)
-    ranked = hash_rank(df, key_cols, seed, [*groups, label], "_rank", seed_col, tie_cols)
-    on = [*groups, label]  # null-safe: rows with a null label or group are a class of their own
-    alloc = alloc.select(*[F.col(f"`{c}`").alias(f"_a_{c}") if c in on else F.col(f"`{c}`") for c in alloc.columns])
-    same = [ranked[c].eqNullSafe(alloc[f"_a_{c}"]) for c in on]
-    j = ranked.join(alloc, reduce(and_, same)).drop(*[f"_a_{c}" for c in on])
-    return j.withColumn(out, F.when(F.col("_rank") <= F.col("n_test_class"), F.lit("test"))
-                        .otherwise(F.lit("train"))).drop("_rank", "n_class", "n_test_class")
+    hash order are test. Rows alike in ``key_cols`` and ``tie_cols`` share a side."""
+    def wanted(counts: DataFrame) -> DataFrame:
+        return _allocate(counts, label, test_size, groups).withColumnRenamed("n_test_class", "_want")
+
+    joined, first = _first_in_order(df, [*groups, label], key_cols, seed, seed_col, tie_cols, wanted)
+    return joined.withColumn(out, F.when(first, F.lit("test")).otherwise(F.lit("train"))).drop("_cut")
 
 
 def stratified_kfold(df: DataFrame, label: str, key_cols: Sequence[str], k: int = 5,
@@ -111,14 +160,13 @@ def repeated_stratified_kfold(df: DataFrame, label: str, key_cols: Sequence[str]
 
 def random_holdout(df: DataFrame, key_cols: Sequence[str], fraction: float, seed: int = 42,
                    out: str = "holdout", tie_cols: Sequence[str] = ()) -> DataFrame:
-    """Flag int(n * fraction) rows (first in hash order) as holdout."""
-    n = df.groupBy().agg(F.count(F.lit(1)).alias("_n"))
-    ranked = hash_rank(df, key_cols, seed, (), "_rank", tie_cols=tie_cols)
-    # A global count is one row: a bounded broadcast.
-    j = ranked.withColumn("_one_", F.lit(1)).join(
-        F.broadcast(n.withColumn("_one_", F.lit(1))), "_one_")
-    return j.withColumn(out, F.col("_rank") <= F.floor(F.col("_n") * F.lit(float(fraction)))).drop(
-        "_rank", "_n", "_one_")
+    """Flag int(n * fraction) rows (first in hash order) as holdout; rows alike in
+    ``key_cols`` and ``tie_cols`` share a side."""
+    def wanted(counts: DataFrame) -> DataFrame:
+        return counts.select(F.floor(F.col("n_class") * F.lit(float(fraction))).alias("_want"))
+
+    joined, first = _first_in_order(df, [], key_cols, seed, None, tie_cols, wanted)
+    return joined.withColumn(out, first).drop("_cut")
 
 
 def repeated_splits(df: DataFrame, label: str, key_cols: Sequence[str], n_runs: int = 10,

@@ -71,3 +71,39 @@ def test_per_fold_scale_with_a_large_offset(spark):
     assert len(out) == 300
     mean = sum(xs) / len(xs)
     assert abs((sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5 - 1) < 0.02
+
+
+def _by_rank(rows, wanted):
+    """Ids of the first rows of each class in hash order."""
+    import hashlib
+    from collections import defaultdict
+    classes = defaultdict(list)
+    for key, label in rows:
+        text = f"42:{'None' if key is None else key}"
+        classes[label].append((int(hashlib.md5(text.encode()).hexdigest()[:15], 16), key))
+    return {k for label, order in classes.items() for _, k in sorted(order)[:wanted(len(order))]}
+
+
+def test_cuts_equal_positions_and_shuffle_no_full_rows(spark):
+    rows = [(i, None if i % 7 == 0 else i % 3) for i in range(700)]
+    df = spark.createDataFrame([(k, y, "wide" * 9) for k, y in rows], "id long, label int, text string")
+    out = S.stratified_split(df, "label", ["id"], 0.25, 42)
+    got = out.where("split = 'test'").collect()
+    assert {r.id for r in got} == _by_rank(rows, lambda n: n // 4) and len(got) == 175
+    assert out.columns == ["id", "label", "text", "split"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    held = S.random_holdout(df, ["id"], 0.1).where("holdout").collect()
+    assert {r.id for r in held} == _by_rank([(k, 0) for k, _ in rows], lambda n: 70)
+
+
+def test_cuts_of_small_and_odd_tables(spark):
+    empty = spark.createDataFrame([], "id long, label int")
+    assert S.stratified_split(empty, "label", ["id"]).count() == 0
+    assert S.random_holdout(empty, ["id"], 0.5).count() == 0
+    one = spark.createDataFrame([(None, 1)], "id long, label int")
+    assert [r.split for r in S.stratified_split(one, "label", ["id"], 0.2).collect()] == ["test"]
+    assert [r.holdout for r in S.random_holdout(one, ["id"], 0.5).collect()] == [False]
+    twice = spark.createDataFrame([(1, 0)] * 4 + [(2, 0)] * 4, "id long, label int")
+    sides = S.stratified_split(twice, "label", ["id"], 0.3).select("id", "split").distinct().collect()
+    assert len(sides) == 2  # rows alike are never on both sides
