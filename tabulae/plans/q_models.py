@@ -227,6 +227,25 @@ def experiment_documents(spark, d):
     return run_experiment(t, DOC_FEATURES, "label", KEY, "documents", "gbt", preset=PRESET)
 
 
+@register("experiment_ledger")
+def experiment_ledger(spark, d):
+    """Whole experiments of two models under a stage ledger, with calibration, a
+    hash evaluation and interactions, then once more: the second run skips both.
+    Returns each experiment's metrics as stored."""
+    from uuid import uuid4
+
+    from ..session import ensure_checkpoint_dir
+    from .experiment import StageLedger, run_experiments, stored_results
+    ledger = StageLedger(spark, f"{ensure_checkpoint_dir(spark)}/experiments/{uuid4().hex}")
+    table = reuse(document_features(spark, d).drop("p", "pred", "split").select(*KEY, *DOC_FEATURES, "label"))
+    tables = {"documents": {"table": table, "features": DOC_FEATURES, "label": "label", "key_cols": KEY}}
+    settings = {"calibration": 0.1, "evaluation": "hash", "interactions": True}
+    first = run_experiments(ledger, tables, ["logistic", "mlp"], **settings)
+    again = run_experiments(ledger, tables, ["logistic", "mlp"], **settings).withColumnRenamed("status", "second_run")
+    runs = first.join(again.drop("error"), ["dataset", "model"])
+    return stored_results(ledger).drop("timestamp").join(runs, ["dataset", "model"], "full_outer")
+
+
 @register("search_grid_ml")
 def search_grid_ml(spark, d):
     """Exhaustive CV search with Spark ML's CrossValidator (class-balanced
