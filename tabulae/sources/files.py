@@ -8,7 +8,6 @@ data lines are parsed in parallel with ``from_csv``.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +43,17 @@ def _arff_type(spec: str) -> T.DataType:
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF file(s) -> DataFrame; nominal and string values are text, '?' is null."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"),
-                                         F.monotonically_increasing_id().alias("_pos"))
-    header = (lines.where(F.lower(F.trim("line")).startswith("@attribute"))
-              .orderBy("_pos").select("line").collect())
+    """ARFF file(s) -> DataFrame; nominal and string values are text, '?' is null.
+    Several files must have the same header."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+                                         F.struct(F.col("_metadata.file_block_start"),
+                                                  F.monotonically_increasing_id()).alias("_pos"))
+    headers = (lines.where(F.lower(F.trim("line")).startswith("@attribute"))
+               .groupBy("_file").agg(F.sort_array(F.collect_list(F.struct("_pos", "line"))).alias("h"))
+               .select(F.col("h.line").alias("h")).distinct().limit(2).collect())
+    if len(headers) != 1:
+        raise ValueError(f"the files under {path!r} have " + ("no header" if not headers else "different headers"))
+    header = [{"line": x} for x in headers[0]["h"]]
     fields = []
     for r in header:
         m = _ATTR.match(r["line"])
@@ -69,15 +74,22 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
 def convert_arff_dir(spark: SparkSession, src_dir: str, out_dir: str) -> list[str]:
     """Convert every ``.arff`` in a folder to CSV; existing outputs are kept."""
     done = []
-    for name in sorted(os.listdir(src_dir)):
+    fs, folder = _file_system(spark, src_dir)
+    for name in sorted(f.getPath().getName() for f in fs.listStatus(folder)):
         if not name.endswith(".arff"):
             continue
-        out = os.path.join(out_dir, name[:-5] + ".csv")
-        read_arff(spark, os.path.join(src_dir, name)).write.mode("ignore").option("header", True).csv(out)
+        out = f"{out_dir.rstrip('/')}/{name[:-5]}.csv"
+        read_arff(spark, f"{src_dir.rstrip('/')}/{name}").write.mode("ignore").option("header", True).csv(out)
         done.append(out)
     return done
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system that Spark reads ``path`` from, and the path there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 # Datasets of the reference, which are downloaded or local
 # files there; here they must be supplied as files (no network job).
 REFERENCE_DATASETS = ["breast_cancer", "adult_income", "bank_marketing", "diabetes",
@@ -93,13 +105,14 @@ def dataset(spark: SparkSession, name: str, sf_dir: str | None = None,
         from ..plans.fixtures import document_table
         return document_table(spark, sf_dir), "label"
     if name == "lineitem" and sf_dir:
-        li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+        li = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
         return li.withColumn("label", (F.col("l_returnflag") == "R").cast("int")).drop("l_returnflag"), "label"
     if name in REFERENCE_DATASETS:
         if data_dir:
             for cand in (f"{name}.csv", f"{name.replace('-', '_')}.csv"):
-                p = os.path.join(data_dir, cand)
-                if os.path.exists(p):
+                p = f"{data_dir.rstrip('/')}/{cand}"
+                fs, at = _file_system(spark, p)
+                if fs.exists(at):
                     return read_table_with_target(spark, p)
         raise FileNotFoundError(f"dataset {name!r} not found under {data_dir!r}")
     raise ValueError(f"Unknown dataset: {name}")

@@ -8,7 +8,7 @@ is a scan, not a driver loop over files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,21 +58,30 @@ def results_to_long(docs: DataFrame) -> DataFrame:
 
 def read_best_params(spark: SparkSession, path: str, dataset: str | None = None,
                      model: str | None = None) -> DataFrame:
-    """Best parameters from a tuning JSON keyed dataset -> model ->
-    {best_score, best_params}; model keys are matched lower-case."""
-    inner = T.StructType([T.StructField("best_score", T.DoubleType()),
-                          T.StructField("best_params", T.MapType(T.StringType(), T.StringType()))])
-    schema = T.MapType(T.StringType(), T.MapType(T.StringType(), inner))
-    text = spark.read.option("wholetext", True).text(path)
-    parsed = text.select(F.from_json("value", schema).alias("m"))
-    ex = parsed.select(F.explode("m").alias("dataset", "models")).select(
-        "dataset", F.explode("models").alias("model", "r"))
-    out = ex.select("dataset", F.lower("model").alias("model"), "r.best_score", "r.best_params")
+    """(dataset, model, best_score, best_params) of a tuning JSON, in any of its
+    forms: dataset -> model -> {best_score, best_params}, dataset -> model ->
+    parameters, or one ``best_params`` (and ``best_score``) at the top level, which
+    holds for any dataset and model (null names) that the file does not list.
+    Model keys are matched lower-case; values are text."""
+    def opened(c) -> Column:
+        return F.from_json(c, "map<string,string>")
+
+    top = spark.read.option("wholetext", True).text(path).select(opened("value").alias("m"))
+    nested = (top.select(F.explode(F.map_filter("m", lambda k, v: ~k.isin("best_params", "best_score"))).alias("dataset", "v"))
+              .select("dataset", F.explode(opened("v")).alias("model", "v")).select("dataset", "model", opened("v").alias("m")))
+    whole = F.map_contains_key("m", F.lit("best_params"))
+    score, inner = F.try_element_at("m", F.lit("best_score")).cast("double"), opened(F.try_element_at("m", F.lit("best_params")))
+    nested = nested.where("m is not null").select("dataset", F.lower("model").alias("model"), F.when(whole, score).alias("best_score"),
+                                                  F.when(whole, inner).otherwise(F.col("m")).alias("best_params"))
     if dataset is not None:
-        out = out.where(F.col("dataset") == dataset)
+        nested = nested.where(F.col("dataset") == dataset)
     if model is not None:
-        out = out.where(F.col("model") == model.lower())
-    return out
+        nested = nested.where(F.col("model") == model.lower())
+    none = F.lit(None).cast("string")
+    single = top.where(whole).select(none.alias("dataset"), none.alias("model"), score.alias("best_score"), inner.alias("best_params"))
+    if dataset is not None or model is not None:
+        single = single.join(nested.limit(1).select(F.lit(1).alias("_listed")), F.lit(True), "left_anti")
+    return nested.unionByName(single)
 
 
 def write_tuning_summary(best: DataFrame, path: str) -> None:
@@ -81,6 +90,30 @@ def write_tuning_summary(best: DataFrame, path: str) -> None:
         .write.mode("overwrite").partitionBy("dataset").option("header", True).csv(path)
 
 
+def write_tuning_json(best: DataFrame, path: str) -> None:
+    """Tuning results (dataset, model, best_score, best_params, and ``all_scores`` if
+    there) as JSON documents: ``path/all`` holds one, dataset -> model -> entry, and
+    ``path/by_dataset/dataset=<name>`` each dataset's, model -> entry. As large as
+    the list of tuned models; ``read_best_params`` reads ``path/all``."""
+    entry = F.struct(*[c for c in ("best_score", "all_scores", "best_params") if c in best.columns])
+    models = best.groupBy("dataset").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("model", F.to_json(entry).alias("entry"))))).alias("models"))
+    # Entries are JSON already: documents are put together as text.
+    def document(m) -> Column:
+        one = F.transform(F.map_entries(m), lambda e: F.concat(_json_text(e["key"]), F.lit(": "), e["value"]))
+        return F.concat(F.lit("{"), F.array_join(one, ", "), F.lit("}"))
+
+    models = models.select("dataset", document("models").alias("value"))
+    models.write.mode("overwrite").partitionBy("dataset").text(f"{path}/by_dataset")
+    whole = models.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dataset", "value")))).alias("m"))
+    whole.select(document("m").alias("value")).write.mode("overwrite").text(f"{path}/all")
+
+
+def _json_text(c: Column) -> Column:
+    """A string column as a quoted JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Importance / summary tables as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

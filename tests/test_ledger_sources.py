@@ -135,3 +135,41 @@ def test_candidate_grid_and_random_search(spark):
     assert a.count() == 3 and a.select("trial").distinct().count() == 3
     b = H.random_candidates(grid, 10, seed=1, replacement=True)
     assert b.count() == 10 and b.select("trial").distinct().count() <= 4
+
+
+def test_best_params_of_every_form(spark, tmpdir_path):
+    def read(document, *names):
+        p = os.path.join(tmpdir_path, f"{len(os.listdir(tmpdir_path))}.json")
+        with open(p, "w") as f:
+            json.dump(document, f)
+        return [(r.dataset, r.model, r.best_score, r.best_params) for r in SR.read_best_params(spark, p, *names).collect()]
+
+    plain = {"ds": {"MLP": {"epochs": 5, "hidden": [8, 4]}}}
+    assert read(plain, "ds", "mlp") == [("ds", "mlp", None, {"epochs": "5", "hidden": "[8,4]"})]
+    top = {"best_params": {"depth": 3}, "best_score": 0.5}
+    assert read(top, "ds", "gbt") == [(None, None, 0.5, {"depth": "3"})] == read(top)
+    both = {**plain, **top}
+    assert [r[0] for r in read(both, "ds", "MLP")] == ["ds"] and [r[0] for r in read(both, "other", "mlp")] == [None]
+    assert read({}, "ds", "mlp") == []
+
+
+def test_tuning_json_is_read_back(spark, tmpdir_path):
+    best = spark.createDataFrame([("a \"b\"", "M", 0.5, {"x": "1"}), ("c", "M", 0.25, {"y": "2", "z": "u v"}), ("c", "N", None, {})],
+                                 "dataset string, model string, best_score double, best_params map<string,string>")
+    SR.write_tuning_json(best, os.path.join(tmpdir_path, "t"))
+    got = {(r.dataset, r.model): (r.best_score, r.best_params) for r in SR.read_best_params(spark, os.path.join(tmpdir_path, "t", "all")).collect()}
+    assert got == {("a \"b\"", "m"): (0.5, {"x": "1"}), ("c", "m"): (0.25, {"y": "2", "z": "u v"}), ("c", "n"): (None, {})}
+    one = spark.read.text(os.path.join(tmpdir_path, "t", "by_dataset")).where("dataset = 'c'").first().value
+    assert json.loads(one) == {"M": {"best_score": 0.25, "best_params": {"y": "2", "z": "u v"}}, "N": {"best_params": {}}}
+
+
+def test_several_arff_files(spark, tmpdir_path):
+    for name, extra in (("a", ""), ("b", ""), ("c", "@attribute z numeric\n")):
+        with open(os.path.join(tmpdir_path, f"{name}.arff"), "w") as f:
+            f.write(f"@relation r\n@attribute x numeric\n@attribute y {{u, v}}\n{extra}@data\n1,{'u' if name == 'a' else 'v'}\n")
+    path = [os.path.join(tmpdir_path, f"{n}.arff") for n in "abc"]
+    df = SF.read_arff(spark, path[:2])
+    assert df.columns == ["x", "y"] and sorted(r.y for r in df.collect()) == ["u", "v"]
+    with pytest.raises(ValueError, match="different headers"):
+        SF.read_arff(spark, path)
+    assert len(SF.convert_arff_dir(spark, tmpdir_path, os.path.join(tmpdir_path, "out"))) == 3
