@@ -90,16 +90,17 @@ class SoftmaxScorer:
             ps = [F.round(p, self.decimals) for p in ps]
         return F.array(*ps)
 
-    def logits_sql(self) -> list[str]:
+    def logits_sql(self, values: Mapping[str, str] | None = None) -> list[str]:
+        vals = values or {f: f for f in self.coefs}
         out = []
         for k in range(len(self.classes)):
             terms = [repr(float(self.intercepts[k]) if self.intercepts else 0.0)]
-            terms += [f"{float(ws[k])!r} * CAST({f} AS DOUBLE)" for f, ws in self.coefs.items()]
+            terms += [f"{float(ws[k])!r} * CAST({vals[f]} AS DOUBLE)" for f, ws in self.coefs.items()]
             out.append("(" + " + ".join(terms) + ")")
         return out
 
-    def proba_sql(self) -> list[str]:
-        zs = self.logits_sql()
+    def proba_sql(self, values: Mapping[str, str] | None = None) -> list[str]:
+        zs = self.logits_sql(values)
         m = f"greatest({', '.join(zs)})"
         es = [f"exp({z} - {m})" for z in zs]
         tot = " + ".join(es)

@@ -535,11 +535,69 @@ def importance_bars(importance: DataFrame, k: int = 20) -> DataFrame:
     return importance.where(F.col("rank") <= k)
 
 
+def class_shapley_values(df: DataFrame, features: Sequence[str], scorer, background: DataFrame,
+                         key_cols: Sequence[str]) -> DataFrame:
+    """Long (keys, class, feature, phi, base, fx): exact Shapley values of every
+    class's probability under a softmax scorer, Sigma phi + base = fx per class.
+
+    One scoring gives the coalition values of all classes: rows x coalitions x
+    background rows are scored in Arrow batches of at most ``MAX_SCORED`` cells,
+    with no shuffle; the background (at most ``MAX_BACKGROUND`` rows) and the
+    design are broadcast. A null feature gives null values."""
+    feats, keys, classes = list(features), list(key_cols), list(scorer.classes)
+    design = shapley_design(len(feats))
+    known = np.array([[m >> i & 1 for i in range(design.d)] for m in design.masks], float)
+    weight = np.array([[float(w) for w in scorer.coefs[f]] for f in feats])
+    bias = np.array([float(x) for x in scorer.intercepts] if scorer.intercepts else [0.0] * len(classes))
+    bg = _rows_of_background(background, feats)
+    rest = np.einsum("cd,bd,dk->cbk", 1 - known, bg, weight) + bias
+    shared = df.sparkSession.sparkContext.broadcast((known, weight, rest, design.matrix))
+    ends = (design.masks.index(0), design.masks.index((1 << design.d) - 1))
+    decimals, step = scorer.decimals, max(1, MAX_SCORED // max(1, rest.size))
+    named = df.select(*keys)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields],
+                        "class string, feature string, phi double, base double, fx double"])
+
+    def run(batches):
+        known, weight, rest, matrix = shared.value
+        for pdf in batches:
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i:i + step]
+                x = part[feats].to_numpy(dtype=float)
+                z = np.einsum("nd,cd,dk->nck", x, known, weight)[:, :, None, :] + rest
+                e = np.exp(z - z.max(axis=3, keepdims=True))
+                p = e / e.sum(axis=3, keepdims=True)
+                v = (p if decimals is None else np.round(p, decimals)).mean(axis=2)
+                phi = np.einsum("tc,nck->nkt", matrix, v)
+                n, k, t = phi.shape
+                out = {c: np.repeat(part[c].to_numpy(), k * t) for c in keys}
+                out |= {"class": np.tile(np.repeat(np.array(classes, dtype=object), t), n), "feature": np.tile(np.array(feats, dtype=object), n * k),
+                        "phi": phi.reshape(-1), "base": np.repeat(v[:, ends[0]].reshape(-1), t), "fx": np.repeat(v[:, ends[1]].reshape(-1), t)}
+                out = pd.DataFrame(out)
+                yield out.astype({c: object for c in ("phi", "base", "fx")}).where(out.notna(), None) if np.isnan(x).any() else out
+
+    return df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(run, schema)
+
+
 def explanation_maps(phi: DataFrame, key_cols: Sequence[str], feature: str = "feature",
-                     value: str = "phi") -> DataFrame:
-    """One feature -> value map per row (entries sorted by feature)."""
-    return phi.groupBy(*key_cols).agg(F.map_from_entries(F.array_sort(
-        F.collect_list(F.struct(F.col(feature), F.col(value))))).alias("explanation"))
+                     value: str = "phi", target: str | None = None) -> DataFrame:
+    """One feature -> value map per row (entries sorted by feature). Of values per
+    class, those of the class ``target``, or without one of the row's most probable
+    class (ties: the first by name), with the ``class``."""
+    keys = list(key_cols)
+    if "class" in phi.columns:
+        keys.append("class")
+        if target is not None:
+            phi = phi.where(F.col("class") == target)
+    maps = phi.groupBy(*keys).agg(F.map_from_entries(F.array_sort(
+        F.collect_list(F.struct(F.col(feature), F.col(value))))).alias("explanation"),
+        *([F.max("fx").alias("_fx")] if len(keys) > len(key_cols) else []))
+    if len(keys) == len(key_cols):
+        return maps
+    if target is not None:
+        return maps.drop("_fx")
+    best = F.min_by(F.struct("class", "explanation"), F.struct(-F.coalesce("_fx", F.lit(-1.0)), F.col("class")))
+    return maps.groupBy(*key_cols).agg(best.alias("_b")).select(*key_cols, "_b.class", "_b.explanation")
 
 
 def summary_points(phi: DataFrame, x_long: DataFrame, importance: DataFrame,
@@ -590,7 +648,13 @@ def waterfall(phi: DataFrame, key_cols: Sequence[str], max_display: int = 10) ->
                       (F.col("end") - F.col("phi")).alias("start"), "end")
 
 
-def base_value(scored_background: DataFrame, score: str = "p") -> DataFrame:
+def base_value(scored_background: DataFrame, score: str = "p", classes: Sequence[str] | None = None) -> DataFrame:
+    """Mean score of the background; with ``classes`` that of each class, from an
+    array of probabilities in their order."""
+    if classes is not None:
+        names = F.array(*[F.lit(c) for c in classes])
+        per = scored_background.select(F.posexplode_outer(score).alias("_k", "_p")).groupBy("_k").agg(F.avg("_p").alias("base_value"))
+        return per.where("_k is not null").select(F.get(names, F.col("_k")).alias("class"), "base_value")
     return scored_background.agg(F.avg(score).alias("base_value"))
 
 

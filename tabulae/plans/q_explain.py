@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.scorers import LinearScorer
+from ..functions.scorers import LinearScorer, SoftmaxScorer
 from ..operators import attribution as X
 from ..operators.prep import hash_sample
 from ..session import reuse
@@ -47,6 +47,35 @@ def explain_shapley_permutation(spark, d):
     return finish(_phi(spark, d, "permutation"))
 
 
+CLASS_SCORER = SoftmaxScorer(["low", "mid", "high"], {f: [0.4 - 0.3 * i, 0.2 * i - 0.1, 0.5 * (-1) ** i]
+                                                     for i, f in enumerate(DOC_FEATURES)}, [0.2, 0.0, -0.3], decimals=None)
+
+
+def _class_sql() -> str:
+    """Every class's coalition values by enumeration, and the Shapley sum over them."""
+    masked = {f: f"CASE WHEN (m.mask >> {i}) & 1 = 1 THEN t.{f} ELSE bg.{f} END" for i, f in enumerate(DOC_FEATURES)}
+    values = " UNION ALL ".join(f"SELECT t.doc_id, m.mask, '{c}' AS class, avg({p}) AS v FROM t, m, bg GROUP BY t.doc_id, m.mask"
+                                for c, p in zip(CLASS_SCORER.classes, CLASS_SCORER.proba_sql(masked), strict=True))
+    whole = (1 << D) - 1
+    tables = base_ctes().rsplit("\nv AS", 1)[0]
+    size = "bit_count(a.mask)"
+    weight = f"CAST(factorial({size}) AS DOUBLE) * CAST(factorial({D - 1} - {size}) AS DOUBLE) / CAST(factorial({D}) AS DOUBLE)"
+    return f"""WITH {tables}
+v AS ({values})
+SELECT a.doc_id, a.class, nm.feature, round(sum({weight} * (b.v - a.v)), {R}) AS phi,
+  round(max(CASE WHEN a.mask = 0 THEN a.v END), {R}) AS base, round(max(CASE WHEN b.mask = {whole} THEN b.v END), {R}) AS fx
+FROM {NAMES} JOIN v a ON (a.mask >> nm.i) & 1 = 0
+JOIN v b ON b.doc_id = a.doc_id AND b.class = a.class AND b.mask = a.mask | (1 << nm.i)
+GROUP BY a.doc_id, a.class, nm.feature"""
+
+
+@register("explain_class_shapley", _class_sql())
+def explain_class_shapley(spark, d):
+    """Exact Shapley values of three classes' probabilities, from one scoring."""
+    t = doc_explain_table(spark, d)
+    return finish(X.class_shapley_values(t, DOC_FEATURES, CLASS_SCORER, doc_background(t), KEY))
+
+
 @register("explain_kernel_shap", SHAP_SQL)
 def explain_kernel_shap(spark, d):
     """Constrained kernel least squares on all coalitions: exact Shapley."""

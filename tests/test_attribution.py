@@ -180,3 +180,25 @@ def test_interaction_reports_five_features(spark):
     assert len(inst) == 5 and {r["rank"] for r in inst} == {1, 2, 3, 4, 5}
     dev = X.deviation_interactions(rows, feats, ["id"])
     assert dev.count() == 110 * 10
+
+
+def test_values_of_every_class(spark):
+    from tabulae.functions.scorers import LinearScorer, SoftmaxScorer
+    df = spark.createDataFrame([(i, i * 0.3, 1.0 - i * 0.2) for i in range(6)] + [(6, None, 0.0)], "id long, a double, b double")
+    bg = df.where("id < 3")
+    two = SoftmaxScorer(["no", "yes"], {"a": [0.0, 1.5], "b": [0.0, -0.7]}, [0.0, 0.2], decimals=None)
+    phi = X.class_shapley_values(df, ["a", "b"], two, bg, ["id"]).cache()
+    one = X.shapley_values(df.where("id < 6"), ["a", "b"], LinearScorer({"a": 1.5, "b": -0.7}, 0.2, decimals=None), bg, ["id"])
+    want = {(r.id, r.feature): (r.phi, r.base, r.fx) for r in one.collect()}
+    for r in phi.where("id < 6").collect():  # the other class mirrors the binary scorer's
+        sign, at = (1, 0.0) if r["class"] == "yes" else (-1, 1.0)
+        p, base, fx = want[r.id, r.feature]
+        assert abs(r.phi - sign * p) < 1e-9 and abs(r.base - at - sign * base) < 1e-9 and abs(r.fx - at - sign * fx) < 1e-9
+    assert all(r.fx is None for r in phi.where("id = 6").collect())
+    maps = {r.id: r for r in X.explanation_maps(phi, ["id"]).collect()}
+    top = {r.id: r["class"] for r in phi.where("fx > 0.5").collect()}
+    assert len(maps) == 7 and all(maps[i]["class"] == c and set(maps[i].explanation) == {"a", "b"} for i, c in top.items())
+    assert {r["class"] for r in X.explanation_maps(phi, ["id"], target="no").collect()} == {"no"}
+    base = {r["class"]: r.base_value for r in X.base_value(bg.select(two.proba_array().alias("p")), "p", two.classes).collect()}
+    assert abs(base["yes"] - want[0, "a"][1]) < 1e-9 and abs(base["no"] + base["yes"] - 1) < 1e-9
+    assert X.class_shapley_values(df.limit(0), ["a", "b"], two, bg, ["id"]).count() == 0
