@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulae.session import reuse
+
 from .bloom import Filter, filter_bits, twice_seen
 from .common import as_bytes, text_runs
 
@@ -91,9 +93,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [part.column(0).take(pa.array(row)), pa.array(np.array(h1, np.uint64).view(np.int64)),
                      pa.array(np.array(h2, np.uint64).view(np.int64))], ["id", "h1", "h2"])
 
-    pairs = known.mapInArrow(suspects, f"id {id_type}, h1 long, h2 long").distinct()
-    common = (pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-              .where(F.col("n") >= min_docs).drop("n"))
+    # Both are written: the texts are hashed once, and a join with a written
+    # aggregate is one whose hot lines adaptive execution splits.
+    pairs = reuse(known.mapInArrow(suspects, f"id {id_type}, h1 long, h2 long").distinct())
+    common = reuse(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
+                   .where(F.col("n") >= min_docs).drop("n"))
     drops = (pairs.join(common, ["h1", "h2"]).where("id != keeper")
              .groupBy("id").agg(F.collect_set("h1").alias("drop")))
 
