@@ -287,7 +287,8 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
                    .select("c", "label", "v", "least", "n", F.coalesce("root", "c").alias("root")))
     linked = rooted.join(found.select("root").distinct(), "root", "left_semi")
     links = count_links(linked, min_cosine)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written before the join, so that adaptive execution can split a hot root.
+    least = reuse(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     figures = (rooted.join(least, "root").join(links, "c", "left")
                .select("label", "v", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     own = rows.where("id is null or label is null or v is null").select(

@@ -170,7 +170,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(near_fingerprints(classes, radius, tile_rows))
     rooted = reuse(classes.join(found, classes.fp == found.node, "left")
                    .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written before the join, so that adaptive execution can split a hot root.
+    ids = reuse(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     member = rooted.join(ids, "root").select("fp", "component_id", "root")
     return (rows.join(member, "fp")
             .select(F.col("id").alias(id_col),
