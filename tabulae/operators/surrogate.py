@@ -38,9 +38,9 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 
 def _u(*parts: Column, seed: int) -> Column:
-    """U(0,1) from a 64-bit hash of the parts."""
+    """U(0,1) from the low 53 bits of a 64-bit hash of the parts, never null."""
     h = F.xxhash64(*parts, F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    return (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + F.lit(0.5)) * F.lit(2.0 ** -53)
 
 
 def bin_statistics(train: DataFrame, features: Sequence[str]) -> dict:
@@ -67,8 +67,13 @@ def _bin_of(x: Column, cuts: list[float]) -> Column:
     return b
 
 
-def _draw(f: str, st: dict, u_bin: Column, z: Column) -> tuple[Column, Column]:
-    """(bin, value) for one feature from two uniforms / one normal."""
+def _normal(u1: Column, u2: Column) -> Column:
+    """N(0,1) from two uniforms; u1 > 0, so its logarithm is never null."""
+    return F.sqrt(F.lit(-2.0) * F.coalesce(F.log(u1), F.lit(0.0))) * F.cos(F.lit(2 * math.pi) * u2)
+
+
+def _draw_bin(st: dict, u_bin: Column) -> Column:
+    """The quartile bin that a uniform falls in."""
     bins = sorted(st)
     total = float(sum(st[b][0] for b in bins))
     acc = 0.0
@@ -79,12 +84,20 @@ def _draw(f: str, st: dict, u_bin: Column, z: Column) -> tuple[Column, Column]:
     bin_col = F.lit(bins[-1])
     for b, c in reversed(cum[:-1]):
         bin_col = F.when(u_bin < F.lit(c), F.lit(b)).otherwise(bin_col)
-    value = F.lit(None).cast("double")
-    for b in bins:
-        n, mean, std, lo, hi = st[b]
-        v = F.least(F.greatest(F.lit(mean) + F.lit(std) * z, F.lit(lo)), F.lit(hi))
-        value = F.when(bin_col == F.lit(b), v).otherwise(value)
-    return bin_col, value
+    return bin_col
+
+
+def _draw_value(st: dict, bin_col: Column, z: Column) -> Column:
+    """The value of a normal inside its bin, between the bin's extremes."""
+    bins = sorted(st)
+
+    def of(k: int) -> Column:
+        out = F.lit(st[bins[-1]][k])
+        for b in reversed(bins[:-1]):
+            out = F.when(bin_col == F.lit(b), F.lit(st[b][k])).otherwise(out)
+        return out
+
+    return F.least(F.greatest(of(1) + of(2) * z, of(3)), of(4))
 
 
 # Up to this many features are chosen one by one.
@@ -146,33 +159,42 @@ def lime_explain(rows: DataFrame, train: DataFrame, features: Sequence[str], sco
     base = rows.select(*key_cols, *[F.col(f).cast("double").alias(f) for f in features])
     base = base.select("*", *[_bin_of(F.col(f), cuts[f]).alias(f"_ib_{i}") for i, f in enumerate(features)])
     ex = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perturb - 1))).alias("_s"))
-    vals, zs = {}, []
-    for i, f in enumerate(features):
-        u_bin = _u(*[F.col(k) for k in key_cols], F.col("_s"), F.lit(i), F.lit(0), seed=seed)
-        u1 = _u(*[F.col(k) for k in key_cols], F.col("_s"), F.lit(i), F.lit(1), seed=seed)
-        u2 = _u(*[F.col(k) for k in key_cols], F.col("_s"), F.lit(i), F.lit(2), seed=seed)
-        z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
-        b, v = _draw(f, bstats[f], u_bin, z)
-        first = F.col("_s") == 0
-        vals[f] = F.when(first, F.col(f)).otherwise(v)
-        zs.append(F.when(first, F.lit(1.0)).otherwise((b == F.col(f"_ib_{i}")).cast("double")).alias(f"_z{i}"))
-    pert = ex.select(*key_cols, "_s", *[vals[f].alias(f) for f in features], *zs)
+    # One select per step: an expression that the next step reads several times is a
+    # column by then, so it is computed once a row, and each step's generated method
+    # is short enough for the JVM to compile.
+    keys, ds = list(key_cols), range(d)
+    ib = [f"_ib_{i}" for i in ds]
+    u = [_u(*[F.col(k) for k in keys], F.col("_s"), F.lit(i), F.lit(part), seed=seed).alias(f"_u{part}_{i}")
+         for i in ds for part in range(3)]
+    drawn = ex.select(*keys, *features, "_s", *ib, *u)
+    drawn = drawn.select(
+        *keys, *features, "_s", *ib, *[_draw_bin(bstats[f], F.col(f"_u0_{i}")).alias(f"_b{i}") for i, f in enumerate(features)],
+        *[_normal(F.col(f"_u1_{i}"), F.col(f"_u2_{i}")).alias(f"_n{i}") for i in ds])
+    first = F.col("_s") == 0
+    pert = drawn.select(
+        *keys, "_s",
+        *[F.when(first, F.col(f)).otherwise(_draw_value(bstats[f], F.col(f"_b{i}"), F.col(f"_n{i}"))).alias(f)
+          for i, f in enumerate(features)],
+        *[F.when(first, F.lit(1.0)).otherwise((F.col(f"_b{i}") == F.col(f"_ib_{i}")).cast("double")).alias(f"_z{i}")
+          for i in ds])
     if hasattr(scorer, "proba"):
         scored = pert.withColumn("_y", scorer.proba())
     else:
         scored = scorer.score(pert, "_y")
     width = KERNEL_WIDTH_FACTOR * math.sqrt(d)
-    dist2 = sum((F.lit(1.0) - F.col(f"_z{i}")) ** 2 for i in range(d))
-    w = F.sqrt(F.exp(-dist2 / F.lit(width * width)))
-    sums = [F.sum(w).alias("_sw"), F.sum(w * F.col("_y")).alias("_sy")]
-    sums += [F.sum(w * F.col(f"_z{i}")).alias(f"_sz{i}") for i in range(d)]
-    sums += [F.sum(w * F.col(f"_z{i}") * F.col("_y")).alias(f"_szy{i}") for i in range(d)]
-    sums += [F.sum(w * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_szz{i}_{j}")
-             for i in range(d) for j in range(i, d)]
-    agg = scored.groupBy(*key_cols).agg(*sums)
-    packed = F.array(F.col("_sw"), F.col("_sy"), *[F.col(f"_sz{i}") for i in range(d)],
-                     *[F.col(f"_szy{i}") for i in range(d)],
-                     *[F.col(f"_szz{i}_{j}") for i in range(d) for j in range(i, d)])
+    # The squared distance of binary inputs is how many are 0: a kernel weight for each.
+    kernel = F.array(*[F.sqrt(F.exp(F.lit(-float(k)) / F.lit(width * width))) for k in range(d + 1)])
+    w = F.element_at(kernel, (F.lit(d + 1.0) - sum((F.col(f"_z{i}") for i in ds), F.lit(0.0))).cast("int"))
+    weighed = scored.select(*keys, "_y", *[f"_z{i}" for i in ds], w.alias("_w"))
+    weighed = weighed.select("*", *[(F.col("_w") * F.col(f"_z{i}")).alias(f"_wz{i}") for i in ds])
+    sums = [F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_y")).alias("_sy")]
+    sums += [F.sum(f"_wz{i}").alias(f"_sz{i}") for i in ds]
+    sums += [F.sum(F.col(f"_wz{i}") * F.col("_y")).alias(f"_szy{i}") for i in ds]
+    sums += [F.sum(F.col(f"_wz{i}") * F.col(f"_z{j}")).alias(f"_szz{i}_{j}") for i in ds for j in range(i + 1, d)]
+    agg = weighed.groupBy(*keys).agg(*sums)
+    packed = F.array(F.col("_sw"), F.col("_sy"), *[F.col(f"_sz{i}") for i in ds], *[F.col(f"_szy{i}") for i in ds],
+                     *[F.col(f"_szz{i}_{j}" if i < j else f"_sz{i}")  # the square of a binary input is the input
+                       for i in ds for j in range(i, d)])
 
     @F.pandas_udf("array<double>")
     def solve(s: pd.Series) -> pd.Series:

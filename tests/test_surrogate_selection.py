@@ -1,5 +1,7 @@
 """Feature selection of local surrogates, and one-vs-rest probabilities."""
 import itertools
+import math
+import re
 
 import numpy as np
 import pytest
@@ -69,6 +71,53 @@ def test_explanations_of_selected_features(table):
         SG.lime_explain(table, table, feats, scorer, ["id"], selection="best")
 
 
+def test_perturbation_methods_are_short_enough_to_compile(spark, table, capsys):
+    """The JVM interprets methods of 8,000 bytes and more, at many times the cost."""
+    feats = ["a", "b", "c", "d"]
+    scorer = LinearScorer({"a": 3.0, "b": 0.0, "c": -2.0, "d": 0.01}, decimals=None)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        SG.lime_explain(table, table, feats, scorer, ["id"], num_features=2).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_weights_match_a_plain_computation_of_the_same_draws(spark):
+    """One feature, one quartile bin each: ridge of y on z with kernel weights, by hand."""
+    rows = spark.createDataFrame([(i, float(i % 4)) for i in range(40)] + [(3, 3.0)], "id long, a double")
+    scorer = LinearScorer({"a": 1.0}, decimals=None)
+    stats = SG.bin_statistics(rows, ["a"])
+    got = {r["id"]: r for r in SG.lime_explain(rows, rows, ["a"], scorer, ["id"], n_perturb=60, stats=stats).collect()}
+    drawn = rows.select("id", "a", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("s")).select(
+        "id", "a", "s", *[((F.pmod(F.xxhash64("id", "s", F.lit(0), F.lit(k), F.lit(42)), F.lit(1 << 53)).cast("double") + 0.5)
+                           / float(1 << 53)).alias(f"u{k}") for k in range(3)]).collect()
+    cuts, bins = stats["cuts"]["a"], stats["stats"]["a"]
+    total = sum(b[0] for b in bins.values())
+    by_id = {}
+    for r in drawn:
+        own = sum(r["a"] > c for c in cuts)
+        share, b = 0.0, None
+        for k in sorted(bins):
+            share += bins[k][0] / total
+            if b is None and r["u0"] < share:
+                b = k
+        n, mean, std, lo, hi = bins[max(bins) if b is None else b]
+        v = min(max(mean + std * math.sqrt(-2 * math.log(r["u1"])) * math.cos(2 * math.pi * r["u2"]), lo), hi)
+        z = 1.0 if r["s"] == 0 else float(own == (max(bins) if b is None else b))
+        v = r["a"] if r["s"] == 0 else v
+        w = math.sqrt(math.exp(-(1 - z) ** 2 / 0.75 ** 2))
+        by_id.setdefault(r["id"], []).append((w, z, 1 / (1 + math.exp(-v))))
+    assert set(got) == set(by_id) == set(range(40)) and len(by_id[3]) == 120  # a repeated key is one group
+    for i, part in by_id.items():
+        w, z, y = np.array(part).T
+        mz, my = (w * z).sum() / w.sum(), (w * y).sum() / w.sum()
+        beta = (w * (z - mz) * (y - my)).sum() / ((w * (z - mz) ** 2).sum() + 1)
+        assert got[i]["weight"] == pytest.approx(beta, abs=1e-10)
+        assert got[i]["intercept"] == pytest.approx(my - beta * mz, abs=1e-10)
+
+
 def test_one_vs_rest_probabilities(table):
     k = table.agg(F.max("label")).first()[0] + 1
     model = MD.train_boosted_trees(table, ["a", "b", "c", "d"], "label", params={"maxIter": 3, "maxDepth": 3}, n_classes=k)
