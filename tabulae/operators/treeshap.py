@@ -13,7 +13,7 @@ when not. The Shapley value of j in that game is
 
 a polynomial in t of degree below the path's length, which Gauss-Legendre nodes
 integrate exactly. The cost is rows x leaves x (path length)^2 / 2, whatever the
-number of features. Rows are explained in ``mapInPandas`` batches.
+number of features. Rows are explained in ``mapInArrow`` batches.
 
 Values of Spark's boosted trees are in log-odds units: the probability is
 sigmoid(2 * margin), so sum(phi) + base = logit(p).
@@ -26,14 +26,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Cells (rows x leaves x path slots) that a task computes at once.
-MAX_CELLS = 1 << 21
+# Cells (rows x leaves x path slots) that a task computes at once, and values (rows x
+# features) that it hands to Spark at once: what a Python worker holds does not grow
+# with the table, and stays a few MB beyond the Arrow batch it was given.
+MAX_CELLS = 1 << 18
+MAX_VALUES = 1 << 16
 
 
 def tree_tables(spark: SparkSession, gbt_model) -> list[dict]:
@@ -131,22 +134,37 @@ def explain_batch(paths: LeafPaths, x: np.ndarray) -> tuple[np.ndarray, float, n
     order = np.argsort(paths.feature[used], kind="stable")
     features, first = np.unique(paths.feature[used][order], return_index=True)
     step = max(1, MAX_CELLS // max(1, leaves * slots))
+    allowed_at: dict[int, list] = {}
+    for i, j, allowed in paths.categories:
+        allowed_at.setdefault(j, []).append((i, list(allowed)))
+    share = paths.share.T[:, None, :]
     for lo in range(0, n, step):
         part = x[lo:lo + step]
-        v = part[:, np.maximum(paths.feature, 0)]
-        met = ~(v <= paths.above) & ((v <= paths.upto) | (paths.upto == np.inf))
-        for i, j, allowed in paths.categories:
-            met[:, i, j] = np.isin(v[:, i, j], list(allowed))
-        o = np.where(used, met, 1.0)
-        margin[lo:lo + step] = o.prod(axis=2) @ paths.value
+        o = np.empty((slots, len(part), leaves))
+        for j in range(slots):
+            v = part[:, np.maximum(paths.feature[:, j], 0)]
+            met = ~(v <= paths.above[:, j]) & ((v <= paths.upto[:, j]) | (paths.upto[:, j] == np.inf))
+            for i, allowed in allowed_at.get(j, ()):
+                met[:, i] = np.isin(v[:, i], allowed)
+            o[j] = met | ~used[:, j]
+        margin[lo:lo + step] = o.prod(axis=0) @ paths.value
         rest = np.zeros_like(o)
+        a, others = np.empty_like(o), np.empty_like(o)
         for t, w in zip(nodes, weights, strict=True):
-            a = paths.share * (1 - t) + o * t
-            before, after = np.ones_like(a), np.ones_like(a)
-            before[:, :, 1:] = np.cumprod(a[:, :, :-1], axis=2)
-            after[:, :, :-1] = np.cumprod(a[:, :, :0:-1], axis=2)[:, :, ::-1]
-            rest += w * before * after
-        per = (rest * (o - paths.share) * paths.value[:, None])[:, used][:, order]
+            np.multiply(o, t, out=a)
+            a += share * (1 - t)
+            before, after = np.full(o.shape[1:], w), np.ones(o.shape[1:])
+            for j in range(slots):
+                others[j] = before
+                before *= a[j]
+            for j in reversed(range(slots)):
+                others[j] *= after
+                after *= a[j]
+            rest += others
+        rest *= o - share
+        rest *= paths.value
+        # Leaf by leaf, slot by slot, as ``order`` counts them.
+        per = rest.transpose(1, 2, 0)[:, used][:, order]
         if len(features):
             phi[lo:lo + step, features] = np.add.reduceat(per, first, axis=1)
     return phi, base, margin
@@ -162,18 +180,21 @@ def explain_trees(df: DataFrame, trees: Sequence[dict], features: Sequence[str],
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "feature string, phi double, base double, fx double"])
 
+    at_once = max(1, MAX_VALUES // max(1, d))
+
     def explain(batches):
-        for pdf in batches:
-            phi, base, margin = explain_batch(shared.value, pdf[feats].to_numpy(dtype=float))
-            n = len(pdf)
-            out = {k: np.repeat(pdf[k].to_numpy(), d) for k in keys}
-            out["feature"] = np.tile(np.array(feats, dtype=object), n)
-            out["phi"] = scale * phi.reshape(-1)
-            out["base"] = np.full(n * d, scale * base)
-            out["fx"] = np.repeat(scale * margin, d)
-            yield pd.DataFrame(out)
-
-    return df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats]).mapInPandas(explain, schema)
+        for part in (batch.slice(lo, at_once) for batch in batches for lo in range(0, batch.num_rows, at_once)):
+            n = part.num_rows
+            x = np.column_stack([part.column(f).to_numpy(zero_copy_only=False) for f in feats])
+            phi, base, margin = explain_batch(shared.value, x)
+            rows = pa.array(np.repeat(np.arange(n), d))
+            names = pa.array(feats, pa.string()).take(pa.array(np.tile(np.arange(d), n)))
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(k).take(rows) for k in keys], names, pa.array(scale * phi.reshape(-1)),
+                 pa.array(np.full(n * d, scale * base)), pa.array(np.repeat(scale * margin, d))],
+                names=[*keys, "feature", "phi", "base", "fx"])
+
+    return df.select(*keys, *[F.col(f).cast("double").alias(f) for f in feats]).mapInArrow(explain, schema)
 
 
 def stump(feature: int, threshold: float, left: float, right: float, n_left: float, n_right: float) -> dict:

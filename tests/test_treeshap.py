@@ -1,5 +1,6 @@
 """Tree Shapley values against enumerating all coalitions, for any feature count."""
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -63,6 +64,27 @@ def test_many_features_add_up_and_run_in_slices(monkeypatch):
     assert np.allclose(TS.explain_batch(TS.leaf_paths(trees), x)[0], phi)
 
 
+def test_a_batch_of_rows_takes_little_memory():
+    rng = np.random.default_rng(3)
+    paths = TS.leaf_paths([random_tree(rng, 20, 4) for _ in range(60)])
+    x = rng.normal(size=(10000, 20))
+    tracemalloc.start()
+    try:
+        TS.explain_batch(paths, x)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6  # the result is 1.6 MB
+
+
+def test_batches_are_handed_over_in_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(30)], "id long, a double, b double").coalesce(1)
+    trees = [TS.stump(0, 9.5, -1.0, 1.0, 10, 20), TS.stump(1, -4.5, 0.5, 2.0, 25, 5)]
+    whole = sorted(map(tuple, TS.explain_trees(df, trees, ["a", "b"], ["id"]).collect()))
+    monkeypatch.setattr(TS, "MAX_VALUES", 8)
+    assert len(whole) == 60 and sorted(map(tuple, TS.explain_trees(df, trees, ["a", "b"], ["id"]).collect())) == whole
+
+
 def test_leaf_only_tree_and_empty_table(spark):
     leaf = {"weight": 2.0, "order": [0], "nodes": {0: (1.5, -1, -1, 10.0, -1, [], -1)}}
     df = spark.createDataFrame([(1, 0.5), (2, None)], "id long, a double")
