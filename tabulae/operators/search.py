@@ -4,8 +4,8 @@
   ``(trial, params map<string,string>)`` built by exploding the (bounded,
   user-given) value lists; random search keeps the first ``n_iter``
   candidates in hash order.
-* ``cv_scores``: every candidate scored on every fold in one job -- rows
-  are paired with the candidate table (a broadcast of the grid) and the
+* ``cv_scores``: every candidate scored on every fold in one job -- the rows,
+  written once, are read by a branch per candidate (or few of them) and the
   metrics are grouped by (trial, fold) with the shared evaluation code.
 * ``search_summary``: mean / population std per (trial, metric) and the
   best trial by the refit metric (``max_by``).
@@ -22,7 +22,7 @@ import warnings
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +33,8 @@ from ..session import reuse
 from .metrics import evaluate_by
 
 GRID_WARN = 50
+# Branches that the candidates of a search are dealt over.
+MAX_BRANCHES = 32
 
 
 def candidate_grid(spark: SparkSession, grid: Mapping[str, Sequence]) -> DataFrame:
@@ -79,12 +81,23 @@ def cv_scores(folded: DataFrame, candidates: DataFrame, score_fn: Callable[[Colu
 
 
 def _pair(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Attach every candidate to every row: the candidate list is collected
-    into one array (bounded by the grid) and exploded per row."""
-    arr = candidates.agg(F.collect_list(F.struct("trial", "params")).alias("_cands"))
-    k = "_cand_key"
-    j = rows.withColumn(k, F.lit(1)).join(F.broadcast(arr.withColumn(k, F.lit(1))), k).drop(k)
-    return j.select("*", F.inline("_cands")).drop("_cands")
+    """Attach every candidate to every row: the rows are written once and read by a
+    few branches, each with its own candidates (the list is bounded by the grid), so a
+    task that aggregates what follows holds the groups of its branch's candidates only."""
+    kept = reuse(rows)
+    types = {f.name: f.dataType for f in candidates.schema.fields}
+    found = candidates.select("trial", F.map_entries("params").alias("entries")).collect()  # in the map's order
+
+    def literal(r) -> Column:
+        entries = [F.struct(F.lit(k), F.lit(v).cast("string")) for k, v in r["entries"] or ()]
+        params = F.map_from_entries(F.array(*entries)) if entries else F.create_map()
+        params = F.lit(None) if r["entries"] is None else params
+        return F.struct(F.lit(r["trial"]).cast(types["trial"]).alias("trial"), params.cast(types["params"]).alias("params"))
+
+    if not found:
+        return kept.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in ("trial", "params")]).limit(0)
+    branches = [found[k::MAX_BRANCHES] for k in range(min(MAX_BRANCHES, len(found)))]
+    return reduce(DataFrame.unionAll, [kept.select("*", F.inline(F.array(*map(literal, some)))) for some in branches])
 
 
 def search_summary(cv: DataFrame, refit: str = "pr_auc", groups: Sequence[str] = (),

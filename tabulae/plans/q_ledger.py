@@ -204,7 +204,7 @@ def _cv_long(spark, d, candidates=None):
     train = scored_lineitem(spark, d, keep_features=True).where(F.col("split") == "train").drop("split")
     folded = stratified_kfold(train, "label", LINEITEM_KEY, k=N_FOLDS, seed=7, tie_cols=LINEITEM_TIES)
     cands = candidates if candidates is not None else H.candidate_grid(spark, SEARCH_GRID)
-    cv = H.cv_scores(folded.drop("p", "pred"), cands, _search_score)
+    cv = H.cv_scores(folded.select("label", "fold", *LINEITEM_SCORER.features), cands, _search_score)
     return cv.withColumn("value", F.round("value", R)), cands
 
 

@@ -89,3 +89,17 @@ def test_discriminant_is_the_closed_form(folded):
     assert s.intercept == pytest.approx(-sum(s.coefs[f] * (one[f].mean() + zero[f].mean()) / 2 for f in "ab"))
     with pytest.raises(ValueError, match="both classes"):
         MD.train_discriminant(folded.where("label = 1"), ["a"])
+
+
+def test_a_task_holds_few_candidates(spark, folded, monkeypatch):
+    grid = H.candidate_grid(spark, {"shrink": ["0.0", None, "0.5"], "k": [1, 2]})
+    draws = grid.unionByName(grid.where("trial = 4"))  # a candidate given twice counts twice
+    got = H._pair(folded, draws)
+    rows = got.select("id", "trial", F.map_entries("params").alias("params"))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, folded.crossJoin(draws).select(*rows.columns[:2], F.map_entries("params").alias("params")).collect()))
+    per_task = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.countDistinct("trial").alias("n")).collect()]
+    assert max(per_task) == 1
+    monkeypatch.setattr(H, "MAX_BRANCHES", 2)
+    assert H._pair(folded, draws).groupBy("trial").count().collect().__len__() == 6
+    none = H._pair(folded, grid.limit(0))
+    assert none.count() == 0 and dict(none.dtypes)["params"] == "map<string,string>"
