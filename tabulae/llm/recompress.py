@@ -50,6 +50,9 @@ MARGIN = sum(2 * longest - 1 for longest in ROUNDS)
 _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+# Bytes that are part of words; masks of a number's first 0 to 8 bytes in memory.
+_IN_WORD = np.array([chr(b) not in " \t\n\v\f\r" for b in range(256)])
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def _anchor_sizes(window: int) -> tuple[int, int]:
@@ -63,15 +66,40 @@ def _anchor_sizes(window: int) -> tuple[int, int]:
     return reach, anchor
 
 
-class TokenNames(dict):
-    """Name of a token: the 64-bit hash of its bytes."""
-
-    LIMIT = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        name = self[word] = xxhash.xxh64_intdigest(word)
+class TokenNames:
+    """Names of the words of texts: 64-bit hashes of their bytes, taken eight bytes
+    of all words at a time."""
+
+    # Longer words are hashed one by one.
+    LONGEST = 256
+
+    def bounds(self, data: bytes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of words of each text; first byte and end of each word in
+        ``data``)."""
+        inside = _IN_WORD[np.frombuffer(data, np.uint8)]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, stop = edge[0::2], edge[1::2]
+        begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        return np.diff(np.searchsorted(start, begin)), start, stop
+
+    @staticmethod
+    def data(texts: list[bytes]) -> bytes:
+        """The texts between spaces; eight bytes may be read from any byte of them."""
+        return b"".join([b" ", *(x for t in texts for x in (t, b" ")), b" " * 8])
+
+    def names(self, data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Names of the words data[start:stop], for arrays of both."""
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        size = stop - start
+        name = size.astype(_U) * _U(_BASES[0])
+        todo, at = np.flatnonzero(size <= self.LONGEST), 0
+        while len(todo):
+            part = eight[start[todo] + at] & _FIRST_BYTES[np.minimum(size[todo] - at, 8)]
+            name[todo] = mix64(name[todo] ^ part)
+            at += 8
+            todo = todo[size[todo] > at]
+        for i in np.flatnonzero(size > self.LONGEST).tolist():
+            name[i] = xxhash.xxh64_intdigest(data[start[i]:stop[i]])
         return name
 
 
@@ -166,11 +194,11 @@ class Run:
     """The tokens of several texts, end to end."""
 
     def __init__(self, texts: list[bytes], tokens: TokenNames, window: int):
-        words = [t.split() for t in texts]
-        self.n_words = np.array([len(w) for w in words], np.int64)
+        data = tokens.data(texts)
+        self.n_words, start, stop = tokens.bounds(data, texts)
         used = self.n_words >= window
-        flat = [x for w, u in zip(words, used, strict=True) if u for x in w]
-        self.tokens = np.fromiter(map(tokens.__getitem__, flat), _U, len(flat))
+        word = np.repeat(used, self.n_words)
+        self.tokens = tokens.names(data, start[word], stop[word])
         size = np.where(used, self.n_words, 0)
         self.end = np.cumsum(size)
         self.begin = self.end - size

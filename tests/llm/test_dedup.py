@@ -51,6 +51,23 @@ def test_equal_windows_hold_an_equal_anchor():
         assert set(runs[0].name.tolist()) & set(runs[1].name.tolist())
 
 
+def test_words_are_cut_and_named_by_their_bytes():
+    """The words of ``bytes.split``, without a Python object for each; one name for each word."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abc \t\n\x0b\x0c\r\x1c\x85\x00\xff") for _ in range(rng.choice([0, 1, 9, 300]))) for _ in range(60)]
+    texts += [b"x" * n + b" " + b"x" * (n - 1) + b"\x00" for n in (7, 8, 9, 16, 255, 256, 257, 5000)]
+    names, seen = recompress.TokenNames(), {}
+    for i in range(0, len(texts), 4):
+        data = names.data(texts[i:i + 4])
+        n, start, stop = names.bounds(data, texts[i:i + 4])
+        words = [t.split() for t in texts[i:i + 4]]
+        assert n.tolist() == [len(w) for w in words]
+        assert [data[a:b] for a, b in zip(start, stop)] == sum(words, [])
+        for word, name in zip(sum(words, []), names.names(data, start, stop).tolist()):
+            assert seen.setdefault(word, name) == name
+    assert len(set(seen.values())) == len(seen) > 100
+
+
 def test_lines_and_odd_rows(spark):
     long = "A line of some forty characters, or a few more than that"
     rows = [(i, f"{long}\nown {i}") for i in range(1, 6)] + [(6, f"  {long.upper()}\t\n{long}\nx"), (7, None), (8, ""), (None, long)]
