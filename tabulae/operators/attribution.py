@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reuse
+
 # ---------------------------------------------------------------------------
 # coalition designs (driver side, size bounded by the feature count)
 
@@ -689,9 +691,10 @@ def interaction_edges(inter: DataFrame, top_k: int = 10) -> DataFrame:
 
 def interaction_matrix(inter: DataFrame, top_k: int = 20) -> DataFrame:
     """Symmetric pair-strength matrix restricted to the ``top_k`` features
-    with the largest row sums; long (a, b, strength), a != b."""
-    pairs = inter.where(F.col("order") == 2).groupBy("feature_i", "feature_j").agg(
-        F.avg(F.abs("value")).alias("strength"))
+    with the largest row sums; long (a, b, strength), a != b. The strengths, one row
+    a pair, are written once: they are read six times, the rows' values once."""
+    pairs = reuse(inter.where(F.col("order") == 2).groupBy("feature_i", "feature_j").agg(
+        F.avg(F.abs("value")).alias("strength")))
     both = pairs.select(F.col("feature_i").alias("a"), F.col("feature_j").alias("b"), "strength").unionByName(
         pairs.select(F.col("feature_j").alias("a"), F.col("feature_i").alias("b"), "strength"))
     sums = both.groupBy("a").agg(F.sum("strength").alias("_rs"))

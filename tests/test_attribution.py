@@ -202,3 +202,20 @@ def test_values_of_every_class(spark):
     base = {r["class"]: r.base_value for r in X.base_value(bg.select(two.proba_array().alias("p")), "p", two.classes).collect()}
     assert abs(base["yes"] - want[0, "a"][1]) < 1e-9 and abs(base["no"] + base["yes"] - 1) < 1e-9
     assert X.class_shapley_values(df.limit(0), ["a", "b"], two, bg, ["id"]).count() == 0
+
+
+def test_matrix_computes_the_rows_values_once(spark):
+    from pyspark import TaskContext
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        if TaskContext.get().attemptNumber() == 0:
+            seen.add(1)
+        return v
+
+    rows = [(i, a, b, 2, 0.1 * i + len(a + b) * ord(a[0])) for i in range(30) for a, b in itertools.combinations(["x", "yy", "z"], 2)]
+    inter = spark.createDataFrame(rows, "id long, feature_i string, feature_j string, order long, value double")
+    out = X.interaction_matrix(inter.withColumn("value", counted("value")), 2)
+    assert [(r.a, r.b) for r in out.orderBy("a").collect()] == [("yy", "z"), ("z", "yy")]
+    assert seen.value == len(rows)
