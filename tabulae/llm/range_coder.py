@@ -23,8 +23,8 @@ import numpy as np
 
 # Blocks coded side by side, their least length, and symbols of a section, whose
 # blocks all fit in the lanes.
-LANES, MIN_BLOCK = 2048, 512
-MAX_SECTION = 1 << 22
+LANES, MIN_BLOCK = 3072, 512
+MAX_SECTION = LANES << 11
 # Bits of a proposal's confidence, of a decision's probability, and of the
 # digits that the coder puts out; its range stays above 2^LOW.
 TRUST, CHOICE, DIGIT, LOW = 3, 16, 12, 48
@@ -32,11 +32,13 @@ TRUST, CHOICE, DIGIT, LOW = 3, 16, 12, 48
 CONTEXT_BITS = 10
 # Groups of order 0 and bits of their frequencies; a prior's total.
 GROUPS, GROUP_BITS, PRIOR = 16, 15, 1 << 14
+# Steps whose contexts are found at once where the symbols are known.
+AHEAD = 16
 # Learning: shift of probabilities and of group frequencies, step of weights.
 RATE, GROUP_RATE, LEARN = 5, 6, 12
 # What is left at least of a choice's 2^CHOICE for no proposal.
 _LEAST = 16
-_HASH = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(15))
+_HASH = (0x9E3779B1, 0x85EBCA6B, 15)
 _ONE, _SURE = 1 << CHOICE, (1 << TRUST) - 1
 
 
@@ -50,13 +52,13 @@ def _tables():
 
 
 _STRETCH, _SQUASH = _tables()
-# A context's entry is its proposal and confidence. By (right, confidence): does
-# the proposal stay, and how the confidence changes.
-_STAYS = np.array([n > 1 for n in range(_SURE + 1)] + [True] * (_SURE + 1))
+# A context's entry is its proposal and confidence. How the confidence changes
+# by (right, confidence); a wrong proposal stays if it was above 1.
 _CHANGE = np.array([(n >> 1) - n for n in range(_SURE + 1)] + [int(n < _SURE) for n in range(_SURE + 1)], np.int32)
-# Where the bounds of the groups move when a group is coded; every group keeps a part.
-_BOUNDS = np.arange(GROUPS + 1)
-_TARGET = np.where(_BOUNDS[None, :] <= _BOUNDS[:GROUPS, None], _BOUNDS, (1 << GROUP_BITS) - GROUPS + _BOUNDS).astype(np.int32)
+# The bounds between the groups, a row each, in 16 bits: those up to the group
+# coded move towards their number, those above towards as much below the top.
+_INNER = np.arange(1, GROUPS, dtype=np.int16)[:, None]
+_ABOVE = np.int16((1 << GROUP_BITS) - GROUPS)
 
 
 def block_length(n: int) -> int:
@@ -88,64 +90,132 @@ class _OrderZero:
 
 class _Model:
     """Models of ``lanes`` blocks of ``length`` symbols. Arrays of two rows are
-    for order 1 and order 2."""
+    for order 1 and order 2; places are 64 bits wide, as numpy takes them."""
 
     def __init__(self, lanes: int, length: int, zero: _OrderZero):
-        self.zero = zero
+        self.zero, self.lanes = zero, lanes
         bits = min(CONTEXT_BITS, length.bit_length())
-        self.mask = np.array([[(1 << bits) - 1], [(2 << bits) - 1]], np.uint32)
+        self.mask = np.array([[(1 << bits) - 1], [(2 << bits) - 1]])
         lane = np.arange(lanes)
         self.base = np.stack([lane << bits, (lanes + 2 * lane) << bits])
         self.table = np.zeros(3 * lanes << bits, np.int32)
-        self.before = np.zeros((2, lanes), np.uint32)  # last symbol, and a hash of the last two
+        self.at = self.base.copy()  # contexts of the last symbol, and of a hash of the last two
+        self.before = np.zeros(lanes, np.int64)
         # Probabilities: by order 1's confidence (for order 2's proposal, where
         # order 1 agrees or not), by order 2's, by both (for order 1's proposal).
         n = np.arange(_SURE + 1)
         sure = ((n + 0.3) / (n + 1.3) * 65000).astype(np.int64)
         start = [sure, 65535 - sure, sure, np.repeat(sure, len(n)) // 2]
         self.p = np.tile(np.concatenate(start).astype(np.int32), lanes)
-        self.rows = (lane * sum(map(len, start)) + np.array([[0], [2], [3]]) * len(n)).astype(np.int32)
+        self.rows = lane * sum(map(len, start)) + np.array([[0], [2], [3]]) * len(n)
         self.w = np.repeat(np.array([[20000], [26000], [6000]], np.int32), lanes, axis=1)
-        self.s = np.zeros((3, lanes), np.int32)
-        self.groups = np.tile((_BOUNDS << GROUP_BITS - 4).astype(np.int32), (lanes, 1))
+        self.s, self.right = np.zeros((2, 3, lanes), np.int32)
+        self.f = np.zeros((2, lanes), np.int32)
+        # Bounds of the groups by (bound, lane); the top needs the 16th bit.
+        self.groups = np.repeat((np.arange(GROUPS + 1) << GROUP_BITS - 4).astype(np.uint16), lanes).reshape(GROUPS + 1, lanes)
+        self.inner = self.groups[1:GROUPS].view(np.int16)
+        self.move = np.zeros_like(self.inner)
+        self.coded, self.moves = np.zeros((2, lanes), np.int16)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies out of 2^CHOICE of order 2's and order 1's proposal."""
-        self.at = self.base + (self.before & self.mask)
         self.e = e = self.table.take(self.at)
         self.n = n = e & _SURE
         self.c = c = e >> TRUST
-        self.apart = apart = (c[0] != c[1]).astype(np.int32)
-        at = self.rows.copy()
+        self.apart = apart = c[0] != c[1]
+        self.p_at = at = self.rows.copy()
         at[:2] += n
-        at[0] += apart << TRUST
+        at[0] += apart.astype(np.int32) << TRUST
         at[2] += n[0] + (n[1] << TRUST)
-        self.p_at = at.astype(np.intp)
-        self.q = q = self.p.take(self.p_at)
-        s = self.s
-        s[:2] = _STRETCH.take(q[:2] >> 4)
-        s[2] = self.zero.odds.take(c[1])
-        x = self.w * s
-        self.mixed = _SQUASH.take(((x[0] + x[1] + x[2]) >> 16) + 2048, mode="clip")
-        f2 = self.mixed << CHOICE - 12
-        f1 = (((_ONE - _LEAST - f2) * (q[2] >> 4) >> 12) + 1) * apart
-        return f2.astype(np.int64), f1.astype(np.int64)
+        self.q = q = self.p.take(at)
+        q, s, f = q >> 4, self.s, self.f
+        _STRETCH.take(q[:2], out=s[:2], mode="clip")
+        self.zero.odds.take(c[1], out=s[2], mode="clip")
+        total = np.add.reduce(self.w * s, axis=0, dtype=np.int32, initial=2048 << 16)
+        total >>= 16
+        self.mixed = _SQUASH.take(total, mode="clip")
+        np.left_shift(self.mixed, CHOICE - 12, out=f[0])
+        f1 = np.subtract(_ONE - _LEAST, f[0], out=f[1])
+        f1 *= q[2]
+        f1 >>= 12
+        f1 += 1
+        f1 *= apart
+        return tuple(f.astype(np.int64))
 
     def update(self, symbol: np.ndarray) -> None:
-        hit = (self.c == symbol).astype(np.int32)
-        error = ((hit[1] << 12) - self.mixed) * LEARN
-        self.w += (self.s * error + 0x8000) >> 16
-        to = hit[[1, 1, 0]] * 65535 - self.q >> RATE
-        to[2] *= self.apart * (1 - hit[1])
-        self.p[self.p_at] = self.q + to
-        case = self.n + (hit << TRUST)
-        self.table[self.at] = np.where(_STAYS.take(case), self.e + _CHANGE.take(case), symbol << np.int32(TRUST) | np.int32(1))
-        new = symbol.astype(np.uint32)
-        self.before[1] = new * _HASH[0] + self.before[0] * _HASH[1] >> _HASH[2]
-        self.before[0] = new
-
-    def learn_group(self, lanes: np.ndarray, bounds: np.ndarray, group: np.ndarray) -> None:
-        self.groups[lanes] = bounds + (_TARGET.take(group, axis=0) - bounds >> GROUP_RATE)
+        hit = self.c == symbol
+        right, n = self.right, self.n
+        right[0] = hit[1]
+        right[2] = hit[0]
+        error = right[0] << 12
+        error -= self.mixed
+        error *= LEARN
+        step = self.s * error
+        step += 0x8000
+        step >>= 16
+        self.w += step
+        right *= 65535
+        right[1] = right[0]
+        right -= self.q
+        right >>= RATE
+        right[2] *= self.apart & ~hit[1]
+        right += self.q
+        self.p[self.p_at] = right
+        stays = n > 1
+        stays |= hit
+        new = _CHANGE.take(n + (hit.astype(np.int32) << TRUST))
+        new += self.e
+        self.table[self.at] = np.where(stays, new, symbol << np.int32(TRUST) | np.int32(1))
+
+    def follow(self, last: np.ndarray) -> None:
+        """Contexts after the symbols ``last``."""
+        self.at[0] = last
+        both = self.at[0] * _HASH[0]
+        both += self.before * _HASH[1]
+        self.before[:] = last
+        np.right_shift(both, _HASH[2], out=self.at[1])
+        self.at &= self.mask
+        self.at += self.base
+
+    def contexts(self, grid: np.ndarray, first: int) -> np.ndarray:
+        """Contexts of ``AHEAD`` rows of known symbols, from row ``first``."""
+        last = np.zeros((min(AHEAD, len(grid) - first) + 1, self.lanes), np.int64)
+        known = grid[max(0, first - 2):first - 1 + len(last) - 1]
+        last[len(last) - len(known):] = known
+        at = np.empty((len(last) - 1, 2, self.lanes), np.int64)
+        at[:, 0] = last[1:]
+        at[:, 1] = last[1:] * _HASH[0] + last[:-1] * _HASH[1] >> _HASH[2]
+        at &= self.mask
+        at += self.base
+        return at
+
+    def bounds(self, lanes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where ``group`` of each lane begins, how wide it is)."""
+        at = group * self.lanes
+        at += lanes
+        flat = self.groups.reshape(-1)
+        begin = flat.take(at).astype(np.int64)
+        at += self.lanes
+        return begin, flat.take(at) - begin
+
+    def groups_at(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The group of each lane that holds ``value``."""
+        self.coded[lanes] = value
+        return (self.inner <= self.coded).view(np.int8).sum(axis=0, dtype=np.int8).take(lanes).astype(np.int64)
+
+    def learn_group(self, lanes: np.ndarray, group: np.ndarray) -> None:
+        """All lanes at once; those without a coded group do not move."""
+        self.coded[lanes] = group
+        self.moves[:] = 0
+        self.moves[lanes] = -1
+        move = np.subtract(self.coded, _INNER, out=self.move)
+        move >>= 15
+        move &= _ABOVE
+        move += _INNER
+        move -= self.inner
+        move >>= GROUP_RATE
+        move &= self.moves
+        self.inner += move
 
 
 def _pack(digits: np.ndarray) -> bytes:
@@ -171,38 +241,60 @@ def encode(symbols: np.ndarray, own: np.ndarray, length: int) -> list[bytes]:
     zero = _OrderZero(own)
     model = _Model(lanes, length, zero)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW + DIGIT, np.int64)
-    out, used = np.zeros((lanes, length + 16), np.int16), np.zeros(lanes, np.int64)
+    width = length * 3 // 2 + 16
+    out, used = np.zeros(lanes * width, np.int16), np.zeros(lanes, np.int64)
+    begin_at = np.arange(lanes) * width
     mask = (1 << LOW) - 1
 
     for k in range(length):
         symbol = grid[k]
+        if k % AHEAD == 0:
+            contexts = model.contexts(grid, k)
+        model.at = contexts[k % AHEAD]
         f2, f1 = model.predict()
         by2 = symbol == model.c[1]
-        by1 = (symbol == model.c[0]) & ~by2
-        rest = f2 + f1
+        by1 = symbol == model.c[0]
+        by1 &= ~by2
         unit = span >> CHOICE
-        low += unit * np.where(by2, 0, np.where(by1, f2, rest))
-        span = unit * np.where(by2, f2, np.where(by1, f1, _ONE - rest))
         lane = np.flatnonzero(~(by2 | by1))
+        # Order 2's part comes first, then order 1's, then the rest.
+        begin = f2 * ~by2
+        span = np.where(by2, f2, f1)
+        f1 += f2
+        begin[lane] = rest = f1.take(lane)
+        span[lane] = _ONE - rest
+        begin *= unit
+        low += begin
+        span *= unit
         if len(lane):
-            missed = symbol[lane]
+            missed = symbol.take(lane)
             group = zero.group.take(missed)
-            bounds, row = model.groups[lane], np.arange(len(lane))
-            begin = bounds[row, group]
-            unit = span[lane] >> GROUP_BITS
-            part = unit * (bounds[row, group + 1] - begin) // zero.mass.take(group)
-            low[lane] += unit * begin + part * zero.below.take(missed)
+            begin, part = model.bounds(lane, group)
+            unit = span.take(lane) >> GROUP_BITS
+            part *= unit
+            part //= zero.mass.take(group)
+            begin *= unit
+            begin += part * zero.below.take(missed)
+            begin += low.take(lane)
+            low[lane] = begin
             span[lane] = part * zero.own.take(missed)
-            model.learn_group(lane, bounds, group)
+            model.learn_group(lane, group)
         while len(at := np.flatnonzero(span < 1 << LOW)):
-            x, to = low[at], used[at]
-            if to.max() + 8 > out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[at, to] = x >> LOW  # one more than a digit where it carries
-            used[at] = to + 1
-            low[at] = (x & mask) << DIGIT
-            span[at] <<= DIGIT
+            x, to = low.take(at), used.take(at)
+            if to.max() + 8 > width:
+                out = np.concatenate([out.reshape(lanes, width)] * 2, axis=1)
+                out[:, width:] = 0
+                out, width = out.reshape(-1), 2 * width
+                begin_at *= 2
+            out[begin_at.take(at) + to] = x >> LOW  # one more than a digit where it carries
+            to += 1
+            used[at] = to
+            x &= mask
+            x <<= DIGIT
+            low[at] = x
+            span[at] = span.take(at) << DIGIT
         model.update(symbol)
+    out = out.reshape(lanes, width)
     for _ in range((LOW + DIGIT) // DIGIT):  # all that is left of ``low``
         out[np.arange(lanes), used] = low >> LOW
         low = (low & mask) << DIGIT
@@ -239,33 +331,39 @@ def decode(blocks: list[bytes], own: np.ndarray, length: int) -> np.ndarray:
         rest = f2 + f1
         unit = span >> CHOICE
         to2, to1 = unit * f2, unit * rest
-        by2, by1 = code < to2, code < to1
-        code -= np.where(by2, 0, np.where(by1, to2, to1))
-        span = np.where(by2, to2, np.where(by1, to1 - to2, unit * (_ONE - rest)))
+        by2 = code < to2
+        lane = np.flatnonzero(code >= to1)
+        span = np.where(by2, to2, to1 - to2)
+        code -= to2 * ~by2
         symbol = np.where(by2, model.c[1], model.c[0])
-        lane = np.flatnonzero(~by1)
         if len(lane):
-            unit = span[lane] >> GROUP_BITS
-            bounds, row = model.groups[lane], np.arange(len(lane))
-            rest = code[lane]
-            value = np.minimum(rest // unit, (1 << GROUP_BITS) - 1)
-            group = (bounds <= value[:, None]).sum(axis=1) - 1
-            begin = bounds[row, group]
+            whole = unit.take(lane) * (_ONE - rest.take(lane))
+            unit = whole >> GROUP_BITS
+            rest = code.take(lane)
+            rest -= (to1 - to2).take(lane)
+            group = model.groups_at(lane, np.minimum(rest // unit, (1 << GROUP_BITS) - 1))
+            begin, part = model.bounds(lane, group)
             mass = zero.mass.take(group)
-            part = unit * (bounds[row, group + 1] - begin) // mass
+            part *= unit
+            part //= mass
             rest -= unit * begin
-            missed = zero.at.take(zero.start.take(group) + np.minimum(rest // part, mass - 1))
-            code[lane] = rest - part * zero.below.take(missed)
+            mass -= 1
+            missed = zero.at.take(zero.start.take(group) + np.minimum(rest // part, mass))
+            rest -= part * zero.below.take(missed)
+            code[lane] = rest
             span[lane] = part * zero.own.take(missed)
-            model.learn_group(lane, bounds, group)
+            model.learn_group(lane, group)
             symbol[lane] = missed
         while len(at := np.flatnonzero(span < 1 << LOW)):
-            to = place[at]
-            if span[at].min() < 1:
+            to, part = place.take(at), span.take(at)
+            if part.min() < 1:
                 raise ValueError("damaged block")
-            code[at] = code[at] << DIGIT | digits.take(to)
-            place[at] = np.minimum(to + 1, end[at])
-            span[at] <<= DIGIT
+            code[at] = code.take(at) << DIGIT | digits.take(to)
+            to += 1
+            place[at] = np.minimum(to, end.take(at), out=to)
+            part <<= DIGIT
+            span[at] = part
         model.update(symbol)
+        model.follow(symbol)
         grid[k] = symbol
     return grid.T

@@ -22,14 +22,16 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,21 +44,26 @@ from .common import RUN_BYTES
 MAGIC, VERSION = b"TIDS", 1
 # Words, and parts of words, whose ids a Python worker keeps.
 MAX_WORDS = 1 << 19
+# Small letters that are written one way only, and ASCII marks without the
+# apostrophe, which starts parts of words such as 's.
+LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(f"[{LETTERS}]+")
+_MARKED = re.compile(f"^([{LETTERS}]+)([{MARKS}]+)$", re.MULTILINE)
+# Plain words that the tokenizer gets in one text.
+TOGETHER = 200
 
 
-class _Numbers(dict):
-    """Number of each string; one not seen before gets the next."""
-
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        return number
+def _numbers(keys: Iterator[str] = iter(())) -> defaultdict[str, int]:
+    """Number of each string, ``keys`` first; one not seen before gets the next."""
+    known = {key: i for i, key in enumerate(keys)}
+    return defaultdict(itertools.count(len(known)).__next__, known)
 
 
 class _Ids:
     """Ids of numbered strings, one after the other."""
 
     def __init__(self):
-        self.numbers = _Numbers()
+        self.numbers = _numbers()
         self.flat, self.size, self.start, self.uses = (np.zeros(0, np.int64) for _ in range(4))
 
     def new(self) -> list[str]:
@@ -83,7 +90,7 @@ class _Ids:
             stay = self.uses > np.sort(self.uses)[-(most // 2)]
         keys, at = itertools.compress(self.numbers, stay.tolist()), np.flatnonzero(stay)
         (flat, size), kept = self.of(at), _Ids()
-        kept.numbers.update(zip(keys, range(len(at))))
+        kept.numbers = _numbers(keys)
         kept.add(flat, size)
         self.__dict__ = kept.__dict__
 
@@ -93,12 +100,23 @@ class WordEncoder:
     ignores case, as ``splits_at_spaces`` tells: each different word is encoded
     once and remembered, up to ``MAX_WORDS``. Words that differ in ASCII capitals,
     or in a comma or full stop after a last ASCII letter, share what is
-    encoded; words that may hold a special token are encoded as they are."""
+    encoded; words that may hold a special token are encoded as they are.
+
+    Where ``_plain`` finds that the tokenizer takes words of ``LETTERS`` as they
+    are, words share what stands before any ``MARKS`` at their end, and words of
+    such letters go to the tokenizer's model many at a time, without the
+    steps that would leave them unchanged."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain, self.last = _plain(path), None
+        if self.plain:
+            # A plain word ends at its only token with the suffix.
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(1 + max(vocabulary.values()), bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.words, self.pieces = _Ids(), _Ids()
 
     @staticmethod
@@ -110,17 +128,48 @@ class WordEncoder:
             return [word[:-1], word[-1]]
         return [word]
 
+    def _parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(parts of all words one after the other, number of parts of each);
+        a word holds neither a space nor a line feed."""
+        text = "\n".join(words)
+        if not self.plain or "<|" in text:
+            parts = [self._split(w) for w in words]
+            return list(itertools.chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+        text = _MARKED.sub(r"\1 \2", text.encode().lower().decode())
+        n = [1 + w.count(" ") for w in text.split("\n")]
+        return text.replace("\n", " ").split(" "), np.array(n, np.int64)
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after the other, number of ids of each)."""
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words))
+        if self.plain is None or not plain.any():
+            return self._whole(words)
+        some = list(itertools.compress(words, plain.tolist()))
+        texts = [" ".join(some[i:i + TOGETHER]) for i in range(0, len(some), TOGETHER)]
+        found = [x.ids for x in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64)
+        size = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        if len(size) != len(some) or size.sum() != len(flat):
+            return self._whole(words)
+        if plain.all():
+            return flat, size
+        rest, n = self._whole(list(itertools.compress(words, (~plain).tolist())))
+        both = _Ids()
+        both.add(np.append(flat, rest), np.append(size, n))
+        return both.of(np.argsort(np.argsort(~plain, kind="stable")))
+
     def _learn(self) -> None:
         """Encode the words numbered since the last call."""
-        parts = [self._split(w) for w in self.words.new()]
-        at = np.fromiter(map(self.pieces.numbers.__getitem__, itertools.chain.from_iterable(parts)), np.int64)
+        parts, n = self._parts(self.words.new())
+        at = np.fromiter(map(self.pieces.numbers.__getitem__, parts), np.int64, len(parts))
         if new := self.pieces.new():
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.pieces.add(np.fromiter(itertools.chain.from_iterable(found), np.int64),
-                            np.fromiter(map(len, found), np.int64, len(found)))
+            self.pieces.add(*self._encode(new))
         self.pieces.uses += np.bincount(at, minlength=len(self.pieces.uses))
         flat, size = self.pieces.of(at)
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
         self.words.add(flat, np.add.reduceat(size, np.cumsum(n) - n))
 
     def encode(self, texts: Sequence[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,19 +177,48 @@ class WordEncoder:
         number of ids of each)."""
         for known in (self.words, self.pieces):
             known.forget(MAX_WORDS)
-        words, until = [], []
-        for text in texts:
-            words += text.replace("\n", " ").split(" ")
-            until.append(len(words))
-        at = np.fromiter(map(self.words.numbers.__getitem__, words), np.int64, len(words))
+        words = pc.split_pattern(pa.array([x.replace("\n", " ") for x in texts], pa.large_string()), " ")
+        until, found = words.offsets.to_numpy()[1:], words.values.dictionary_encode()
+        names, place = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        at = np.fromiter(map(self.words.numbers.__getitem__, names), np.int64, len(names))
         if len(self.words.numbers) > len(self.words.size):
             self._learn()
-        self.words.uses += np.bincount(at, minlength=len(self.words.uses))
-        ids, size = self.words.of(at)
+        self.words.uses[at] += np.bincount(place, minlength=len(at))
+        ids, size = self.words.of(at[place])
         ends = np.concatenate([[0], np.cumsum(size)])[until]
         return np.insert(ids, ends, end_id).astype(np.int32), np.diff(ends, prepend=0) + 1
 
 
+def _plain(path: str):
+    """The tokenizer without the steps before its model, for words of ``LETTERS``
+    with a space between them; None if those steps may change or cut such words,
+    or join them with ``MARKS``, so that they have to go through all steps."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    t = Tokenizer.from_file(path)
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def ids(x: str, by: Tokenizer = t) -> list[int]:
+        return by.encode(x, add_special_tokens=False).ids
+
+    letters, marks = (re.findall(f"[{x}]", "".join(map(chr, range(256)))) for x in (LETTERS, MARKS))
+    words = [*letters, "".join(letters), "".join(letters[::-1]), *(a + b for a in letters for b in letters)]
+    if not getattr(t.model, "end_of_word_suffix", None) or t.model.dropout or t.normalizer is None or t.pre_tokenizer is None:
+        return None
+    if any(_PLAIN.search(x.content) and not set("<|") <= set(x.content) for x in t.get_added_tokens_decoder().values()):
+        return None
+    for x in words:
+        if (t.normalizer.normalize_str(x) != x
+                or [p for p, _ in t.pre_tokenizer.pre_tokenize_str(x)] != [p for p, _ in as_bytes.pre_tokenize_str(x)]):
+            return None
+    tails = [*marks, *(a + b for a in marks for b in marks if a + b != "<|"), "".join(marks)]
+    if any(ids(x + tail) != ids(x) + ids(tail) for x in ("x", "zé") for tail in tails):
+        return None
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), as_bytes])
+    return plain if ids(" ".join(words), plain) == ids(" ".join(words)) else None
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     """One a Python worker: its tasks share the tokenizer and the words."""
@@ -254,7 +332,7 @@ class Section:
         blocks = [self.data[at[k]:at[k + 1]] for k in range(first, last)]
         if not blocks:
             return np.zeros(0, "<u4")
-        ids = self.found[range_coder.decode(blocks, self.own, self.length)].astype("<u4").reshape(-1)
+        ids = self.found.astype("<u4").take(range_coder.decode(blocks, self.own, self.length)).reshape(-1)
         ids = ids[:self.n - first * self.length]
         for k in range(first, last):
             part = ids[(k - first) * self.length:(k - first + 1) * self.length]
