@@ -23,8 +23,8 @@ import numpy as np
 
 # Blocks coded side by side, their least length, and symbols of a section, whose
 # blocks all fit in the lanes.
-LANES, MIN_BLOCK = 3072, 512
-MAX_SECTION = LANES << 11
+LANES, MIN_BLOCK = 4096, 512
+MAX_SECTION = LANES * 1536
 # Bits of a proposal's confidence, of a decision's probability, and of the
 # digits that the coder puts out; its range stays above 2^LOW.
 TRUST, CHOICE, DIGIT, LOW = 3, 16, 12, 48
@@ -39,6 +39,7 @@ RATE, GROUP_RATE, LEARN = 5, 6, 12
 # What is left at least of a choice's 2^CHOICE for no proposal.
 _LEAST = 16
 _HASH = (0x9E3779B1, 0x85EBCA6B, 15)
+_APART = np.array([0, 1 << TRUST], np.int32)
 _ONE, _SURE = 1 << CHOICE, (1 << TRUST) - 1
 
 
@@ -110,7 +111,8 @@ class _Model:
         self.rows = lane * sum(map(len, start)) + np.array([[0], [2], [3]]) * len(n)
         self.w = np.repeat(np.array([[20000], [26000], [6000]], np.int32), lanes, axis=1)
         self.s, self.right = np.zeros((2, 3, lanes), np.int32)
-        self.f = np.zeros((2, lanes), np.int32)
+        self.f, self.case = np.zeros((2, 2, lanes), np.int32)
+        self.from_hit = np.array([1, 1, 0])
         # Bounds of the groups by (bound, lane); the top needs the 16th bit.
         self.groups = np.repeat((np.arange(GROUPS + 1) << GROUP_BITS - 4).astype(np.uint16), lanes).reshape(GROUPS + 1, lanes)
         self.inner = self.groups[1:GROUPS].view(np.int16)
@@ -123,10 +125,12 @@ class _Model:
         self.n = n = e & _SURE
         self.c = c = e >> TRUST
         self.apart = apart = c[0] != c[1]
-        self.p_at = at = self.rows.copy()
-        at[:2] += n
-        at[0] += apart.astype(np.int32) << TRUST
-        at[2] += n[0] + (n[1] << TRUST)
+        both = self.right  # free until the update
+        both[:2] = n
+        np.left_shift(n[1], TRUST, out=both[2])
+        both[2] += n[0]
+        both[0] += _APART.take(apart.view(np.int8))
+        self.p_at = at = self.rows + both
         self.q = q = self.p.take(at)
         q, s, f = q >> 4, self.s, self.f
         _STRETCH.take(q[:2], out=s[:2], mode="clip")
@@ -142,30 +146,30 @@ class _Model:
         f1 *= apart
         return tuple(f.astype(np.int64))
 
-    def update(self, symbol: np.ndarray) -> None:
-        hit = self.c == symbol
-        right, n = self.right, self.n
-        right[0] = hit[1]
-        right[2] = hit[0]
-        error = right[0] << 12
-        error -= self.mixed
-        error *= LEARN
+    def update(self, symbol: np.ndarray, hit: np.ndarray) -> None:
+        """Learn from the symbols coded; ``hit``: which proposals they are."""
+        right, case, apart = self.right, self.case, self.apart
+        np.multiply(hit, 1 << TRUST, out=case, dtype=np.int32)
+        case += self.n
+        error = np.multiply(hit[1], LEARN << 12, dtype=np.int32)
+        error -= self.mixed * LEARN
         step = self.s * error
         step += 0x8000
         step >>= 16
         self.w += step
-        right *= 65535
-        right[1] = right[0]
+        # Order 1's probability learns only where its own proposal was asked for.
+        np.multiply(hit[self.from_hit], 65535, out=right, dtype=np.int32)
         right -= self.q
         right >>= RATE
-        right[2] *= self.apart & ~hit[1]
+        apart &= ~hit[1]
+        right[2] *= apart
         right += self.q
         self.p[self.p_at] = right
-        stays = n > 1
-        stays |= hit
-        new = _CHANGE.take(n + (hit.astype(np.int32) << TRUST))
+        new = _CHANGE.take(case)
         new += self.e
-        self.table[self.at] = np.where(stays, new, symbol << np.int32(TRUST) | np.int32(1))
+        fresh = symbol << np.int32(TRUST)
+        fresh |= np.int32(1)
+        self.table[self.at] = np.where(case > 1, new, fresh)
 
     def follow(self, last: np.ndarray) -> None:
         """Contexts after the symbols ``last``."""
@@ -226,9 +230,11 @@ def _pack(digits: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    x = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-    value = x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]
-    return np.stack([value >> DIGIT, value & (1 << DIGIT) - 1], axis=1).reshape(-1)
+    x = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int16)
+    out = np.empty((len(x), 2), np.int16)
+    out[:, 0] = x[:, 0] << 4 | x[:, 1] >> 4
+    out[:, 1] = (x[:, 1] & 15) << 8 | x[:, 2]
+    return out.reshape(-1)
 
 
 def encode(symbols: np.ndarray, own: np.ndarray, length: int) -> list[bytes]:
@@ -241,22 +247,26 @@ def encode(symbols: np.ndarray, own: np.ndarray, length: int) -> list[bytes]:
     zero = _OrderZero(own)
     model = _Model(lanes, length, zero)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW + DIGIT, np.int64)
-    width = length * 3 // 2 + 16
-    out, used = np.zeros(lanes * width, np.int16), np.zeros(lanes, np.int64)
-    begin_at = np.arange(lanes) * width
+    width = 2 * length + 8 * AHEAD
+    out, lane_at = np.zeros(lanes * width, np.int16), np.arange(lanes)
+    place = lane_at * width
     mask = (1 << LOW) - 1
 
     for k in range(length):
         symbol = grid[k]
         if k % AHEAD == 0:
             contexts = model.contexts(grid, k)
+            used = place - lane_at * width
+            if used.max() + 6 * AHEAD > width:  # a symbol takes five digits at most
+                out = np.concatenate([out.reshape(lanes, width), np.zeros((lanes, width), np.int16)], axis=1).reshape(-1)
+                width *= 2
+                place = lane_at * width + used
         model.at = contexts[k % AHEAD]
         f2, f1 = model.predict()
-        by2 = symbol == model.c[1]
-        by1 = symbol == model.c[0]
-        by1 &= ~by2
+        hit = model.c == symbol
+        by2 = hit[1]
         unit = span >> CHOICE
-        lane = np.flatnonzero(~(by2 | by1))
+        lane = np.flatnonzero(~(hit[0] | by2))
         # Order 2's part comes first, then order 1's, then the rest.
         begin = f2 * ~by2
         span = np.where(by2, f2, f1)
@@ -279,29 +289,30 @@ def encode(symbols: np.ndarray, own: np.ndarray, length: int) -> list[bytes]:
             low[lane] = begin
             span[lane] = part * zero.own.take(missed)
             model.learn_group(lane, group)
-        while len(at := np.flatnonzero(span < 1 << LOW)):
-            x, to = low.take(at), used.take(at)
-            if to.max() + 8 > width:
-                out = np.concatenate([out.reshape(lanes, width)] * 2, axis=1)
-                out[:, width:] = 0
-                out, width = out.reshape(-1), 2 * width
-                begin_at *= 2
-            out[begin_at.take(at) + to] = x >> LOW  # one more than a digit where it carries
+        at = np.flatnonzero(span < 1 << LOW)
+        while len(at):
+            x, to, part = low.take(at), place.take(at), span.take(at)
+            out[to] = x >> LOW  # one more than a digit where it carries
             to += 1
-            used[at] = to
+            place[at] = to
             x &= mask
             x <<= DIGIT
             low[at] = x
-            span[at] = span.take(at) << DIGIT
-        model.update(symbol)
-    out = out.reshape(lanes, width)
+            part <<= DIGIT
+            span[at] = part
+            at = at[part < 1 << LOW]
+        model.update(symbol, hit)
     for _ in range((LOW + DIGIT) // DIGIT):  # all that is left of ``low``
-        out[np.arange(lanes), used] = low >> LOW
+        out[place] = low >> LOW
         low = (low & mask) << DIGIT
-        used += 1
-    while (over := out >> DIGIT).any():  # carries
-        out &= (1 << DIGIT) - 1
-        out[:, :-1] += over[:, 1:]
+        place += 1
+    over = np.flatnonzero(out >= 1 << DIGIT)
+    while len(over):  # carries
+        out[over] &= (1 << DIGIT) - 1
+        over -= 1
+        out[over] += 1
+        over = over[out[over] >= 1 << DIGIT]
+    out, used = out.reshape(lanes, width), place - lane_at * width
     return [_pack(out[i, :n]) for i, n in enumerate(used.tolist())]
 
 
@@ -310,19 +321,17 @@ def decode(blocks: list[bytes], own: np.ndarray, length: int) -> np.ndarray:
     error or give other symbols, which their reader's checksum shows."""
     lanes = len(blocks)
     first = (LOW + DIGIT) // DIGIT
-    width = max((len(b) // 3 * 2 for b in blocks), default=0) + first + 8
-    digits = np.zeros(lanes * width, np.int16)
-    for i, b in enumerate(blocks):
-        part = _unpack(b)
-        digits[i * width:i * width + len(part)] = part
+    digits = np.append(_unpack(b"".join(blocks)), np.int16(0))
+    # A block's digits end with all that is left of its encoder's ``low``, so
+    # only a damaged one asks for more than it holds.
+    end = np.cumsum([len(b) // 3 * 2 for b in blocks])
+    place = np.append(0, end)[:lanes]
     zero = _OrderZero(own)
     model = _Model(lanes, length, zero)
-    place = np.arange(lanes) * width
     code = np.zeros(lanes, np.int64)
     for _ in range(first):
         code = code << DIGIT | digits[place]
-        place += 1
-    end = np.arange(1, lanes + 1) * width - 1
+        place = np.minimum(place + 1, end)
     span = np.full(lanes, 1 << LOW + DIGIT, np.int64)
     grid = np.zeros((length, lanes), np.int32)
 
@@ -354,7 +363,8 @@ def decode(blocks: list[bytes], own: np.ndarray, length: int) -> np.ndarray:
             span[lane] = part * zero.own.take(missed)
             model.learn_group(lane, group)
             symbol[lane] = missed
-        while len(at := np.flatnonzero(span < 1 << LOW)):
+        at = np.flatnonzero(span < 1 << LOW)
+        while len(at):
             to, part = place.take(at), span.take(at)
             if part.min() < 1:
                 raise ValueError("damaged block")
@@ -363,7 +373,8 @@ def decode(blocks: list[bytes], own: np.ndarray, length: int) -> np.ndarray:
             place[at] = np.minimum(to, end.take(at), out=to)
             part <<= DIGIT
             span[at] = part
-        model.update(symbol)
+            at = at[part < 1 << LOW]
+        model.update(symbol, model.c == symbol)
         model.follow(symbol)
         grid[k] = symbol
     return grid.T

@@ -49,6 +49,7 @@ MAX_WORDS = 1 << 19
 LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(f"[{LETTERS}]+")
 _MARKED = re.compile(f"^([{LETTERS}]+)([{MARKS}]+)$", re.MULTILINE)
+_HIGH = re.compile("[^\x00-\xff]")
 # Plain words that the tokenizer gets in one text.
 TOGETHER = 200
 
@@ -67,7 +68,8 @@ class _Ids:
         self.flat, self.size, self.start, self.uses = (np.zeros(0, np.int64) for _ in range(4))
 
     def new(self) -> list[str]:
-        return list(itertools.islice(self.numbers, len(self.size), None))
+        last_first = list(itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.size)))
+        return last_first[::-1]
 
     def add(self, flat: np.ndarray, size: np.ndarray) -> None:
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
@@ -135,7 +137,9 @@ class WordEncoder:
         if not self.plain or "<|" in text:
             parts = [self._split(w) for w in words]
             return list(itertools.chain.from_iterable(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
-        text = _MARKED.sub(r"\1 \2", text.encode().lower().decode())
+        # Capitals of the first 256 characters have one small letter each.
+        text = text.lower() if text.isascii() or not _HIGH.search(text) else text.encode().lower().decode()
+        text = _MARKED.sub(r"\1 \2", text)
         n = [1 + w.count(" ") for w in text.split("\n")]
         return text.replace("\n", " ").split(" "), np.array(n, np.int64)
 
@@ -210,6 +214,8 @@ def _plain(path: str):
         if (t.normalizer.normalize_str(x) != x
                 or [p for p, _ in t.pre_tokenizer.pre_tokenize_str(x)] != [p for p, _ in as_bytes.pre_tokenize_str(x)]):
             return None
+    if any(ids(f"{x}{y}") != ids(f"{x}{y}".lower()) for x in map(chr, range(0xC0, 0x100)) for y in ("", "a", "É")):
+        return None
     tails = [*marks, *(a + b for a in marks for b in marks if a + b != "<|"), "".join(marks)]
     if any(ids(x + tail) != ids(x) + ids(tail) for x in ("x", "zé") for tail in tails):
         return None

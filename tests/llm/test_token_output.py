@@ -73,6 +73,39 @@ def test_words_forgotten_and_learned_again(monkeypatch):
         assert len(encoder.words.numbers) < 80
 
 
+def test_plain_words_go_to_the_model_together():
+    """Same ids as the whole tokenizer's; only other words go through all its steps."""
+    rng = random.Random(7)
+    encoder, t = to.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    whole, steps = [], encoder._whole
+    encoder._whole = lambda words: whole.extend(words) or steps(words)
+    letters = "abcxyzßéüÿñÉÀßø"
+    plain = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 15))) + rng.choice(["", "", ",", ".", "$$$", ")", "...", "!?"])
+             for _ in range(3000)]
+    odd = ["İx", "ΑΣ", "x'S", "e\u0301a", "u\u0308", "it's.", "<|endoftext|>", "x<|", "|>é", "a<", "\u0958x", "12a", "x_y", "µm", "ª", "x×y", "K", "Å"]
+    for texts in ([" ".join(plain)], plain[:500], [" ".join([*plain[:50], *odd])], odd, ["\n".join([*odd, *plain[:20]]), "", " ", "\n"]):
+        ids, n = encoder.encode(texts, 2)
+        want = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    assert len(encoder.pieces.numbers) > 2000 and len(whole) < 100
+
+
+def test_blocks_longer_than_their_place_and_bad_ends():
+    """Digits beyond the place set aside, carries, and blocks cut short."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 60000, 4000), np.zeros(4000, np.int64)])
+    own = rc.prior(np.bincount(x, minlength=60001))
+    blocks = rc.encode(x, own, 2000)
+    back = rc.decode(blocks, own, 2000)
+    assert (back.reshape(-1) == x).all()
+    short = [blocks[0][:-600], *blocks[1:]]
+    try:
+        other = rc.decode(short, own, 2000)
+    except (ValueError, IndexError):
+        return
+    assert (other[1:] == back[1:]).all() and (other[0] != back[0]).any()
+
+
 def expected(rows):
     t = Tokenizer.from_file(PATH)
     out = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in rows]
