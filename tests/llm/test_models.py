@@ -93,6 +93,19 @@ def test_gram_scores_match_a_plain_model(spark):
         assert gain == pytest.approx(want)
 
 
+def test_no_table_of_urls_or_grams_is_broadcast(spark):
+    """Spark refuses any broadcast here, however small the table."""
+    urls = [f"http://{h}/{p}/{i}" for i in range(20) for h in ("a.com", "b.net", "example.org") for p in ("en", "es")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        rows = url_filter.filter_urls(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(r.page_id for r in rows) == list(range(len(urls)))
+    assert all((r.score is None) == (r.rule is not None) and r.verdict in ("allow", "block") for r in rows)
+
+
 @pytest.mark.parametrize("floor", [0.0, 1.0])
 def test_mixture_meets_its_targets(spark, floor):
     docs = table(spark, SF01, "documents")
